@@ -78,16 +78,15 @@ def bm25_scores(entries: DataFrame, terms: DataFrame, k1: float = K1, b: float =
 
     ``entries`` comes from :func:`postings`. Repeated query words count as often as they occur.
     """
-    # Reads every column of the postings, so that both uses below share their shuffle.
-    stats = entries.groupBy("method", "term").agg(
-        F.count_if(F.col("tf") > 0).alias("df"), F.sum("dl").alias("n_tokens"), F.count("ord").alias("seen")
-    )
-    corpus = stats.where(F.col("term") == "").select("method", F.col("df").alias("n_docs"), (F.col("n_tokens") / F.col("df")).alias("avgdl"))
-    weights = (
-        stats.where(F.col("term") != "")
-        .join(corpus, "method")
-        .select("method", "term", "avgdl", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    # No filter on the term here: it would be pushed below the shuffle, which both uses of the postings share.
+    stats = entries.groupBy("method", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("n_tokens"))
+    is_total = F.col("term") == ""
+    corpus = stats.groupBy("method").agg(
+        F.max(F.when(is_total, F.col("df"))).alias("n_docs"),
+        F.max(F.when(is_total, F.col("n_tokens") / F.col("df"))).alias("avgdl"),
     )
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weights = stats.join(corpus, "method").select("method", "term", "avgdl", idf.alias("idf"))
     tf = F.col("tf")
     gain = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (F.col("dl") / F.col("avgdl"))))
     return (
@@ -99,7 +98,7 @@ def bm25_scores(entries: DataFrame, terms: DataFrame, k1: float = K1, b: float =
     )
 
 
-def bm25_top(texts: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_top(texts: DataFrame, queries: DataFrame, methods: list[str], k: int, k1: float = K1, b: float = B) -> DataFrame:
     """``method, query_id, rank, dataset_id, score``: the best ``k`` documents of every query and method.
 
     Ties, including all zero scores, go in corpus order. A match always scores above 0, so the top ``k`` lie within
@@ -123,7 +122,8 @@ def bm25_top(texts: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: fl
         .groupBy("method")
         .agg(F.array_sort(F.collect_list(F.struct("ord", "dataset_id"))).alias("head"))
     )
-    asked = _per_method(head, queries)
+    per_method = F.explode(F.array(*[F.lit(m) for m in methods]))
+    asked = queries.select("query_id", per_method.alias("method")).join(head, "method")
     short = asked.join(per_query, ["method", "query_id"], "left").where(F.coalesce("n_matches", F.lit(0)) < k)
     unmatched = F.filter("head", lambda d: ~F.coalesce(F.array_contains("matched", d["dataset_id"]), F.lit(False)))
     n_matches = F.coalesce("n_matches", F.lit(0))
@@ -135,17 +135,6 @@ def bm25_top(texts: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: fl
     return matches.select("method", "query_id", "rank", "dataset_id", "score").unionByName(filler)
 
 
-def _per_method(per_method: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every query once per method. The methods (names of text variants) travel as one array per query."""
-    packed = per_method.agg(F.collect_list(F.struct(*per_method.columns)).alias("all")).withColumn("one", F.lit(1))
-    return (
-        queries.select("query_id", F.lit(1).alias("one"))
-        .join(packed, "one")
-        .select("query_id", F.explode("all").alias("m"))
-        .select("query_id", "m.*")
-    )
-
-
 def dcg(rel: Column, rank: Column) -> Column:
     """Discounted cumulative gain (an aggregate) of relevances at 1-based ranks."""
     return F.sum(rel / F.log2(rank + 1))
@@ -177,9 +166,11 @@ def ndcg_per_query(ranking: DataFrame, relevance: DataFrame, ideal: DataFrame, k
     return gained.join(ideal, ["query_id", "k"], "left").select("method", "query_id", "k", value.alias("ndcg"))
 
 
-def mean_ndcg(texts: DataFrame, queries: DataFrame, relevance: DataFrame, ks: tuple[int, ...] = (10, 20)) -> DataFrame:
+def mean_ndcg(
+    texts: DataFrame, queries: DataFrame, relevance: DataFrame, methods: list[str], ks: tuple[int, ...] = (10, 20)
+) -> DataFrame:
     """``method, k, ndcg``: the mean over all queries, for every method and cut-off in one plan."""
-    ranking = bm25_top(texts, queries, max(ks))
+    ranking = bm25_top(texts, queries, methods, max(ks))
     corpus = texts.select("dataset_id").distinct()
     ideal = ideal_dcg(relevance, corpus, list(ks))
     per_query = ndcg_per_query(ranking, relevance, ideal, list(ks))

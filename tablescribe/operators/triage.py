@@ -20,7 +20,7 @@ from ..functions.keys import order_key
 Sampler = Callable[[DataFrame, int], DataFrame]
 
 # Up to this many rows Spark's top-n (a heap per task, merged in one) is used; beyond it, hash ranges.
-HEAP_ROWS = 1_000_000
+HEAP_ROWS = 10_000
 _PREFIX = 4
 
 
