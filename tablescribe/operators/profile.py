@@ -256,7 +256,8 @@ def table_facts(df: DataFrame, dataset_id: str) -> DataFrame:
         kind = coarse_type(field.dataType)
         fact = {"name": F.lit(field.name), "inferred_dtype": F.lit(field.dataType.simpleString()), "coarse_type": F.lit(kind)}
         fact |= {c: none["double"] for c in ("min", "max", "mean", "std")} | {c: none["string"] for c in ("min_str", "max_str")}
-        fact |= {"n": F.lit(0).cast("bigint"), "band": F.lit(None).cast("array<double>")}
+        fact |= {"n": F.lit(0).cast("bigint"), "band": F.lit(None).cast("array<double>"), "filled": F.col(f"filled{i}")}
+        aggs.append(F.count(_present(field)).alias(f"filled{i}"))
         if kind == "numeric":
             v = _present(field).cast("double")
             aggs += [
@@ -278,23 +279,32 @@ def table_facts(df: DataFrame, dataset_id: str) -> DataFrame:
     ).select("dataset_id", "num_rows", "fact.*")
 
 
-def table_examples(df: DataFrame, dataset_id: str, order_by: list[str], k: int = 5) -> DataFrame:
+def table_examples(df: DataFrame, dataset_id: str, order_by: list[str], facts: DataFrame, k: int = 5) -> DataFrame:
     """The first ``k`` non-null values of every column in ``order_by`` order, as text.
 
-    Each column is a top-k scan of that column and the order key (a heap per task, no sort, no shuffle of the table).
+    All columns without missing values share one top-k scan of the table; any other column gets a top-k scan of itself
+    and the order key (a heap per task, no sort, no shuffle of the table).
     """
     order = [F.col(c) for c in order_by]
-    pieces = []
-    for i, field in enumerate(df.schema.fields):
-        head = df.where(_present(field).isNotNull()).orderBy(*order).limit(k)
-        pieces.append(
-            head.agg(F.array_sort(F.collect_list(F.struct(*order, as_text(field).alias("__text")))).alias("entries")).select(
-                F.lit(dataset_id).alias("dataset_id"),
-                F.lit(i).alias("col_idx"),
-                F.transform("entries", lambda e: e["__text"]).alias("example_values"),
-            )
-        )
-    return reduce(DataFrame.unionByName, pieces)
+    fields = list(enumerate(df.schema.fields))
+    complete = {r.col_idx for r in facts.where(F.col("filled") == F.col("num_rows")).select("col_idx").collect()}
+
+    def rows(head: DataFrame, some: list[tuple[int, T.StructField]]) -> DataFrame:
+        values = F.array(*[F.struct(F.lit(i).alias("col_idx"), as_text(f).alias("text")) for i, f in some])
+        cells = head.select(F.struct(*order).alias("at"), F.explode(values).alias("cell"))
+        return cells.select("cell.col_idx", "at", "cell.text")
+
+    shared = [(i, f) for i, f in fields if i in complete]
+    pieces = [rows(df.orderBy(*order).limit(k), shared)] if shared else []
+    for i, f in fields:
+        if i not in complete:
+            pieces.append(rows(df.where(_present(f).isNotNull()).orderBy(*order).limit(k), [(i, f)]))
+    entries = F.array_sort(F.collect_list(F.struct("at", "text")))
+    return (
+        reduce(DataFrame.unionByName, pieces)
+        .groupBy(F.lit(dataset_id).alias("dataset_id"), "col_idx")
+        .agg(F.transform(entries, lambda e: e["text"]).alias("example_values"))
+    )
 
 
 def profile_table(
@@ -308,13 +318,9 @@ def profile_table(
 
     ``order_by`` must be a unique key; it decides which values are the first ones.
     """
-    return _assemble(
-        materialize(table_facts(df, dataset_id), "facts"),
-        table_values(df, dataset_id),
-        table_examples(df, dataset_id, order_by, max_examples),
-        top_k,
-        salts=1,
-    )
+    facts = materialize(table_facts(df, dataset_id), "facts")
+    examples = table_examples(df, dataset_id, order_by, facts, max_examples)
+    return _assemble(facts, table_values(df, dataset_id), examples, top_k, salts=1)
 
 
 # ---------------------------------------------------------------- a collection of CSV tables
