@@ -1,5 +1,5 @@
 """The registered queries: each operator of the library on the given tables, with the same result in SQL."""
 
-from . import profiles
+from . import profiles, sampling, search
 
-MODULES = [profiles]
+MODULES = [profiles, sampling, search]
