@@ -44,7 +44,7 @@ def keyword_score(spark, sf):
 
 def sample_keyword_fill(spark, sf):
     """Fewer rows with a keyword than wanted: the rest is filled at random."""
-    return T.keyword_sample(table(spark, sf, "pages"), 200, "page_id", ["<article"], "html", seed=5).select("page_id", "keyword_score")
+    return T.keyword_sample(table(spark, sf, "pages"), 200, "page_id", ['<HTML lang="fr"'], "html", seed=5).select("page_id", "keyword_score")
 
 
 def sample_stratified(spark, sf):
@@ -112,8 +112,8 @@ ORACLES = {
     "keyword_score": f"SELECT doc_id, {_SCORE_SQL} AS keyword_score FROM documents",
     "sample_keyword": f"""SELECT doc_id, lang, source, n_chars, {_SCORE_SQL} AS keyword_score FROM documents
 ORDER BY CASE WHEN {_SCORE_SQL} > 0 THEN 0 ELSE 1 END, md5('3:' || doc_id), doc_id LIMIT 150""",
-    "sample_keyword_fill": """SELECT page_id, contains(lower(html), '<article')::INT AS keyword_score FROM pages
-ORDER BY CASE WHEN contains(lower(html), '<article') THEN 0 ELSE 1 END, md5('5:' || page_id), page_id LIMIT 200""",
+    "sample_keyword_fill": """SELECT page_id, contains(lower(html), '<html lang="fr"')::INT AS keyword_score FROM pages
+ORDER BY CASE WHEN contains(lower(html), '<html lang="fr"') THEN 0 ELSE 1 END, md5('5:' || page_id), page_id LIMIT 200""",
     "sample_stratified": _stratified_sql("source", 120, 3, 11),
     "sample_stratified_nulls": _stratified_sql("quality", 50, 20, 12),
     "sample_cluster_diverse": _cluster_sql("embeddings", "vec_id", "label", 45, 6, 9),

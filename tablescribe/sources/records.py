@@ -138,7 +138,8 @@ def write_results(results: DataFrame, path: str) -> None:
 
 def write_dataset_csv(df: DataFrame, path: str) -> None:
     """One dataset table as CSV with a header and no row numbers."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    verbatim = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, **verbatim).csv(path)
 
 
 def merge_registry(existing: DataFrame, accepted: DataFrame) -> DataFrame:
