@@ -19,7 +19,7 @@ from tablescribe.sources import collection
 from .catalogs import registry
 from .profiles import TYPED
 from .search import benchmark_queries
-from .tables import CELLS_SQL, cells, csv_collection, table
+from .tables import CELLS_SQL, DATASET_DIR, cells, csv_collection, csv_sources, table
 
 
 def _sql(template: str, **fields: str) -> str:
@@ -376,36 +376,36 @@ def fixed_backend():
 
 
 def describe_collection(spark, sf):
-    """The whole way from CSV files to records, in two runs; the second finds only what the first left over."""
+    """The whole way from CSV files to records, in two runs; the second does what the first left over.
+
+    The registry also names one dataset per region that has no file.
+    """
     root = csv_collection(spark, sf)
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
-        .withColumn("id", F.regexp_extract("path", r"dataset_id=([^/]+)/", 1))
-    )
-    reg = files.select(
-        "id",
-        F.crc32("id").alias("ord"),
-        F.concat(F.lit("Table of "), "id").alias("name"),
+    known = reduce(DataFrame.unionByName, [df.select("dataset_id").distinct() for df, _ in csv_sources(spark, sf)])
+    absent = table(spark, sf, "region").select(F.concat(F.lit("absent-"), "r_regionkey").alias("dataset_id"))
+    reg = known.withColumn("ord", F.crc32("dataset_id")).unionByName(absent.withColumn("ord", F.lit(2**40)))
+    reg = reg.select(
+        F.col("dataset_id").alias("id"),
+        "ord",
+        F.concat(F.lit("Rows of "), "dataset_id", F.lit(" and more")).alias("name"),
         F.lit("").alias("description"),
-        F.when(F.startswith("id", F.lit("orders")), F.lit("sales")).alias("category"),
+        F.when(F.startswith("dataset_id", F.lit("orders")), F.lit("sales")).alias("category"),
         F.lit(None).cast("string").alias("agency"),
         F.array(F.lit("a")).alias("columns"),
     )
-    flat = new_path(spark, "flat")
-    (
-        spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root)
-        .select("value", F.concat(F.regexp_extract("_metadata.file_path", r"dataset_id=([^/]+)/", 1), F.lit(".csv")).alias("file"))
-        .write.partitionBy("file").option("lineSep", "").text(flat)
-    )
-    roots = [f"{flat}"]
     out = new_path(spark, "descriptions")
-    return _describe(spark, reg, roots, out)
+    files = {"dataset_pattern": DATASET_DIR, "recursive": True}
+    first = describe.describe_collection(spark, reg, [root], out, fixed_backend, max_datasets=20, **files)
+    second = describe.describe_collection(spark, reg, [root], out, fixed_backend, **files)
+    both = first.unionByName(second, allowMissingColumns=True)
+    return both.select("dataset_id", "status", "title", "topic", "ufd_nyc", "sfd_nyc")
 
 
-def _describe(spark, reg, roots, out):
-    first = describe.describe_collection(spark, reg, roots, out, fixed_backend, max_datasets=20)
-    second = describe.describe_collection(spark, reg, roots, out, fixed_backend)
-    return first.unionByName(second, allowMissingColumns=True).select("dataset_id", "status", "title", "topic", "ufd_nyc", "sfd_nyc")
+DESCRIBE_SQL = """WITH ids AS (SELECT DISTINCT 'orders-' || (o_orderkey // 100) AS id FROM orders UNION ALL SELECT DISTINCT 'customer-' || (c_custkey // 100) FROM customer
+  UNION ALL SELECT DISTINCT 'documents-' || (doc_id // 100) FROM documents)
+SELECT id AS dataset_id, 'ok' AS status, 'Rows of ' || id || ' and more' AS title, CASE WHEN starts_with(id, 'orders') THEN 'sales' ELSE 'Rows of ' || id END AS topic,
+  'written' AS ufd_nyc, 'written' AS sfd_nyc FROM ids
+UNION ALL SELECT 'absent-' || r_regionkey, 'missing_csv', NULL, NULL, NULL, NULL FROM region"""
 
 
 QUERIES = {
@@ -429,6 +429,7 @@ QUERIES = {
     "method_summary": method_summary,
     "parse_relevance_reply": parse_relevance,
     "generate_stub": generate_rows,
+    "describe_collection": describe_collection,
 }
 ORACLES = {
     "sample_columns_choice": SAMPLE_COLUMNS_SQL,
@@ -456,4 +457,5 @@ ELSE substring(text, 1, 2500) || chr(10) || chr(10) || '...[prompt truncated fro
     "parse_relevance_reply": "SELECT doc_id, coalesce(nullif(regexp_extract(text, '[012]', 0), '')::INTEGER, 0) AS rel FROM documents",
     "generate_stub": """SELECT doc_id, CASE WHEN lang <> 'de' THEN substring(md5(lang || ' ' || text), 1, 12) END AS reply, CASE WHEN lang <> 'de' THEN 'ok' ELSE 'error' END AS status,
 CASE WHEN lang = 'de' THEN 'ValueError: unsupported language' END AS error FROM documents""",
+    "describe_collection": DESCRIBE_SQL,
 }

@@ -9,7 +9,7 @@ from tablescribe.session import new_path
 from tablescribe.sources.collection import collection_cells, stage_collection
 
 ROWS_PER_FILE = 100
-_DATASET_DIR = r"dataset_id=([^/]+)/"
+DATASET_DIR = r"dataset_id=([^/]+)/"
 _written: dict[tuple[str, str], str] = {}
 
 
@@ -64,7 +64,7 @@ def csv_collection(spark: SparkSession, sf: str) -> str:
 
 
 def staged(spark: SparkSession, sf: str) -> DataFrame:
-    return stage_collection(spark, csv_collection(spark, sf), dataset_pattern=_DATASET_DIR)
+    return stage_collection(spark, csv_collection(spark, sf), dataset_pattern=DATASET_DIR)
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:

@@ -143,18 +143,18 @@ def table_cells(df: DataFrame, dataset_id: str, order_by: list[str], n: int) ->
     ).select("dataset_id", "row_idx", "c.*")
 
 
-def list_csv_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """``dataset_id, root_priority, path`` of the CSV files under each root, roots in order of preference."""
+def list_csv_files(spark: SparkSession, roots: list[str], dataset_pattern: str = FILE_STEM, recursive: bool = False) -> DataFrame:
+    """``dataset_id, root_priority, path`` of the CSV files in each root, roots in order of preference."""
     listing = spark.createDataFrame([], _LISTING)
     for priority, root in enumerate(roots):
         try:
-            files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(root)
+            files = spark.read.format("binaryFile").options(pathGlobFilter="*.csv", recursiveFileLookup=recursive).load(root)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
         found = files.select(
-            F.regexp_extract("path", FILE_STEM, 1).alias("dataset_id"), F.lit(priority).alias("root_priority"), "path"
+            F.regexp_extract("path", dataset_pattern, 1).alias("dataset_id"), F.lit(priority).alias("root_priority"), "path"
         )
         listing = listing.unionByName(found)
     return listing
