@@ -67,6 +67,9 @@ TYPED = {
 }
 
 
+LARGE = ["orders", "lineitem", "events", "documents", "pages", "conversations"]
+
+
 def flat(profile: DataFrame) -> DataFrame:
     """Profiles as plain columns; lists as md5 of their joined text."""
     top = F.array_join(F.transform("stats.top_values", lambda t: F.concat_ws("=", t["value"], t["count"].cast("string"))), "|")
@@ -91,7 +94,7 @@ def flat(profile: DataFrame) -> DataFrame:
 
 def typed(*names: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        parts = [P.profile_table(table(spark, sf, n), n, TYPED[n][0]) for n in names]
+        parts = [P.profile_table(table(spark, sf, n, *(TYPED[n][0] if n in LARGE else ())), n, TYPED[n][0]) for n in names]
         return flat(reduce(DataFrame.unionByName, parts))
 
     return run

@@ -17,7 +17,7 @@ JUDGED_QUERIES = 20
 def corpus(spark, sf):
     """Three variants of every text: as it is, without punctuation, and with the source in front."""
     words = F.regexp_replace("text", "[^A-Za-z]+", " ")
-    docs = table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").cast("string").alias("dataset_id"),
         F.col("doc_id").alias("ord"),
         "text",

@@ -27,8 +27,9 @@ QUARTILES = [0.25, 0.5, 0.75]
 # Rank error 1 / ACCURACY of the approximate quantiles that bound the search for the exact ones.
 ACCURACY = 10_000
 _MARGIN = 3.0 / ACCURACY
-# Pieces into which each column's values are spread when they meet the column's facts.
-SALTS = 64
+# A column's values meet its facts in one piece per so many rows of the longest table, up to a limit.
+ROWS_PER_SALT = 1_000_000
+MAX_SALTS = 256
 _EXACT_LONG = 2**53
 
 # The spellings of a boolean in a CSV cell, and the type names a CSV column can get.
@@ -80,7 +81,7 @@ def top_values(values: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def exact_quartiles(values: DataFrame, bounds: DataFrame, salts: int = SALTS) -> DataFrame:
+def exact_quartiles(values: DataFrame, bounds: DataFrame, salts: int = 1) -> DataFrame:
     """p25, p50 and p75 with linear interpolation, exact, without sorting a column.
 
     ``bounds`` has one row per column with ``n`` and ``band``: approximate quantiles just below and above each
@@ -377,7 +378,7 @@ def cell_facts(cells: DataFrame) -> DataFrame:
     )
 
 
-def cell_values(cells: DataFrame, facts: DataFrame, salts: int = SALTS) -> DataFrame:
+def cell_values(cells: DataFrame, facts: DataFrame, salts: int = 1) -> DataFrame:
     """Distinct non-null values per column, equal after typing (``1`` = ``1.0`` = ``01`` in a numeric column).
 
     Cells are first combined by their text; the distinct texts then meet the column types on a salted key, so a
@@ -438,13 +439,15 @@ def cell_examples(cells: DataFrame, facts: DataFrame, k: int = 5) -> DataFrame:
     return typed.select(*KEYS, F.transform("entries", shown).alias("example_values"))
 
 
-def profile_cells(cells: DataFrame, max_examples: int = 5, top_k: int = 10, salts: int = SALTS) -> DataFrame:
+def profile_cells(cells: DataFrame, max_examples: int = 5, top_k: int = 10) -> DataFrame:
     """Flat profiles of all tables of a collection in one plan: one row per table and column.
 
     ``cells``: ``dataset_id, row_idx, col_idx, col_name, value`` as made by
     :func:`tablescribe.sources.collection.collection_cells`.
     """
     facts = materialize(cell_facts(cells), "facts")
+    longest = facts.agg(F.max("num_rows")).first()[0] or 0
+    salts = min(MAX_SALTS, 1 + longest // ROWS_PER_SALT)
     values = cell_values(cells, facts, salts)
     return _assemble(facts, values, cell_examples(cells, facts, max_examples), top_k, salts)
 

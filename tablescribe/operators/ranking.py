@@ -17,6 +17,8 @@ K1 = 1.5
 B = 0.75
 # Scores are ranked at this precision, so that equal texts tie whatever the order of summation.
 SCORE_DIGITS = 9
+# Query words are broadcast up to this many (word, query) pairs; larger query sets are joined by shuffling.
+BROADCAST_TERMS = 200_000
 
 
 def method_texts(records: DataFrame, methods: dict[str, str], key: str = "dataset_id", order: str = "ord") -> DataFrame:
@@ -53,6 +55,12 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     return document_terms(texts).groupBy("method", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def _sized(table: DataFrame, terms: DataFrame) -> DataFrame:
+    """``table``, whose rows are bounded by those of ``terms``, marked for broadcast if these are few."""
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return F.broadcast(table) if few else table
+
+
 def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``method, dataset_id, ord, dl, term, tf`` for the query words, hash-partitioned by document.
 
@@ -66,7 +74,7 @@ def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
     )
     wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
     return (
-        words.join(wanted, "term", "left_semi")
+        words.join(_sized(wanted, terms), "term", "left_semi")
         .repartition("method", "dataset_id")
         .groupBy("method", "dataset_id", "ord", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -76,23 +84,26 @@ def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def bm25_scores(entries: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``method, query_id, dataset_id, ord, score`` for the documents with at least one word of the query.
 
-    ``entries`` comes from :func:`postings`. Repeated query words count as often as they occur.
+    ``entries`` comes from :func:`postings`. Repeated query words count as often as they occur. The word weights are
+    at most one row per method and query word; broadcasting them keeps the postings partitioned by document, so that
+    scoring needs no further shuffle.
     """
     # No filter on the term here: it would be pushed below the shuffle, which both uses of the postings share.
     stats = entries.groupBy("method", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("n_tokens"))
     is_total = F.col("term") == ""
-    corpus = stats.groupBy("method").agg(
-        F.max(F.when(is_total, F.col("df"))).alias("n_docs"),
-        F.max(F.when(is_total, F.col("n_tokens") / F.col("df"))).alias("avgdl"),
+    # A method has one row per query word here, and the row of the empty word with the totals.
+    whole = Window.partitionBy("method")
+    n_docs = F.max(F.when(is_total, F.col("df"))).over(whole)
+    avgdl = F.max(F.when(is_total, F.col("n_tokens") / F.col("df"))).over(whole)
+    weights = stats.select("method", "term", "df", n_docs.alias("n_docs"), avgdl.alias("avgdl")).select(
+        "method", "term", "avgdl", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")
     )
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = stats.join(corpus, "method").select("method", "term", "avgdl", idf.alias("idf"))
     tf = F.col("tf")
     gain = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (F.col("dl") / F.col("avgdl"))))
     return (
-        entries.join(weights, ["method", "term"])
+        entries.join(_sized(weights, terms), ["method", "term"])
         .withColumn("gain", gain)
-        .join(terms, "term")
+        .join(_sized(terms, terms), "term")
         .groupBy("method", "dataset_id", "ord", "query_id")
         .agg(F.round(F.sum(F.col("qtf") * F.col("gain")), SCORE_DIGITS).alias("score"))
     )
@@ -111,8 +122,8 @@ def bm25_top(texts: DataFrame, queries: DataFrame, methods: list[str], k: int, k
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
     )
-    per_query = matches.groupBy("method", "query_id").agg(
-        F.count(F.lit(1)).alias("n_matches"), F.collect_set("dataset_id").alias("matched")
+    best_of = matches.groupBy("method", "query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "dataset_id", "score"))).alias("matches")
     )
     in_order = Window.partitionBy("method").orderBy("ord")
     head = (
@@ -124,15 +135,15 @@ def bm25_top(texts: DataFrame, queries: DataFrame, methods: list[str], k: int, k
     )
     per_method = F.explode(F.array(*[F.lit(m) for m in methods]))
     asked = queries.select("query_id", per_method.alias("method")).join(head, "method")
-    short = asked.join(per_query, ["method", "query_id"], "left").where(F.coalesce("n_matches", F.lit(0)) < k)
-    unmatched = F.filter("head", lambda d: ~F.coalesce(F.array_contains("matched", d["dataset_id"]), F.lit(False)))
-    n_matches = F.coalesce("n_matches", F.lit(0))
-    filler = short.select(
-        "method", "query_id", n_matches.alias("n"), F.posexplode(F.slice(unmatched, F.lit(1), (k - n_matches).cast("int"))).alias("pos", "d")
-    ).select(
-        "method", "query_id", (F.col("n") + F.col("pos") + 1).cast("int").alias("rank"), F.col("d.dataset_id"), F.lit(0.0).alias("score")
+    scored = F.transform("matches", lambda m: F.struct(m["dataset_id"].alias("dataset_id"), m["score"].alias("score")))
+    rest = F.filter("head", lambda d: ~F.coalesce(F.array_contains("matches.dataset_id", d["dataset_id"]), F.lit(False)))
+    zeros = F.transform(rest, lambda d: F.struct(d["dataset_id"].alias("dataset_id"), F.lit(0.0).alias("score")))
+    ranked = F.slice(F.concat(F.coalesce(scored, F.slice(zeros, 1, 0)), zeros), 1, k)
+    return (
+        asked.join(best_of, ["method", "query_id"], "left")
+        .select("method", "query_id", F.posexplode(ranked).alias("pos", "d"))
+        .select("method", "query_id", (F.col("pos") + 1).alias("rank"), "d.dataset_id", "d.score")
     )
-    return matches.select("method", "query_id", "rank", "dataset_id", "score").unionByName(filler)
 
 
 def dcg(rel: Column, rank: Column) -> Column:

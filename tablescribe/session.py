@@ -59,3 +59,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan with fewer splits than the session has cores, hash-partitioned over all of them; else ``df`` itself.
+
+    For files of one row group, which Spark reads in one task. Data that is large enough to matter has splits enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

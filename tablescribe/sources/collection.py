@@ -23,15 +23,24 @@ FILE_STEM = r"([^/]+?)(?:\.csv)?$"
 _LISTING = "dataset_id string, root_priority int, path string"
 
 
-def _header_width(spark: SparkSession, paths: list[str]) -> int:
-    """The largest number of comma-separated fields on the first line of any file (one number to the driver)."""
-    lines = spark.read.option("recursiveFileLookup", True).text(paths).select(
+def _read_rows(spark: SparkSession, paths: list[str], width: int, multi_line: bool) -> DataFrame:
+    """All records as arrays of ``width`` texts with their place in the file; ``full`` marks those that fill it."""
+    names = [f"_c{i}" for i in range(width)]
+    rows = (
+        spark.read.schema(", ".join(f"{n} string" for n in names))
+        .option("header", False)
+        .option("multiLine", multi_line)
+        .option("escape", '"')
+        .option("recursiveFileLookup", True)
+        .csv(paths)
+    )
+    return rows.select(
         F.col("_metadata.file_path").alias("path"),
-        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
-        (F.length("value") - F.length(F.replace(F.col("value"), F.lit(","), F.lit(""))) + 1).alias("width"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col(names[-1]).isNotNull().alias("full"),
+        F.array(*names).alias("fields"),
     )
-    first = lines.groupBy("path").agg(F.min_by("width", "at").alias("width"))
-    return first.agg(F.max("width")).first()[0] or 1
 
 
 def _distinct_names(names: Column) -> Column:
@@ -50,7 +59,7 @@ def stage_collection(
     paths: str | list[str],
     dataset_pattern: str = FILE_STEM,
     multi_line: bool = True,
-    max_columns: int | None = None,
+    width: int = 64,
 ) -> DataFrame:
     """Rows of all CSV files: ``dataset_id, path, row_idx, header, fields, n_fields``.
 
@@ -58,27 +67,14 @@ def stage_collection(
     size in a row that has too many fields. ``dataset_pattern`` extracts the dataset id from a file's path.
 
     ``multi_line=True`` allows line breaks inside quotes, at the price that one file is read by one task; for very
-    long line-delimited files use ``multi_line=False``, which splits them. ``max_columns`` skips the look at the
-    header lines. The parsed rows are written out once, because positions inside a file must come from one scan.
+    long line-delimited files use ``multi_line=False``, which splits them. The parsed rows are written out once, because
+    positions inside a file must come from one scan. Records with more than ``width`` fields are never cut: where one
+    occurs, everything is read again eight times as wide.
     """
     paths = [paths] if isinstance(paths, str) else paths
-    width = (max_columns or _header_width(spark, paths)) + 1
-    names = [f"_c{i}" for i in range(width)]
-    raw = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
-        .option("header", False)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("recursiveFileLookup", True)
-        .csv(paths)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("at"),
-            F.array(*names).alias("fields"),
-        )
-    )
-    raw = materialize(raw, "csv-rows")
+    raw = materialize(_read_rows(spark, paths, width + 1, multi_line), "csv-rows")
+    if raw.where("full").limit(1).count():
+        return stage_collection(spark, paths, dataset_pattern, multi_line, width * 8)
     in_order = Window.partitionBy("path").orderBy("block")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     # One row per block of a file; the window runs over a file's blocks, not over its rows.
