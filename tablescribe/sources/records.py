@@ -21,7 +21,7 @@ RESULTS_SCHEMA = "method string, metric string, value double"
 
 def read_registry(spark: SparkSession, path: str, max_datasets: int | None = None) -> DataFrame:
     """A registry (one JSON array) with its file order as ``ord``; only the first ``max_datasets`` when given."""
-    items = spark.read.option("wholetext", True).text(path)
+    items = spark.read.text(path, wholetext=True)
     parsed = items.select(F.posexplode(F.from_json("value", f"array<struct<{_as_struct(REGISTRY_SCHEMA)}>>")).alias("ord", "item"))
     registry = parsed.select("ord", "item.*")
     return registry if max_datasets is None else registry.where(F.col("ord") < max_datasets)
@@ -55,7 +55,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict:
 
 def read_queries(spark: SparkSession, path: str, num_queries: int | None = None) -> DataFrame:
     """Non-blank lines of a query file as ``query_no, query_id, text``, numbered from 1."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = F.filter(F.transform(F.split("value", r"\r?\n"), strip), lambda x: x != "")
     if num_queries is not None:
         lines = F.slice(lines, 1, num_queries)
@@ -87,7 +87,7 @@ def read_relevance(spark: SparkSession, path: str) -> DataFrame:
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A ``{method: {metric: value}}`` file as ``method, metric, value``; a missing file reads as empty."""
     try:
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
