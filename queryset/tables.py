@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescribe.session import new_path, spread
+from tablescribe.session import materialize, new_path, spread
 from tablescribe.sources.collection import collection_cells, stage_collection
 
 ROWS_PER_FILE = 100
@@ -70,7 +70,7 @@ def staged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    return collection_cells(staged(spark, sf))
+    return materialize(collection_cells(staged(spark, sf)), "cells")
 
 
 # The cells of the same collection in SQL: ds, row, col, name, txt (as shown), num.
@@ -89,9 +89,10 @@ cells AS (
     SELECT 'customer-' || (c_custkey // 100), c_custkey, unnest([
       {'col': 0, 'name': 'c_custkey', 'txt': c_custkey::VARCHAR, 'num': c_custkey::DOUBLE, 'kind': 'numeric', 'dtype': 'bigint'},
       {'col': 1, 'name': 'c_name', 'txt': c_name, 'num': NULL::DOUBLE, 'kind': 'text', 'dtype': 'string'},
-      {'col': 2, 'name': 'c_nationkey', 'txt': nullif(c_nationkey, 7)::DOUBLE::VARCHAR, 'num': nullif(c_nationkey, 7)::DOUBLE, 'kind': 'numeric', 'dtype': 'double'},
+      {'col': 2, 'name': 'c_nationkey', 'txt': CASE WHEN whole THEN c_nationkey::VARCHAR ELSE nullif(c_nationkey, 7)::DOUBLE::VARCHAR END,
+       'num': nullif(c_nationkey, 7)::DOUBLE, 'kind': 'numeric', 'dtype': CASE WHEN whole THEN 'bigint' ELSE 'double' END},
       {'col': 3, 'name': 'c_phone', 'txt': NULL::VARCHAR, 'num': NULL::DOUBLE, 'kind': 'numeric', 'dtype': 'double'}
-    ]) FROM customer
+    ]) FROM (SELECT *, bool_and(c_nationkey <> 7) OVER (PARTITION BY c_custkey // 100) AS whole FROM customer)
     UNION ALL
     SELECT 'documents-' || (doc_id // 100), doc_id, unnest([
       {'col': 0, 'name': 'doc_id', 'txt': doc_id::VARCHAR, 'num': doc_id::DOUBLE, 'kind': 'numeric', 'dtype': 'bigint'},

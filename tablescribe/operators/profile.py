@@ -443,12 +443,13 @@ def profile_cells(cells: DataFrame, max_examples: int = 5, top_k: int = 10) -> D
     """Flat profiles of all tables of a collection in one plan: one row per table and column.
 
     ``cells``: ``dataset_id, row_idx, col_idx, col_name, value`` as made by
-    :func:`tablescribe.sources.collection.collection_cells`.
+    :func:`tablescribe.sources.collection.collection_cells`, best written out first since it is read three times.
     """
     facts = materialize(cell_facts(cells), "facts")
     longest = facts.agg(F.max("num_rows")).first()[0] or 0
     salts = min(MAX_SALTS, 1 + longest // ROWS_PER_SALT)
-    values = cell_values(cells, facts, salts)
+    # Written once: four readers would otherwise each repeat the join with the column types.
+    values = materialize(cell_values(cells, facts, salts), "values")
     return _assemble(facts, values, cell_examples(cells, facts, max_examples), top_k, salts)
 
 
