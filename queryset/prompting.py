@@ -395,7 +395,7 @@ def describe_collection(spark, sf):
     )
     out = new_path(spark, "descriptions")
     files = {"dataset_pattern": DATASET_DIR, "recursive": True}
-    first = describe.describe_collection(spark, reg, [root], out, fixed_backend, max_datasets=20, **files)
+    first = describe.describe_collection(spark, reg, [root], out, fixed_backend, max_datasets=10, **files)
     second = describe.describe_collection(spark, reg, [root], out, fixed_backend, **files)
     both = first.unionByName(second, allowMissingColumns=True)
     return both.select("dataset_id", "status", "title", "topic", "ufd_nyc", "sfd_nyc")
