@@ -28,10 +28,10 @@ def sample_random(spark, sf):
 
 
 def sample_random_ranges(spark, sf):
-    """The same sampler on the path for samples that are too large for one task."""
+    """The cut by ranges itself, for a sample of thousands."""
     df = table(spark, sf, "orders")
     hashed = T.order_key(7, "o_orderkey")
-    return T.first_by(df, 9000, hashed, "o_orderkey", heap_rows=0).select("o_orderkey", "o_totalprice")
+    return T.first_by(df, 9000, hashed, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
 def sample_keyword(spark, sf):

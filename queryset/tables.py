@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescribe.session import materialize, new_path, spread
+from tablescribe.session import materialize, new_path
 from tablescribe.sources.collection import collection_cells, stage_collection
 
 ROWS_PER_FILE = 100
@@ -13,10 +13,8 @@ DATASET_DIR = r"dataset_id=([^/]+)/"
 _written: dict[tuple[str, str], str] = {}
 
 
-def table(spark: SparkSession, sf: str, name: str, *spread_by: str) -> DataFrame:
-    """A given table; with ``spread_by`` on all cores even where its file has a single row group."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df, *spread_by) if spread_by else df
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def csv_sources(spark: SparkSession, sf: str) -> list[tuple[DataFrame, str]]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import order_key
+from ..sources.records import last_by_key
 from .triage import first_by
 
 # What stands in for missing metadata in each place.
@@ -93,8 +94,11 @@ def ok_profiles(profiles: DataFrame, order: str, max_datasets: int | None = None
 
 
 def with_metadata(profiles: DataFrame, registry: DataFrame) -> DataFrame:
-    """Profiles with their registry metadata and derived topic; a profile without an entry gets the defaults."""
-    meta = registry.select(
+    """Profiles with their registry metadata and derived topic; a profile without an entry gets the defaults.
+
+    Of a repeated registry id the last entry in ``ord`` counts.
+    """
+    meta = last_by_key(registry, "id", "ord").select(
         F.col("id").alias("dataset_id"),
         F.col("name").alias("title"),
         F.col("description").alias("original"),

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import METRICS, grade_columns, relevance_score
+from ..sources.records import last_by_key
 
 # Shortest text worth grading, the grading scale and the methods of the summary.
 MIN_TEXT_CHARS = 5
 SCALE = 5.0
 GRADED_METHODS = ["original", "ufd", "sfd", "ufd_nyc", "sfd_nyc"]
-# Most queries that are attached to each dataset as one array.
-QUERY_LIMIT = 1000
 
 
 def description_variants(records: DataFrame, methods: dict[str, str]) -> DataFrame:
@@ -27,11 +26,20 @@ def description_variants(records: DataFrame, methods: dict[str, str]) -> DataFra
     return long_form.where(F.length("text") >= MIN_TEXT_CHARS)
 
 
+def _latest(df: DataFrame, key: str) -> DataFrame:
+    return last_by_key(df, key, "ord") if "ord" in df.columns else df
+
+
 def join_variants(ids: DataFrame, registry: DataFrame, baseline: DataFrame, domain: DataFrame | None = None) -> DataFrame:
     """All text variants per dataset: the original from the registry, the others from two description tables.
 
-    Without a ``domain`` table its two methods are NULL and therefore skipped.
+    Without a ``domain`` table its two methods are NULL and therefore skipped. Tables with an ``ord`` column may repeat
+    an id; the last row counts.
     """
+    registry = _latest(registry, "id")
+    baseline = _latest(baseline, "dataset_id")
+    domain = None if domain is None else _latest(domain, "dataset_id")
+    ids = ids.dropDuplicates(["dataset_id"])
     original = registry.select(F.col("id").alias("dataset_id"), F.col("name").alias("title"), "columns", F.col("description").alias("original"))
     joined = ids.join(original, "dataset_id", "left").join(baseline.select("dataset_id", "ufd", "sfd"), "dataset_id", "left")
     if domain is None:
@@ -42,21 +50,11 @@ def join_variants(ids: DataFrame, registry: DataFrame, baseline: DataFrame, doma
 def judgement_pairs(datasets: DataFrame, queries: DataFrame) -> DataFrame:
     """Every chosen dataset with every query: the input of a relevance judge.
 
-    A query set of checked size rides along as one array per dataset. A larger one is met in a grid of buckets, both
-    sides spread over it, so that no task sees all datasets or all queries.
+    All pairs are what a judge is asked for, so this is a join without a condition on the chosen datasets; the optimizer
+    sends the smaller side to all tasks if it is small enough.
     """
-    head = queries.select("query_id", F.col("text").alias("query")).limit(QUERY_LIMIT + 1).collect()
-    if len(head) <= QUERY_LIMIT:
-        packed = F.array(*[F.struct(F.lit(q.query_id).alias("query_id"), F.lit(q.query).alias("query")) for q in head])
-        if not head:
-            packed = F.array().cast("array<struct<query_id:string,query:string>>")
-        return datasets.withColumn("__q", F.explode(packed)).select(*datasets.columns, "__q.*")
-    side = 32
-    buckets = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(side)]))
-    left = datasets.withColumns({"__row": F.pmod(F.xxhash64(datasets.columns[0]), F.lit(side)), "__col": buckets})
-    right = queries.select("query_id", F.col("text").alias("query"), F.pmod(F.xxhash64("query_id"), F.lit(side)).alias("__col"))
-    right = right.withColumn("__row", buckets)
-    return left.join(right, ["__row", "__col"]).select(*datasets.columns, "query_id", "query")
+    asked = queries.select("query_id", F.col("text").alias("query"))
+    return datasets.join(asked, how="cross")
 
 
 def relevance_from_replies(replies: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ Both front ends reduce their input to two small shapes and share everything afte
 * *values*: one row per distinct non-null value of a column with its count. Distinct counts, top values and exact
   quartiles all come from it, so the data is shuffled once however many columns there are.
 
-No step gathers a whole column in one task: a frequent value is one row of *values*, and quartiles are found by
-narrowing each column to the few values around the wanted rank (see :func:`exact_quartiles`).
+A frequent value is one row of *values*, and quartiles are found in ranges of the sorted distinct values (see
+:func:`exact_quartiles`), so no task needs a whole column.
 """
 
 from __future__ import annotations
@@ -24,12 +24,6 @@ from ..session import materialize
 KEYS = ["dataset_id", "col_idx"]
 QUARTILES = [0.25, 0.5, 0.75]
 
-# Rank error 1 / ACCURACY of the approximate quantiles that bound the search for the exact ones.
-ACCURACY = 10_000
-_MARGIN = 3.0 / ACCURACY
-# A column's values meet its facts in one piece per so many rows of the longest table, up to a limit.
-ROWS_PER_SALT = 1_000_000
-MAX_SALTS = 256
 _EXACT_LONG = 2**53
 
 # The spellings of a boolean in a CSV cell, and the type names a CSV column can get.
@@ -41,14 +35,6 @@ _INTEGER = r"^\s*[+-]?\d+\s*$"
 # ---------------------------------------------------------------- shared steps
 
 
-def _bound_points() -> list[float]:
-    return [p + side * _MARGIN for p in QUARTILES for side in (-1, 1)]
-
-
-def _salt_range(salts: int) -> Column:
-    return F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)]))
-
-
 def _counted(values: DataFrame, wanted: Column) -> DataFrame:
     """Rows of *values* that meet ``wanted``.
 
@@ -81,84 +67,43 @@ def top_values(values: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def exact_quartiles(values: DataFrame, bounds: DataFrame, salts: int = 1) -> DataFrame:
-    """p25, p50 and p75 with linear interpolation, exact, without sorting a column.
+def exact_quartiles(values: DataFrame, counts: DataFrame) -> DataFrame:
+    """p25, p50 and p75 with linear interpolation, exact.
 
-    ``bounds`` has one row per column with ``n`` and ``band``: approximate quantiles just below and above each
-    quartile. Values below a band are only counted; the values inside (about 6 / ACCURACY of the rows) are ranked.
-    The nearest value on either side of the band is kept as well, for tiny columns where the approximation is off
-    by one rank.
+    ``counts`` has one row per numeric column with ``n``, its number of values. The distinct values are dealt into ranges of
+    (table, column, value) and written; the sums of the ranges' counts tell which range holds a wanted rank, and only
+    within such ranges are values ranked. A long column has many ranges, short columns share one.
     """
-    salt = F.pmod(F.xxhash64("num"), F.lit(salts))
-    spread = bounds.withColumn("salt", _salt_range(salts))
-    near = _counted(values, F.col("num").isNotNull()).withColumn("salt", salt).join(spread, KEYS + ["salt"])
-
-    def low(i: int) -> Column:
-        return F.col("band")[2 * i]
-
-    def high(i: int) -> Column:
-        return F.col("band")[2 * i + 1]
-
-    outside_aggs = [F.max("n").alias("n")]
-    for i in range(len(QUARTILES)):
-        outside_aggs += [
-            F.sum(F.when(F.col("num") < low(i), F.col("cnt")).otherwise(0)).alias(f"below{i}"),
-            F.max(F.when(F.col("num") < low(i), F.col("num"))).alias(f"prev{i}"),
-            F.min(F.when(F.col("num") > high(i), F.col("num"))).alias(f"next{i}"),
-        ]
-    partial = near.groupBy(*KEYS, "salt").agg(*outside_aggs)
-    outside = partial.groupBy(*KEYS).agg(
-        F.max("n").alias("n"),
-        *[
-            f(name).alias(name)
-            for i in range(len(QUARTILES))
-            for f, name in ((F.sum, f"below{i}"), (F.max, f"prev{i}"), (F.min, f"next{i}"))
-        ],
-    )
-
-    bands = F.array(*[F.when(F.col("num").between(low(i), high(i)), F.lit(i)) for i in range(len(QUARTILES))])
-    inside = near.select(*KEYS, "num", "cnt", F.explode(F.array_compact(bands)).alias("q"))
-    running = Window.partitionBy(*KEYS, "q").orderBy("num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.groupBy(*KEYS, "q", "num").agg(F.sum("cnt").alias("cnt")).withColumn("upto", F.sum("cnt").over(running))
-
-    wanted = outside.select(
-        *KEYS,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("q"),
-                        ((F.col("n") - 1) * p).alias("h"),
-                        F.col(f"below{i}").alias("below"),
-                        F.col(f"prev{i}").alias("prev"),
-                        F.col(f"next{i}").alias("next"),
-                    )
-                    for i, p in enumerate(QUARTILES)
-                ]
-            )
-        ).alias("w"),
-    ).select(*KEYS, "w.*")
-    ranked = wanted.join(inside, KEYS + ["q"], "left")
-
-    def at(rank: Column) -> Column:
-        hit = F.min(F.when(F.col("below") + F.col("upto") > rank, F.col("num")))
-        return F.when(rank < F.max("below"), F.max("prev")).otherwise(F.coalesce(hit, F.max("next")))
-
-    pair = ranked.groupBy(*KEYS, "q", "h").agg(at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"))
+    numbers = _counted(values, F.col("num").isNotNull()).select(*KEYS, "num", "cnt").join(counts.select(*KEYS), KEYS, "left_semi")
+    same = numbers.groupBy(*KEYS, "num").agg(F.sum("cnt").alias("cnt"))
+    ranged = materialize(same.repartitionByRange(*KEYS, "num").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*KEYS, "part").agg(F.sum("cnt").alias("size"))
+    before = F.sum("size").over(Window.partitionBy(*KEYS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("before", F.coalesce(before, F.lit(0)))
+    ranks = F.array(*[F.struct(F.lit(i).alias("q"), ((F.col("n") - 1) * p).alias("h")) for i, p in enumerate(QUARTILES)])
+    wanted = counts.select(*KEYS, F.explode(ranks).alias("w")).select(*KEYS, "w.*")
+    ends = F.explode(F.array(F.struct(F.lit("a").alias("end"), F.floor("h").alias("rank")), F.struct(F.lit("b").alias("end"), F.ceil("h").alias("rank"))))
+    wanted = wanted.withColumn("e", ends).select(*KEYS, "q", "h", "e.*")
+    placed = wanted.join(sums, KEYS).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("size")))
+    held = ranged.join(placed.select(*KEYS, "part", "before").distinct(), [*KEYS, "part"])
+    running = Window.partitionBy(*KEYS, "part").orderBy("num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = held.withColumn("upto", F.col("before") + F.sum("cnt").over(running)).select(*KEYS, "part", "num", "cnt", "upto")
+    hit = placed.join(upto, [*KEYS, "part"]).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("cnt") <= F.col("rank")))
+    pair = hit.groupBy(*KEYS, "q", "h").agg(*[F.max(F.when(F.col("end") == e, F.col("num"))).alias(e) for e in "ab"])
     point = F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))
     return pair.groupBy(*KEYS).agg(
         *[F.max(F.when(F.col("q") == i, point)).alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
     )
 
 
-def _assemble(facts: DataFrame, values: DataFrame, examples: DataFrame, top_k: int, salts: int) -> DataFrame:
+def _assemble(facts: DataFrame, values: DataFrame, examples: DataFrame, top_k: int) -> DataFrame:
     """Join the per-column pieces (each one row per column) into the flat profile."""
     numeric = F.col("coarse_type") == "numeric"
-    bounds = facts.where(numeric & (F.col("n") > 0)).select(*KEYS, "n", "band")
+    counts = facts.where(numeric & (F.col("n") > 0)).select(*KEYS, "n")
     texts = _counted(values, F.col("num").isNull())
     parts = [
         distinct_summary(values),
-        exact_quartiles(values, bounds, salts),
+        exact_quartiles(values, counts),
         top_values(texts, top_k),
         examples,
     ]
@@ -224,7 +169,7 @@ def _number_identity(field: T.StructField) -> Column:
     """Extra text identity for numbers that DOUBLE cannot hold exactly, else NULL."""
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.LongType):
-        return F.when(F.abs(c) > _EXACT_LONG, c.cast("string"))
+        return F.when((c > _EXACT_LONG) | (c < -_EXACT_LONG), c.cast("string"))
     if isinstance(field.dataType, T.DecimalType):
         return c.cast("string")
     return F.lit(None).cast("string")
@@ -257,7 +202,7 @@ def table_facts(df: DataFrame, dataset_id: str) -> DataFrame:
         kind = coarse_type(field.dataType)
         fact = {"name": F.lit(field.name), "inferred_dtype": F.lit(field.dataType.simpleString()), "coarse_type": F.lit(kind)}
         fact |= {c: none["double"] for c in ("min", "max", "mean", "std")} | {c: none["string"] for c in ("min_str", "max_str")}
-        fact |= {"n": F.lit(0).cast("bigint"), "band": F.lit(None).cast("array<double>"), "filled": F.col(f"filled{i}")}
+        fact |= {"n": F.lit(0).cast("bigint"), "filled": F.col(f"filled{i}")}
         aggs.append(F.count(_present(field)).alias(f"filled{i}"))
         if kind == "numeric":
             v = _present(field).cast("double")
@@ -267,9 +212,8 @@ def table_facts(df: DataFrame, dataset_id: str) -> DataFrame:
                 F.avg(v).alias(f"mean{i}"),
                 F.stddev_samp(v).alias(f"std{i}"),
                 F.count(v).alias(f"n{i}"),
-                F.percentile_approx(v, _bound_points(), ACCURACY).alias(f"band{i}"),
             ]
-            fact |= {c: F.col(f"{c}{i}") for c in ("min", "max", "mean", "std", "n", "band")}
+            fact |= {c: F.col(f"{c}{i}") for c in ("min", "max", "mean", "std", "n")}
         elif kind == "datetime":
             c = F.col(f"`{field.name}`")
             aggs += [F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
@@ -283,8 +227,8 @@ def table_facts(df: DataFrame, dataset_id: str) -> DataFrame:
 def table_examples(df: DataFrame, dataset_id: str, order_by: list[str], facts: DataFrame, k: int = 5) -> DataFrame:
     """The first ``k`` non-null values of every column in ``order_by`` order, as text.
 
-    All columns without missing values share one top-k scan of the table; any other column gets a top-k scan of itself
-    and the order key (a heap per task, no sort, no shuffle of the table).
+    The columns without missing values share one top-k scan of the table, and all others one more, whose
+    ``row_number() <= k`` becomes a limit per column in each task.
     """
     order = [F.col(c) for c in order_by]
     fields = list(enumerate(df.schema.fields))
@@ -293,13 +237,14 @@ def table_examples(df: DataFrame, dataset_id: str, order_by: list[str], facts: D
     def rows(head: DataFrame, some: list[tuple[int, T.StructField]]) -> DataFrame:
         values = F.array(*[F.struct(F.lit(i).alias("col_idx"), as_text(f).alias("text")) for i, f in some])
         cells = head.select(F.struct(*order).alias("at"), F.explode(values).alias("cell"))
-        return cells.select("cell.col_idx", "at", "cell.text")
-
-    shared = [(i, f) for i, f in fields if i in complete]
-    pieces = [rows(df.orderBy(*order).limit(k), shared)] if shared else []
-    for i, f in fields:
-        if i not in complete:
-            pieces.append(rows(df.where(_present(f).isNotNull()).orderBy(*order).limit(k), [(i, f)]))
+        return cells.select("cell.col_idx", "at", "cell.text").where(F.col("text").isNotNull())
+
+    pieces = []
+    if shared := [(i, f) for i, f in fields if i in complete]:
+        pieces.append(rows(df.orderBy(*order).limit(k), shared))
+    if rest := [(i, f) for i, f in fields if i not in complete]:
+        place = F.row_number().over(Window.partitionBy("col_idx").orderBy("at"))
+        pieces.append(rows(df, rest).withColumn("place", place).where(F.col("place") <= k).drop("place"))
     entries = F.array_sort(F.collect_list(F.struct("at", "text")))
     return (
         reduce(DataFrame.unionByName, pieces)
@@ -321,7 +266,7 @@ def profile_table(
     """
     facts = materialize(table_facts(df, dataset_id), "facts")
     examples = table_examples(df, dataset_id, order_by, facts, max_examples)
-    return _assemble(facts, table_values(df, dataset_id), examples, top_k, salts=1)
+    return _assemble(facts, table_values(df, dataset_id), examples, top_k)
 
 
 # ---------------------------------------------------------------- a collection of CSV tables
@@ -346,7 +291,6 @@ def cell_facts(cells: DataFrame) -> DataFrame:
         F.max(number).alias("max"),
         F.avg(number).alias("mean"),
         F.stddev_samp(number).alias("std"),
-        F.percentile_approx(number, _bound_points(), ACCURACY).alias("band"),
     )
     rows, filled = F.col("num_rows"), F.col("filled")
     kind = (
@@ -371,47 +315,33 @@ def cell_facts(cells: DataFrame) -> DataFrame:
             "inferred_dtype",
             "coarse_type",
             "num_rows",
-            *[F.when(numeric, F.col(c)).alias(c) for c in ("min", "max", "mean", "std", "n", "band")],
+            *[F.when(numeric, F.col(c)).alias(c) for c in ("min", "max", "mean", "std", "n")],
             F.lit(None).cast("string").alias("min_str"),
             F.lit(None).cast("string").alias("max_str"),
         )
     )
 
 
-def cell_values(cells: DataFrame, facts: DataFrame, salts: int = 1) -> DataFrame:
+def cell_values(cells: DataFrame, facts: DataFrame) -> DataFrame:
     """Distinct non-null values per column, equal after typing (``1`` = ``1.0`` = ``01`` in a numeric column).
 
-    Cells are first combined by their text; the distinct texts then meet the column types on a salted key, so a
-    column that holds a large share of all cells is spread over ``salts`` pieces.
+    Cells are first combined by their text; the distinct texts then meet the column types, of which there is one small row
+    per column.
     """
     number = F.when(F.col("value").rlike(_NUMBER), F.expr("try_cast(trim(value) AS DOUBLE)"))
-    raw = (
-        cells.where(F.col("value").isNotNull())
-        .groupBy(*KEYS, "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("number", number)
-    )
-    same = F.coalesce(F.col("number").cast("string"), F.lower("value"))
-    raw = raw.withColumn("salt", F.pmod(F.xxhash64(same), F.lit(salts)))
-    kinds = facts.select(
-        *KEYS,
-        "coarse_type",
-        "inferred_dtype",
-        _salt_range(salts).alias("salt"),
-    )
+    raw = cells.where(F.col("value").isNotNull()).groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("cnt")).withColumn("number", number)
     whole = F.expr("try_cast(trim(value) AS BIGINT)")
     text = (
         F.when(F.col("coarse_type") == "boolean", F.initcap(F.lower("value")))
         .when(F.col("coarse_type") == "text", F.col("value"))
-        .when((F.col("inferred_dtype") == "bigint") & (F.abs(whole) > _EXACT_LONG), whole.cast("string"))
+        .when((F.col("inferred_dtype") == "bigint") & ((whole > _EXACT_LONG) | (whole < -_EXACT_LONG)), whole.cast("string"))
     )
     return (
-        raw.join(kinds, KEYS + ["salt"])
+        raw.join(facts.select(*KEYS, "coarse_type", "inferred_dtype"), KEYS)
         .withColumn("num", F.when(F.col("coarse_type") == "numeric", F.col("number")))
         .withColumn("txt", text)
-        .groupBy(*KEYS, "salt", "num", "txt")
+        .groupBy(*KEYS, "num", "txt")
         .agg(F.sum("cnt").alias("cnt"))
-        .drop("salt")
     )
 
 
@@ -446,11 +376,9 @@ def profile_cells(cells: DataFrame, max_examples: int = 5, top_k: int = 10) -> D
     :func:`tablescribe.sources.collection.collection_cells`, best written out first since it is read three times.
     """
     facts = materialize(cell_facts(cells), "facts")
-    longest = facts.agg(F.max("num_rows")).first()[0] or 0
-    salts = min(MAX_SALTS, 1 + longest // ROWS_PER_SALT)
     # Written once: four readers would otherwise each repeat the join with the column types.
-    values = materialize(cell_values(cells, facts, salts), "values")
-    return _assemble(facts, values, cell_examples(cells, facts, max_examples), top_k, salts)
+    values = materialize(cell_values(cells, facts), "values")
+    return _assemble(facts, values, cell_examples(cells, facts, max_examples), top_k)
 
 
 def first_rows(cells: DataFrame, n: int | None) -> DataFrame:
@@ -464,21 +392,23 @@ def first_rows(cells: DataFrame, n: int | None) -> DataFrame:
 
 
 def minimal_profile(staged: DataFrame) -> DataFrame:
-    """Row count, column count, column names and status per table of a staged collection."""
-    return staged.groupBy("dataset_id").agg(
+    """Row count, column count, column names and status per table of a staged collection; files with a problem are errors."""
+    per_file = staged.groupBy("dataset_id").agg(
         F.sum((F.col("row_idx") >= 0).cast("int")).cast("bigint").alias("row_count"),
         F.max(F.when(F.col("row_idx") == -1, F.col("fields"))).alias("columns"),
         F.max("n_fields").alias("widest"),
-    ).select(
+        F.max("problem").alias("problem"),
+    )
+    wide = F.when(F.col("widest") > F.size("columns"), F.format_string("expected %d fields, saw %d", F.size("columns"), F.col("widest")))
+    found = per_file.withColumn("error", F.coalesce("problem", wide))
+    ok = F.col("error").isNull()
+    return found.select(
         "dataset_id",
-        F.when(F.col("widest") > F.size("columns"), "error").otherwise("ok").alias("status"),
-        F.when(F.col("widest") <= F.size("columns"), F.col("row_count")).alias("row_count"),
-        F.when(F.col("widest") <= F.size("columns"), F.size("columns")).alias("column_count"),
-        F.when(F.col("widest") <= F.size("columns"), F.col("columns")).alias("columns"),
-        F.when(
-            F.col("widest") > F.size("columns"),
-            F.format_string("expected %d fields, saw %d", F.size("columns"), F.col("widest")),
-        ).alias("error"),
+        F.when(ok, "ok").otherwise("error").alias("status"),
+        F.when(ok, F.col("row_count")).alias("row_count"),
+        F.when(ok, F.size("columns")).alias("column_count"),
+        F.when(ok, F.col("columns")).alias("columns"),
+        "error",
     )
 
 

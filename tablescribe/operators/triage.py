@@ -16,44 +16,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import order_key
+from ..session import materialize
 
 Sampler = Callable[[DataFrame, int], DataFrame]
 
-# Up to this many rows Spark's top-n (a heap per task, merged in one) is used; beyond it, hash ranges.
-HEAP_ROWS = 10_000
-_PREFIX = 4
-
-
 def _check_column(df: DataFrame, column: str, what: str) -> None:
     if column not in df.columns:
-        raise KeyError(f"{what}='{column}' not found in DataFrame. Available columns: {df.columns}")
+        raise KeyError(f"no column {column!r} for {what}; there are {', '.join(df.columns)}")
 
 
-def first_by(df: DataFrame, n: int, *order: Column | str, heap_rows: int = HEAP_ROWS) -> DataFrame:
-    """The first ``n`` rows in ``order``, whose first entry is a hash from ``order_key``.
+def first_by(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first ``n`` rows in ``order``, in no particular order; the keys must tell all rows apart.
 
-    A sample too large for one task's heap is cut by hash ranges instead: rows are counted per hash prefix, ranges
-    that fit are taken whole and only the range with the cut is ranked. No step then sees more than one range.
+    The rows' keys are dealt into ranges and counted, ranges before the cut are taken whole, and only the range with the
+    cut is ranked, so a sample of any size is spread over as many tasks as the data.
     """
     n = max(n, 0)
-    if n <= heap_rows:
-        return df.orderBy(*order).limit(n)
-    return _first_by_ranges(df, n, F.lit(0), order[0], order[1:])
-
-
-def _first_by_ranges(df: DataFrame, n: int, tier: Column, hashed: Column | str, ties: tuple) -> DataFrame:
-    """First ``n`` rows by ``(tier, hash, ties)`` for a few tiers and a uniformly distributed hash."""
-    hashed = F.col(hashed) if isinstance(hashed, str) else hashed
-    keyed = df.withColumns({"__tier": tier, "__hash": hashed, "__range": F.substring(hashed, 1, _PREFIX)})
-    # At most 16 ** _PREFIX ranges per tier, however many rows there are.
-    sizes = keyed.groupBy("__tier", "__range").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.orderBy("__tier", "__range").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = sizes.withColumn("__before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    placed = keyed.join(cuts.where(F.col("__before") < n), ["__tier", "__range"])
-    whole = placed.where(F.col("__before") + F.col("size") <= n)
-    cut = placed.where(F.col("__before") + F.col("size") > n)
-    rank = F.row_number().over(Window.partitionBy("__tier", "__range").orderBy("__hash", *ties))
-    part = cut.withColumn("__rank", rank).where(F.col("__before") + F.col("__rank") <= n)
+    if n == 0:
+        return df.limit(0)
+    names = [f"__o{i}" for i in range(len(order))]
+    keyed = df.withColumns({c: F.col(o) if isinstance(o, str) else o for c, o in zip(names, order)})
+    ranged = materialize(keyed.repartitionByRange(*names).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    cuts = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).where(F.col("__before") < n)
+    placed = ranged.join(cuts, "__part")
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*names))
+    whole = placed.where(F.col("__before") + F.col("__size") <= n)
+    part = placed.where(F.col("__before") + F.col("__size") > n).withColumn("__rank", rank).where(F.col("__before") + F.col("__rank") <= n)
     return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
 
@@ -68,10 +59,12 @@ def normalize_keywords(keywords: Iterable[str]) -> list[str]:
 
 
 def keyword_score(text: Column, keywords: Iterable[str]) -> Column:
-    """How many of the keywords occur in the text, ignoring case; 0 for a missing text."""
-    lowered = F.lower(text)
-    hits = [F.coalesce(F.contains(lowered, F.lit(k)).cast("int"), F.lit(0)) for k in normalize_keywords(keywords)]
-    return reduce(lambda a, b: a + b, hits, F.lit(0))
+    """How many of the keywords occur in the text, ignoring case; 0 for a missing text. The list may be long."""
+    wanted = normalize_keywords(keywords)
+    if not wanted:
+        return F.lit(0)
+    found = F.transform(F.array(F.lower(text)), lambda t: F.size(F.filter(F.lit(wanted), lambda k: F.contains(t, k))))
+    return F.when(text.isNotNull(), found[0]).otherwise(0)
 
 
 def keyword_sample(
@@ -94,11 +87,8 @@ def keyword_sample(
     is_text = dict(df.dtypes)[text_column] == "string"
     score = keyword_score(F.col(text_column), wanted) if is_text else F.lit(0)
     scored = df.withColumn("keyword_score", score)
-    tier, hashed = F.when(F.col("keyword_score") > 0, 0).otherwise(1), order_key(seed, key)
-    if n <= HEAP_ROWS:
-        sample = scored.orderBy(tier, hashed, key).limit(n)
-    else:
-        sample = _first_by_ranges(scored, n, tier, hashed, (key,))
+    tier = F.when(F.col("keyword_score") > 0, 0).otherwise(1)
+    sample = first_by(scored, n, tier, order_key(seed, key), key)
     return sample if add_score_column else sample.drop("keyword_score")
 
 
@@ -108,28 +98,23 @@ def stratified_sample(
     """Up to ``min_per_label`` random rows per label in label order, then random rows of any label up to ``n``.
 
     Rows without a label are never chosen. The second step draws from what is left in a random order of its own, so
-    each label's share follows its number of left-over rows. The first ``2n`` rows of that order always hold enough
-    rows outside the first step (which has at most ``n``), so the pool itself is not joined with anything.
+    each label's share follows its number of left-over rows. Both steps are one order of the pool, of which the first
+    ``n`` rows are taken by :func:`first_by`.
     """
     _check_column(df, label_column, "label_column")
     n = max(n, 0)
     if n == 0:
         return df.limit(0)
+    least = max(min_per_label, 0)
     pool = df.where(F.col(label_column).isNotNull())
     within = Window.partitionBy(label_column).orderBy(order_key(seed, key), key)
-    base = (
-        pool.withColumn("__rank", F.row_number().over(within))
-        .where(F.col("__rank") <= max(min_per_label, 0))
-        .orderBy(label_column, "__rank")
-        .limit(n)
-    )
-    draw = order_key(f"{seed}:fill", key)
-    fill = pool.orderBy(draw, key).limit(2 * n).join(base.select(key), key, "left_anti")
-    none = F.lit(None)
-    ordered = base.select(*df.columns, F.lit(0).alias("__step"), F.col(label_column).alias("__label"), "__rank", none.cast("string").alias("__draw")).unionByName(
-        fill.select(*df.columns, F.lit(1).alias("__step"), none.cast(df.schema[label_column].dataType).alias("__label"), none.cast("int").alias("__rank"), draw.alias("__draw"))
-    )
-    return ordered.orderBy("__step", "__label", "__rank", "__draw", key).limit(n).select(*df.columns)
+    # Only the first rows of a label leave a task.
+    base = pool.select(key, label_column, F.row_number().over(within).alias("__rank")).where(F.col("__rank") <= least)
+    ranked = pool.join(base.select(key, "__rank"), key, "left")
+    step = F.when(F.col("__rank").isNull(), 1).otherwise(0)
+    label = F.when(F.col("__rank").isNotNull(), F.col(label_column))
+    draw = F.when(F.col("__rank").isNull(), order_key(f"{seed}:fill", key))
+    return first_by(ranked, n, step, label, F.col("__rank"), draw, key).select(*df.columns)
 
 
 def cluster_diverse_sample(
@@ -147,7 +132,7 @@ def cluster_diverse_sample(
         .withColumn("__round", F.row_number().over(within))
         .where(F.col("__round") <= max(1, max_per_cluster))
     )
-    return rounds.orderBy("__round", order_key(seed, cluster_column), cluster_column).limit(max(n, 0)).select(*df.columns)
+    return first_by(rounds, n, "__round", order_key(seed, cluster_column), cluster_column).select(*df.columns)
 
 
 def combine(df: DataFrame, key: str, *samples: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, grading, ranking
 from ..operators.generate import Backend, generate
 from ..session import materialize
-from ..sources.records import last_by_key, relevance_wide
+from ..sources.records import last_by_key
 from . import prompts
 
 # The ranked text variants and their record columns.
@@ -48,39 +48,37 @@ def judge_relevance(
     registry: DataFrame,
     queries: DataFrame,
     make_backend: Callable[[], Backend],
+    template: str,
     n_datasets: int = 50,
     seed: int = 42,
     concurrency: int = 5,
 ) -> DataFrame:
     """``query_id, dataset_id, rel`` for a reproducible choice of datasets and every query."""
-    pairs = relevance_prompts(catalog.choose_datasets(registry, n_datasets, seed), queries)
+    pairs = relevance_prompts(catalog.choose_datasets(registry, n_datasets, seed), queries, template)
     replies = materialize(generate(pairs, make_backend, ["dataset_id", "query_id"], 0.0, concurrency), "judgements")
     return grading.relevance_from_replies(replies)
 
 
-def relevance_prompts(chosen: DataFrame, queries: DataFrame) -> DataFrame:
+def relevance_prompts(chosen: DataFrame, queries: DataFrame, template: str) -> DataFrame:
     """``dataset_id, query_id, prompt`` for every chosen registry entry and query."""
     pairs = grading.judgement_pairs(chosen, queries)
-    prompt = prompts.relevance_prompt(*[F.col(c) for c in ("query", "name", "category", "agency", "columns", "description")])
+    prompt = prompts.relevance_prompt(*[F.col(c) for c in ("query", "name", "category", "agency", "columns", "description")], template)
     return pairs.select(F.col("id").alias("dataset_id"), "query_id", prompt.alias("prompt"))
 
 
-def relevance_matrix(judged: DataFrame, query_ids: list[str]) -> DataFrame:
-    return relevance_wide(judged, query_ids)
-
-
 def grade_texts(
     ids: DataFrame,
     registry: DataFrame,
     baseline: DataFrame,
     domain: DataFrame | None,
     make_backend: Callable[[], Backend],
+    template: str,
     concurrency: int = 5,
     min_interval: float = 0.0,
 ) -> DataFrame:
     """``dataset_id, method, metric, score`` for all text variants of the given datasets."""
     joined = grading.join_variants(ids, registry, baseline, domain)
     variants = grading.description_variants(joined, {m: m for m in grading.GRADED_METHODS})
-    asked = variants.withColumn("prompt", prompts.grade_prompt(F.col("title"), F.col("columns"), F.col("text")))
+    asked = variants.withColumn("prompt", prompts.grade_prompt(F.col("title"), F.col("columns"), F.col("text"), template))
     replies = generate(asked, make_backend, ["dataset_id", "method"], 0.0, concurrency, min_interval)
     return grading.grades_long(materialize(replies, "grades"))

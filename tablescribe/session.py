@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_work_dir: str | None = None
+_run_dirs: set[str] = set()
 
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -29,25 +29,34 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates.
+    """The shared folder for written intermediates: ``spark.checkpoint.dir``, or where that is not set a folder of the warehouse.
 
-    This is ``spark.checkpoint.dir`` wherever that is set. Only a local session without the setting
-    gets a temporary folder of its own: on a cluster a machine-local folder would be lost with its machine.
+    Both are reached by the driver and all executors alike.
     """
-    global _local_work_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this on a cluster")
-    if _local_work_dir is None:
-        _local_work_dir = tempfile.mkdtemp(prefix="tablescribe-")
-    return _local_work_dir
+    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder there. What it holds is deleted when the driver's Python ends."""
+    path = f"{work_dir(spark)}/tablescribe/{spark.sparkContext.applicationId}"
+    if path not in _run_dirs:
+        _run_dirs.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped before
+        return
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh, unused path in the shared folder."""
-    return f"{work_dir(spark)}/tablescribe/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -59,12 +68,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """A scan with fewer splits than the session has cores, hash-partitioned over all of them; else ``df`` itself.
-
-    For files of one row group, which Spark reads in one task. Data that is large enough to matter has splits enough.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -23,15 +23,20 @@ FILE_STEM = r"([^/]+?)(?:\.csv)?$"
 _LISTING = "dataset_id string, root_priority int, path string"
 
 
-def _read_rows(spark: SparkSession, paths: list[str], width: int, multi_line: bool) -> DataFrame:
-    """All records as arrays of ``width`` texts with their place in the file; ``full`` marks those that fill it."""
+def _read_rows(spark: SparkSession, paths: list[str], width: int, multi_line: bool, recursive: bool) -> DataFrame:
+    """All records as arrays of ``width`` texts with their place in the file; ``full`` marks those that fill it.
+
+    A file that cannot be read ends where the damage is.
+    """
     names = [f"_c{i}" for i in range(width)]
     rows = (
         spark.read.schema(", ".join(f"{n} string" for n in names))
         .option("header", False)
         .option("multiLine", multi_line)
         .option("escape", '"')
-        .option("recursiveFileLookup", True)
+        .option("recursiveFileLookup", recursive)
+        .option("ignoreCorruptFiles", True)
+        .option("maxColumns", max(20_480, width + 1))
         .csv(paths)
     )
     return rows.select(
@@ -60,21 +65,23 @@ def stage_collection(
     dataset_pattern: str = FILE_STEM,
     multi_line: bool = True,
     width: int = 64,
+    only: DataFrame | None = None,
+    recursive: bool = True,
 ) -> DataFrame:
-    """Rows of all CSV files: ``dataset_id, path, row_idx, header, fields, n_fields``.
+    """Rows of all CSV files: ``dataset_id, path, row_idx, header, fields, n_fields, problem``.
 
     ``row_idx`` is -1 for the header row, whose ``fields`` are the column names. ``n_fields`` exceeds the header's
-    size in a row that has too many fields. ``dataset_pattern`` extracts the dataset id from a file's path.
+    size in a row that has too many fields. ``dataset_pattern`` extracts the dataset id from a file's path, and ``only``
+    (``path``) restricts the files. ``problem`` tells why a file is no table: its id is that of another file too, or its
+    path has no id; such a file is then its own dataset, named by its path if it has no id.
 
     ``multi_line=True`` allows line breaks inside quotes, at the price that one file is read by one task; for very
     long line-delimited files use ``multi_line=False``, which splits them. The parsed rows are written out once, because
-    positions inside a file must come from one scan. Records with more than ``width`` fields are never cut: where one
-    occurs, everything is read again eight times as wide.
+    positions inside a file must come from one scan. Records with more than ``width`` fields are never cut: the files
+    that have one are read again eight times as wide.
     """
     paths = [paths] if isinstance(paths, str) else paths
-    raw = materialize(_read_rows(spark, paths, width + 1, multi_line), "csv-rows")
-    if raw.where("full").limit(1).count():
-        return stage_collection(spark, paths, dataset_pattern, multi_line, width * 8)
+    raw = _read_wide(spark, paths, width + 1, multi_line, recursive, only)
     in_order = Window.partitionBy("path").orderBy("block")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     # One row per block of a file; the window runs over a file's blocks, not over its rows.
@@ -91,23 +98,40 @@ def stage_collection(
     overflow = F.slice("fields", n_header + 1, F.greatest(F.size("fields") - n_header, F.lit(0)))
     last = F.array_max(F.transform(overflow, lambda x, i: F.when(x.isNotNull(), n_header + i + 1)))
     row_idx = F.col("skip") + F.col("at") - F.col("start") - 1
-    return raw.join(blocks, ["path", "block"]).select(
-        F.regexp_extract("path", dataset_pattern, 1).alias("dataset_id"),
+    ids = F.regexp_extract("path", dataset_pattern, 1)
+    files = blocks.select("path", ids.alias("id")).distinct()
+    files = files.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id")) > 1)
+    problem = F.when(F.col("id") == "", "the path has no dataset id").when(F.col("shared"), "several files have this dataset id")
+    files = files.select("path", F.when(F.col("id") == "", F.col("path")).otherwise(F.col("id")).alias("dataset_id"), problem.alias("problem"))
+    return raw.join(blocks, ["path", "block"]).join(files, "path").select(
+        "dataset_id",
         "path",
         row_idx.alias("row_idx"),
         "header",
         F.when(row_idx < 0, F.col("header")).otherwise(F.slice("fields", 1, n_header)).alias("fields"),
         F.coalesce(last, n_header).alias("n_fields"),
+        "problem",
     )
 
 
+def _read_wide(spark: SparkSession, paths: list[str], width: int, multi_line: bool, recursive: bool, only: DataFrame | None) -> DataFrame:
+    """Written rows of the files, each file as wide as it needs."""
+    rows = _read_rows(spark, paths, width, multi_line, recursive)
+    raw = materialize(rows if only is None else rows.join(only.select("path"), "path", "left_semi"), "csv-rows")
+    wide = raw.where("full").select("path").distinct()
+    if wide.isEmpty():
+        return raw
+    wider = _read_wide(spark, paths, (width - 1) * 8 + 1, multi_line, recursive, wide)
+    return raw.join(wide, "path", "left_anti").unionByName(wider)
+
+
 def collection_cells(staged: DataFrame, na_tokens: list[str] = NA_TOKENS) -> DataFrame:
     """The long form ``dataset_id, row_idx, col_idx, col_name, value`` with missing values as NULL.
 
     Every column also has one row with NULL ``row_idx`` and ``value`` from the header, so that columns of tables
-    without rows are kept.
+    without rows are kept. Files with a problem have no cells.
     """
-    cells = staged.select(
+    cells = staged.where(F.col("problem").isNull()).select(
         "dataset_id",
         F.when(F.col("row_idx") >= 0, F.col("row_idx")).alias("row_idx"),
         F.posexplode(F.arrays_zip(F.col("header").alias("name"), F.col("fields").alias("value"))).alias("col_idx", "cell"),
@@ -157,8 +181,11 @@ def list_csv_files(spark: SparkSession, roots: list[str], dataset_pattern: str =
 
 
 def resolve_csv_paths(ids: DataFrame, listing: DataFrame) -> DataFrame:
-    """Each id with the path from its most preferred root; ``missing_csv`` where no root has the file."""
-    best = listing.groupBy("dataset_id").agg(F.min_by("path", "root_priority").alias("path"))
+    """Each id with the path from its most preferred root; ``missing_csv`` where no root has the file.
+
+    Of several files of one id in that root the first path is given, and :func:`collection_status` reports the id.
+    """
+    best = listing.groupBy("dataset_id").agg(F.min_by("path", F.struct("root_priority", "path")).alias("path"))
     return ids.join(best, "dataset_id", "left").withColumn(
         "status", F.when(F.col("path").isNull(), "missing_csv").otherwise("ok")
     )
@@ -167,19 +194,22 @@ def resolve_csv_paths(ids: DataFrame, listing: DataFrame) -> DataFrame:
 def collection_status(ids: DataFrame, listing: DataFrame, minimal: DataFrame) -> DataFrame:
     """Minimal profiles for every wanted id, with ``missing_csv`` and unreadable files as rows instead of failures."""
     resolved = resolve_csv_paths(ids, listing)
+    first = listing.groupBy("dataset_id").agg(F.min("root_priority").alias("root_priority"))
+    clash = listing.join(first, ["dataset_id", "root_priority"]).groupBy("dataset_id").count().where("count > 1").select("dataset_id", F.lit(True).alias("clash"))
+    resolved = resolved.join(clash, "dataset_id", "left")
     joined = resolved.withColumnRenamed("status", "found").join(minimal, "dataset_id", "left")
     missing = F.col("found") == "missing_csv"
-    empty = F.col("status").isNull()
+    clash = F.coalesce("clash", F.lit(False))
+    empty = F.col("status").isNull() | clash
     error = (
         F.when(missing, F.concat(F.lit("no CSV file for "), F.col("dataset_id")))
-        .when(empty, F.lit("no columns to parse from file"))
+        .when(clash, F.lit("several files have this dataset id"))
+        .when(empty, F.lit("the file is empty or cannot be read"))
         .otherwise(F.col("error"))
     )
     return joined.select(
         "dataset_id",
         F.when(missing, "missing_csv").when(empty, "error").otherwise(F.col("status")).alias("status"),
-        "row_count",
-        "column_count",
-        "columns",
+        *[F.when(~empty, F.col(c)).alias(c) for c in ("row_count", "column_count", "columns")],
         error.alias("error"),
     )

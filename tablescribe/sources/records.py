@@ -20,13 +20,23 @@ RESULTS_SCHEMA = "method string, metric string, value double"
 
 
 def read_registry(spark: SparkSession, path: str, max_datasets: int | None = None) -> DataFrame:
-    """A registry (one JSON array) with its file order as ``ord``; only the first ``max_datasets`` when given."""
+    """A registry (one JSON array) with its file order as ``ord``; only the first ``max_datasets`` when given.
+
+    A file that is no JSON array fails the query. The registry is the list of datasets, one file of bounded size.
+    """
     items = spark.read.text(path, wholetext=True)
-    parsed = items.select(F.posexplode(F.from_json("value", f"array<struct<{_as_struct(REGISTRY_SCHEMA)}>>")).alias("ord", "item"))
+    entries = _parsed("value", f"array<struct<{_as_struct(REGISTRY_SCHEMA)}>>", F.lit("the registry is no JSON array: "))
+    parsed = items.select(F.posexplode(entries).alias("ord", "item"))
     registry = parsed.select("ord", "item.*")
     return registry if max_datasets is None else registry.where(F.col("ord") < max_datasets)
 
 
+def _parsed(column: str, schema: str, message: Column) -> Column:
+    """A whole file's JSON; a file that cannot be read as ``schema`` fails the query."""
+    value = F.from_json(column, schema, {"mode": "FAILFAST"})
+    return F.coalesce(value, F.raise_error(F.concat(message, F.substring(column, 1, 80))).cast(schema))
+
+
 def _as_struct(ddl: str) -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (f.split(" ", 1) for f in ddl.split(", ")))
 
@@ -92,7 +102,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], RESULTS_SCHEMA)
-    methods = whole.select(F.explode(F.from_json("value", "map<string, map<string, double>>")).alias("method", "metrics"))
+    results = _parsed("value", "map<string, map<string, double>>", F.lit("the results are no JSON object: "))
+    methods = whole.select(F.explode(results).alias("method", "metrics"))
     return methods.select("method", F.explode("metrics").alias("metric", "value"))
 
 

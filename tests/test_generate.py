@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescribe.operators import catalog, generate as G
-from tablescribe.plans import describe, evaluate
+from tablescribe.plans import describe, evaluate, prompts
 from tablescribe.sources import records
 
 
+TEMPLATES = {kind: kind + "".join(f" {f}={{{f}}}" for f in fields) for kind, fields in prompts.FIELDS.items()}
+
+
 def backend_factory(fail=None, log=None):
     """A stub backend: answers every prompt, raises where ``fail`` says so, and notes its calls in a file."""
 
@@ -87,18 +90,18 @@ def test_incremental_runs(spark, tmp_path):
     runs = str(tmp_path / "runs")
 
     def fail_b(prompt):
-        return "backend down" if "Rows" not in prompt and '"dataset_id":"b"' in prompt else None
+        return "backend down" if prompt.startswith("ufd_nyc") and '"dataset_id":"b"' in prompt else None
 
-    first = describe.describe_collection(spark, reg, [root], out, backend_factory(fail_b, str(log)), run_log=runs, runtime_log=str(tmp_path / "times"))
+    first = describe.describe_collection(spark, reg, [root], out, backend_factory(fail_b, str(log)), TEMPLATES, run_log=runs, runtime_log=str(tmp_path / "times"))
     got = {r.dataset_id: (r.status, r.error) for r in first.collect()}
     assert got["a"][0] == got["c"][0] == "ok"
     assert got["b"] == ("error", "RuntimeError: backend down") and got["gone"][0] == "missing_csv"
     assert calls(log) == 3 + 3 + 2
 
-    second = describe.describe_collection(spark, reg, [root], out, backend_factory(log=str(log)), run_log=runs)
+    second = describe.describe_collection(spark, reg, [root], out, backend_factory(log=str(log)), TEMPLATES, run_log=runs)
     assert {r.dataset_id: r.status for r in second.collect()} == {"b": "ok", "gone": "missing_csv"}
     before = calls(log)
-    third = describe.describe_collection(spark, reg, [root], out, backend_factory(log=str(log)), run_log=runs)
+    third = describe.describe_collection(spark, reg, [root], out, backend_factory(log=str(log)), TEMPLATES, run_log=runs)
     assert {r.dataset_id: r.status for r in third.collect()} == {"gone": "missing_csv"} and calls(log) == before
 
     logged = spark.read.json(runs).orderBy("timestamp").collect()
@@ -114,7 +117,7 @@ def test_incremental_runs(spark, tmp_path):
 def test_all_methods(spark, tmp_path):
     root = make_files(tmp_path / "csv", a="x,y\n1,u\n2,v\n")
     out = describe.describe_collection(
-        spark, make_registry(spark, "a"), [root], str(tmp_path / "out"), backend_factory(), describe.ALL_METHODS, max_rows=1
+        spark, make_registry(spark, "a"), [root], str(tmp_path / "out"), backend_factory(), TEMPLATES, describe.ALL_METHODS, max_rows=1
     ).first()
     assert out.status == "ok" and out.HandS == "reply at 0.0" and out.sample == "x,y\n1,u\n"
     assert {out.ufd, out.sfd, out.ufd_nyc, out.sfd_nyc} == {"reply at 0.3"}
@@ -126,16 +129,16 @@ def test_judging_and_grading(spark):
     queries = spark.createDataFrame([("query_1", "one"), ("query_2", "two")], "query_id string, text string")
 
     def make():
-        return lambda batch, temperature: ["Relevance: 2" if "Query: one" in batch[0] else "none"]
+        return lambda batch, temperature: ["Relevance: 2" if "query=one" in batch[0] else "none"]
 
-    judged = evaluate.judge_relevance(reg, queries, make, n_datasets=5)
+    judged = evaluate.judge_relevance(reg, queries, make, TEMPLATES["relevance"], n_datasets=5)
     rows = judged.collect()
     assert len(rows) == 10 and {(r.query_id, r.rel) for r in rows} == {("query_1", 2), ("query_2", 0)}
-    wide = evaluate.relevance_matrix(judged, ["query_1", "query_2"])
+    wide = records.relevance_wide(judged, ["query_1", "query_2"])
     assert wide.columns == ["dataset_id", "query_1", "query_2"] and wide.count() == 5
 
     base = spark.createDataFrame([("d1", "long enough", "tiny"), ("d2", "", None)], "dataset_id string, ufd string, sfd string")
-    grades = evaluate.grade_texts(base.select("dataset_id"), reg, base, None, lambda: lambda b, t: ['{"readability": 5}'])
+    grades = evaluate.grade_texts(base.select("dataset_id"), reg, base, None, lambda: lambda b, t: ['{"readability": 5}'], TEMPLATES["grade"])
     got = {(r.dataset_id, r.method) for r in grades.collect()}
     assert got == {("d1", "original"), ("d1", "ufd"), ("d2", "original")}
 

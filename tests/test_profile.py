@@ -87,16 +87,29 @@ def test_number_rules(spark):
     assert got["big"].num_unique == 4
 
 
-def test_salts_do_not_change_the_result(spark):
-    values = [str(random.Random(i).randint(0, 30)) for i in range(500)]
-    cells = cells_of(spark, {"n": values, "t": [f"w{v}" for v in values]})
-    facts = P.cell_facts(cells)
-    plain = P.cell_values(cells, facts, 1).orderBy("col_idx", "num", "txt").collect()
-    salted = P.cell_values(cells, facts, 7).orderBy("col_idx", "num", "txt").collect()
-    assert plain == salted
-    bounds = facts.where("coarse_type = 'numeric'").select(*P.KEYS, "n", "band")
-    one = P.exact_quartiles(P.cell_values(cells, facts, 1), bounds, 1).collect()
-    assert one == P.exact_quartiles(P.cell_values(cells, facts, 7), bounds, 7).collect()
+def test_quartiles_of_few_and_of_many_distinct_values(spark):
+    df = spark.range(1_000_000).select("id", (F.col("id") * 0.5).alias("many"), F.lit(3).alias("one"))
+    profile = P.profile_table(df, "t", ["id"])
+    got = {r.name: r.stats for r in profile.collect()}
+    assert (got["many"].p25, got["many"].p50, got["many"].p75) == (124_999.875, 249_999.75, 374_999.625)
+    assert (got["one"].p25, got["one"].p50, got["one"].p75) == (3.0, 3.0, 3.0)
+    assert "percentile" not in profile._jdf.queryExecution().toString()
+
+
+def test_smallest_long_and_scans_of_nullable_columns(spark):
+    df = spark.createDataFrame([(1, -(2**63)), (2, -(2**63) + 1), (3, None)], "id long, v long")
+    assert {r.name: r.num_unique for r in P.profile_table(df, "t", ["id"]).collect()}["v"] == 2
+
+    def scans(n, path):
+        spark.range(20).select("id", *[F.when(F.col("id") % 7 != i % 7, F.col("id")).alias(f"c{i}") for i in range(n)]).write.parquet(path)
+        table = spark.read.parquet(path)
+        examples = P.table_examples(table, "t", ["id"], P.table_facts(table, "t"))
+        return examples._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        assert scans(2, f"{folder}/a") == scans(50, f"{folder}/b")
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 30_001])

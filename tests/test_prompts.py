@@ -73,7 +73,7 @@ def test_templates_fill_every_field(spark):
     text = one(spark, prompts.fill("{{a}} {b}-{b} {c}", b=F.lit(1), c=F.lit(None).cast("string")))
     assert text == "{a} 1-1 "
     df = spark.createDataFrame([(None, None, "T")], "agency string, category string, topic string")
-    p = df.select(prompts.domain_user_prompt(F.lit("S"), F.lit("C"), F.lit("M")).alias("p")).first().p
+    p = df.select(prompts.domain_user_prompt(F.lit("S"), F.lit("C"), F.lit("M"), "{agency} {category} {topic}").alias("p")).first().p
     assert "NYC Agency" in p and "General" in p and "{" not in p
 
 

@@ -116,11 +116,19 @@ def test_throughput_figures(spark):
     assert rates == [pytest.approx(681.6724900677106), 0.0, 0.0]
 
 
-def test_pairs_of_large_query_sets(spark, monkeypatch):
+def test_pairs(spark):
     datasets = spark.createDataFrame([(str(i), i) for i in range(40)], "id string, n int")
     queries = spark.createDataFrame([(f"query_{i}", f"text '{i}'") for i in range(25)], "query_id string, text string")
-    small = {(r.id, r.query_id, r["query"]) for r in grading.judgement_pairs(datasets, queries).collect()}
-    monkeypatch.setattr(grading, "QUERY_LIMIT", 10)
-    large = [(r.id, r.query_id, r["query"]) for r in grading.judgement_pairs(datasets, queries).collect()]
-    assert len(large) == 1000 and set(large) == small
+    pairs = [(r.id, r.query_id, r["query"]) for r in grading.judgement_pairs(datasets, queries).collect()]
+    assert len(pairs) == len(set(pairs)) == 1000 and ("7", "query_3", "text '3'") in pairs
     assert grading.judgement_pairs(datasets, queries.limit(0)).count() == 0
+
+
+def test_last_record_wins(spark):
+    ids = spark.createDataFrame([("a",), ("a",), ("b",)], "dataset_id string")
+    registry = spark.createDataFrame([("a", "old", ["x"], "d", 0), ("a", "new", ["y"], "e", 1)], "id string, name string, columns array<string>, description string, ord int")
+    baseline = spark.createDataFrame([("a", "u1", "s1", 0), ("a", "u2", None, 3)], "dataset_id string, ufd string, sfd string, ord int")
+    domain = spark.createDataFrame([("a", "n1", "m1", 5), ("a", "n0", "m0", 2)], "dataset_id string, ufd_nyc string, sfd_nyc string, ord int")
+    rows = {r.dataset_id: r for r in grading.join_variants(ids, registry, baseline, domain).collect()}
+    assert len(rows) == 2 and rows["b"].title is None
+    assert (rows["a"].title, rows["a"].original, rows["a"].ufd, rows["a"].sfd, rows["a"].ufd_nyc) == ("new", "e", "u2", None, "n1")
