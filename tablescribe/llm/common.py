@@ -20,6 +20,13 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def key_text(column: str) -> Column:
     """A key as text that is never null, for joins in which null keys are equal."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))

@@ -23,10 +23,11 @@ def components(links: DataFrame) -> DataFrame:
     seen = _signature(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written, so that both sides of the join are plain exchanges, of which a hub's large partition is split.
+        smallest = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "smallest")
         larger = both.filter("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         larger = materialize(larger, "links")
-        smallest = larger.groupBy("a").agg(F.min("b").alias("m"))
+        smallest = materialize(larger.groupBy("a").agg(F.min("b").alias("m")), "smallest")
         smaller = larger.join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
         now = materialize(smaller.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct(), "links")
         before, seen = seen, _signature(now)

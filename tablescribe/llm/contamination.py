@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import text_of
+from .common import text_of, unused
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -123,6 +123,7 @@ def contamination(df: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
 
 def drop_contaminated(df: DataFrame, items: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``df`` in which no window of an item occurs, with all their columns."""
-    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = contamination(rows, items, key="__row", text=text, item=item, item_text=item_text, window=window)
-    return rows.join(_small(found.filter("contaminated").select("__row")), "__row", "left_anti").drop("__row")
+    own = unused(df, "__row")
+    rows = materialize(df.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    found = materialize(contamination(rows, items, key=own, text=text, item=item, item_text=item_text, window=window).filter("contaminated").select(own), "contaminated")
+    return rows.join(_small(found), own, "left_anti").drop(own)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import key_text, text_of
+from .common import key_text, text_of, unused
 
 TRIE_BYTES = 96 << 20
 
@@ -226,6 +226,7 @@ def exact_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def drop_exact_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that :func:`exact_duplicates` keeps, with all their columns; of rows that repeat key and text one."""
-    kept = exact_duplicates(df, key=key, text=text).filter("kept").select(key_text(key).alias("__k"), F.col("text_sha256").alias("__sha"))
-    rows = df.withColumns({"__k": key_text(key), "__sha": F.sha2(normalised(text), 256)})
-    return rows.join(kept, ["__k", "__sha"], "left_semi").dropDuplicates(["__k", "__sha"]).drop("__k", "__sha")
+    own = [unused(df, "__key"), unused(df, "__sha")]
+    kept = exact_duplicates(df, key=key, text=text).filter("kept").select(key_text(key).alias(own[0]), F.col("text_sha256").alias(own[1]))
+    rows = df.withColumns({own[0]: key_text(key), own[1]: F.sha2(normalised(text), 256)})
+    return rows.join(kept, own, "left_semi").dropDuplicates(own).drop(*own)

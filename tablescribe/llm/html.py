@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 WINDOW = 3
 SURGE = 80
 
@@ -132,5 +134,6 @@ def extract(df: DataFrame, *, html: str = "html", window: int = WINDOW, surge: i
     enough to be a surge. White space inside a block becomes one space and blocks are joined by one. Columns named text or
     n_chars are replaced.
     """
-    found = df.withColumn("__text", extracted(html, window, surge)).drop(html, "text", "n_chars")
-    return found.withColumnRenamed("__text", "text").withColumn("n_chars", F.length("text").cast("long"))
+    own = unused(df, "__text")
+    found = df.withColumn(own, extracted(html, window, surge)).drop(html, "text", "n_chars")
+    return found.withColumnRenamed(own, "text").withColumn("n_chars", F.length("text").cast("long"))

@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SAMPLE_ROWS = 400  # training texts of a language
 SAMPLE_CHARS = 20_000  # characters of such a text
 DICTIONARY_BYTES = 65_536
@@ -106,5 +108,6 @@ def predicted(column: str, dictionaries: dict[str, bytes]) -> Column:
 
 def identify(df: DataFrame, dictionaries: dict[str, bytes], *, text: str = "text") -> DataFrame:
     """``df`` with lang_pred, score and rejected, which replace columns of those names. An empty table gives an empty one."""
-    found = df.withColumn("__lang", predicted(text, dictionaries)).drop("lang_pred", "score", "rejected")
-    return found.select(*[c for c in found.columns if c != "__lang"], "__lang.*")
+    own = unused(df, "__lang")
+    found = df.withColumn(own, predicted(text, dictionaries)).drop("lang_pred", "score", "rejected")
+    return found.select(*[F.col(f"`{c}`") for c in found.columns if c != own], f"{own}.*")

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from ..session import materialize
-from .common import key_text, text_of
+from .common import key_text, text_of, unused
 from .components import components
 
 SEED = 42
@@ -255,7 +255,8 @@ def classes(rows: DataFrame, *, key: str, radius: int, blocks: int, shard_rows:
 
 def drop_near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, blocks: int = 6, shard_rows: int = 16_384) -> DataFrame:
     """Of each component of :func:`near_duplicates` the row with the smallest ``key``, with all its columns; of rows that repeat key and fingerprint one."""
-    rows = materialize(df.withColumns({"__fp": fingerprints(text, words), "__k": key_text(key)}), "fingerprinted")
-    found = classes(rows.select(F.col(key), F.col("__fp").alias("fp")), key=key, radius=radius, blocks=blocks, shard_rows=shard_rows)
-    stay = found.filter(F.col("first").eqNullSafe(F.col("component_id"))).select(F.col("fp").alias("__fp"), key_text("first").alias("__k"))
-    return rows.join(stay, ["__fp", "__k"], "left_semi").dropDuplicates(["__fp", "__k"]).drop("__fp", "__k")
+    own = [unused(df, "__fp"), unused(df, "__key")]
+    rows = materialize(df.withColumns({own[0]: fingerprints(text, words), own[1]: key_text(key)}), "fingerprinted")
+    found = classes(rows.select(F.col(key), F.col(own[0]).alias("fp")), key=key, radius=radius, blocks=blocks, shard_rows=shard_rows)
+    stay = found.filter(F.col("first").eqNullSafe(F.col("component_id"))).select(F.col("fp").alias(own[0]), key_text("first").alias(own[1]))
+    return rows.join(stay, own, "left_semi").dropDuplicates(own).drop(*own)

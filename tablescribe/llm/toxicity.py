@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import byte_batches
+from .common import byte_batches, unused
 
 BEGINNINGS = (4, 5)  # lengths of word beginnings that are terms too
 HASH_BITS = 40
@@ -203,5 +203,6 @@ def scored(column: str, machine: Machine) -> Column:
 
 def score(df: DataFrame, machine: Machine, *, text: str = "text") -> DataFrame:
     """``df`` with score (0 to 1) and predicted (1 from 0.5 on), which replace columns of those names; empty texts get the bias's score."""
-    found = df.withColumn("__score", scored(text, machine)).drop("score", "predicted")
-    return found.withColumnRenamed("__score", "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    own = unused(df, "__score")
+    found = df.withColumn(own, scored(text, machine)).drop("score", "predicted")
+    return found.withColumnRenamed(own, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
