@@ -67,9 +67,6 @@ TYPED = {
 }
 
 
-LARGE = ["orders", "lineitem", "events", "documents", "pages", "conversations"]
-
-
 def flat(profile: DataFrame) -> DataFrame:
     """Profiles as plain columns; lists as md5 of their joined text."""
     top = F.array_join(F.transform("stats.top_values", lambda t: F.concat_ws("=", t["value"], t["count"].cast("string"))), "|")
@@ -247,6 +244,17 @@ WHERE NOT null_fraction >= 0.8 AND num_unique / greatest(num_rows, 1) <= 0.9)
 SELECT dataset_id, col_idx, name FROM c WHERE r <= 3"""
 )
 
+def embeddings_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """A table with an array column; lists of values as counts only, since texts of arrays are written in many ways."""
+    profile = P.profile_table(table(spark, sf, "embeddings"), "embeddings", ["vec_id"])
+    return profile.select("col_idx", "name", "coarse_type", "num_rows", "num_non_null", "num_unique", F.size("example_values").alias("examples"))
+
+
+EMBEDDINGS_SQL = "\nUNION ALL\n".join(
+    f"SELECT {i} AS col_idx, '{c}' AS name, '{k}' AS coarse_type, count(*) AS num_rows, count({c}) AS num_non_null, count(DISTINCT {c}) AS num_unique, 5 AS examples FROM embeddings"
+    for i, (c, k) in enumerate((("vec_id", "numeric"), ("embedding", "text"), ("label", "numeric")))
+)
+
 QUERIES = {
     "profile_region_nation": typed("region", "nation"),
     "profile_supplier": typed("supplier"),
@@ -259,6 +267,8 @@ QUERIES = {
     "profile_documents": typed("documents"),
     "profile_pages": typed("pages"),
     "profile_conversations": typed("conversations"),
+    "profile_benchmark": typed("benchmark"),
+    "profile_embeddings": embeddings_profile,
     "profile_with_nulls": with_nulls,
     "collection_minimal_profile": collection_minimal,
     "collection_column_profile": collection_profile,
@@ -278,6 +288,8 @@ ORACLES = {
     "profile_documents": typed_sql("documents"),
     "profile_pages": typed_sql("pages"),
     "profile_conversations": typed_sql("conversations"),
+    "profile_benchmark": typed_sql("benchmark"),
+    "profile_embeddings": EMBEDDINGS_SQL,
     "profile_with_nulls": WITH_NULLS_SQL,
     "collection_minimal_profile": COLLECTION_MINIMAL_SQL,
     "collection_column_profile": COLLECTION_PROFILE_SQL,
