@@ -11,6 +11,7 @@ from tablescribe.sources.records import relevance_long, relevance_wide
 from .tables import table
 
 METHODS = {"original": "text", "ufd": "words", "sfd": "tagged"}
+# Columns of the relevance matrix, as its format has them.
 JUDGED_QUERIES = 20
 
 
@@ -38,6 +39,14 @@ def relevance_matrix(spark, sf):
     return table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("dataset_id"), *cells)
 
 
+def judgements(spark, sf):
+    """Every labelled document judged for every query, by the same rule, in long form."""
+    labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("rel"))
+    numbers = table(spark, sf, "benchmark").select((F.col("item_id") + 1).alias("i"))
+    rel = F.when((F.col("doc_id") + F.col("i")) % 4 == 0, 0).otherwise(F.col("rel"))
+    return labels.crossJoin(numbers).select(F.concat(F.lit("query_"), "i").alias("query_id"), F.col("doc_id").cast("string").alias("dataset_id"), rel.alias("rel"))
+
+
 _TOKENS = r"list_filter(string_split_regex(lower({t}), '\s+'), lambda x: x <> '')"
 _TEXTS_SQL = f"""words AS (SELECT doc_id, text, regexp_replace(text, '[^A-Za-z]+', ' ', 'g') AS w, source, lang FROM documents),
 texts AS (SELECT 'original' AS method, doc_id, text AS t FROM words UNION ALL SELECT 'ufd', doc_id, w FROM words
@@ -56,6 +65,7 @@ ranked AS (SELECT method, query_id, doc_id, coalesce(score, 0.0) AS score,
   FROM everything LEFT JOIN hits USING (method, query_id, doc_id))"""
 _REL_SQL = f"""rel AS (SELECT doc_id, 'query_' || i AS query_id, CASE WHEN (doc_id + i) % 4 = 0 THEN 0 ELSE quality + 1 - toxic END AS rel
   FROM labels, range(1, {JUDGED_QUERIES + 1}) AS q(i))"""
+_ALL_REL_SQL = """rel AS (SELECT doc_id, 'query_' || (item_id + 1) AS query_id, CASE WHEN (doc_id + item_id + 1) % 4 = 0 THEN 0 ELSE quality + 1 - toxic END AS rel FROM labels, benchmark)"""
 
 
 def tokens(spark, sf):
@@ -91,14 +101,13 @@ def bm25_fill(spark, sf):
 
 
 def ndcg(spark, sf):
-    relevance = relevance_long(relevance_matrix(spark, sf))
-    result = R.mean_ndcg(corpus(spark, sf), benchmark_queries(spark, sf), relevance, list(METHODS))
+    result = R.mean_ndcg(corpus(spark, sf), benchmark_queries(spark, sf), judgements(spark, sf), list(METHODS))
     return result.select("method", "k", F.round("ndcg", 6).alias("ndcg"))
 
 
 def ideal(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("dataset_id"))
-    best = R.ideal_dcg(relevance_long(relevance_matrix(spark, sf)), docs, [10, 20])
+    best = R.ideal_dcg(judgements(spark, sf), docs, [10, 20])
     return best.select("query_id", "k", F.round("ideal", 6).alias("ideal"))
 
 
@@ -142,12 +151,12 @@ hits AS (SELECT query_id, doc_id, true AS hit FROM qt JOIN documents ON lower(so
 allq AS (SELECT query_id, doc_id FROM (SELECT DISTINCT query_id FROM qt), documents),
 ranked AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(hit, false) DESC, doc_id)::INTEGER AS rank FROM allq LEFT JOIN hits USING (query_id, doc_id))
 SELECT query_id, rank, doc_id::VARCHAR AS dataset_id FROM ranked WHERE rank <= 100""",
-    "ndcg_by_method": f"""WITH {_RANKED_SQL}, {_REL_SQL}, ks AS (SELECT unnest([10, 20]) AS k),
+    "ndcg_by_method": f"""WITH {_RANKED_SQL}, {_ALL_REL_SQL}, ks AS (SELECT unnest([10, 20]) AS k),
 gain AS (SELECT method, query_id, k, sum(coalesce(rel, 0) / log2(rank + 1)) AS dcg FROM ranked LEFT JOIN rel USING (query_id, doc_id) JOIN ks ON rank <= k GROUP BY ALL),
 best AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC) AS r FROM rel SEMI JOIN documents USING (doc_id)),
 ideal AS (SELECT query_id, k, sum(rel / log2(r + 1)) AS ideal FROM best JOIN ks ON r <= k GROUP BY ALL)
 SELECT method, k::INTEGER AS k, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END), 6) AS ndcg FROM gain LEFT JOIN ideal USING (query_id, k) GROUP BY method, k""",
-    "ideal_dcg": f"""WITH {_REL_SQL}, ks AS (SELECT unnest([10, 20]) AS k),
+    "ideal_dcg": f"""WITH {_ALL_REL_SQL}, ks AS (SELECT unnest([10, 20]) AS k),
 best AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC) AS r FROM rel SEMI JOIN documents USING (doc_id))
 SELECT query_id, k::INTEGER AS k, round(sum(rel / log2(r + 1)), 6) AS ideal FROM best JOIN ks ON r <= k GROUP BY query_id, k""",
     "relevance_unpivot": f"WITH {_REL_SQL} SELECT query_id, doc_id::VARCHAR AS dataset_id, rel::INTEGER AS rel FROM rel",
