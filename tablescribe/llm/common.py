@@ -20,6 +20,11 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """For a join: broadcast if there are at most ``rows`` rows, which are counted first and must be narrow; else left to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` has it."""
     while name.lower() in (c.lower() for c in df.columns):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import text_of, unused
+from .common import small, text_of, unused
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -28,8 +28,7 @@ def words_of(column: str) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """For a join: broadcast if its rows, counted without gathering more, are few; they must be narrow."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return small(df, BROADCAST_ROWS)
 
 
 def benchmark_terms(items: DataFrame, *, item: str = "item_id", text: str = "text") -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, contamination, exact, html, language, packing, simhash, tokens, toxicity, warc
-from .common import crc_remainder, table
+from .common import crc_remainder, small, table
 
 TOKENS_MODEL = "piece_bpe_32k.model"
 PACKING_MODEL = "byte_bpe_50k.json"
+LABELS = 1_000_000  # labels are broadcast up to so many, and joined by shuffling the labelled texts beyond
 
 
 def tokenizer(name: str) -> str:
@@ -39,7 +40,8 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False)))
-    labelled = docs.filter("NOT held_out").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    labels = small(table(spark, sf, "labels").select("doc_id", "toxic"), LABELS)
+    labelled = docs.filter("NOT held_out").join(labels, "doc_id")
     return toxicity.score(docs, toxicity.train(labelled)).select("doc_id", "held_out", "score", "predicted")
 
 

@@ -171,7 +171,7 @@ def train(df: DataFrame, *, text: str = "text", label: str = "toxic", sample_row
     ``features`` features. Without rows of both labels the machine gives the same score to every text.
     """
     rows = df.filter(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    rows = materialize(rows, "labelled")
+    rows = materialize(rows, "labelled")  # read three times
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = totals.get(1, 0), totals.get(0, 0)
     if not ones or not zeros:
@@ -181,21 +181,25 @@ def train(df: DataFrame, *, text: str = "text", label: str = "toxic", sample_row
     strong = term_counts(rows, text="text", label="label").filter(F.col("ones") + F.col("zeros") >= LEAST_ROWS).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
     chosen = np.array(sorted(r["term"] for r in strong.orderBy(F.desc("z"), "term").limit(features).collect()), np.int64)
     share = min(1.0, 1.2 * sample_rows / (ones + zeros))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample_rows)
+    # Copies of a text count once, so that a text with very many of them does not fill the sample.
+    drawn = rows.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = drawn.groupBy("label", "h").agg(F.min("text").alias("text")).select("text", "label")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(chosen)
         for batch in byte_batches(batches, "text"):
             at, found = terms.batch(_filled(batch.column("text")))
             cuts = np.searchsorted(at, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found, pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.searchsorted(chosen, found), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("label"), lists], names=["label", "terms"])
 
-    found = sample.mapInArrow(present, "label int, terms array<long>").collect()
-    labels = np.array([r["label"] for r in found], float)
-    at = np.repeat(np.arange(len(found)), [len(r["terms"]) for r in found])
-    columns = np.searchsorted(chosen, np.array([t for r in found for t in r["terms"]], np.int64))
-    return fit(chosen, len(found), at, columns, labels).centred(len(found), at, columns, labels)
+    found = sample.mapInArrow(present, "label int, terms array<int>").limit(sample_rows).toArrow().combine_chunks()
+    n = found.num_rows
+    labels = found.column("label").to_numpy().astype(float)
+    lists = found.column("terms").combine_chunks()
+    at = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+    columns = lists.flatten().to_numpy()
+    return fit(chosen, n, at, columns, labels).centred(n, at, columns, labels)
 
 
 def scored(column: str, machine: Machine) -> Column:
