@@ -8,6 +8,8 @@ so each distinct piece is encoded once per batch, and short ones are remembered
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -20,31 +22,46 @@ from pyspark.sql import types as T
 
 from .common import byte_batches
 
-REMEMBERED = 400_000  # pieces a worker remembers
+REMEMBERED = 100_000  # pieces a worker remembers
 REMEMBERED_CHARS = 48  # longer pieces are not remembered
 PART_CHARS = 65_536  # texts with runs of white space are encoded in parts of about so many characters
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_JOINT = "\x01"
+_SIGNS = r"([\p{L}\p{N}])([^\s\p{Z}\p{L}\p{N}']+)"
+_IN_A_ROW, _TOGETHER = 64, 16_384  # pieces encoded as one text, and pieces whose ids are told apart at once
 
 
 class Encoder:
     """Ids of pieces by one of the two libraries.
 
     ``spaced`` tells that a piece inside a text is given with the space before it (byte-level BPE); otherwise the library
-    itself puts that space before whatever it encodes (sentencepiece's dummy prefix).
+    itself puts that space before whatever it encodes (sentencepiece's dummy prefix). Models of other kinds get whole texts.
     """
 
     def __init__(self, path: str):
         self.memory: dict[str, bytes] = {}
+        self.spaced = self.cuts = False
+        self.unsafe = ""
         if path.endswith(".json"):
             import tokenizers
 
             model = tokenizers.Tokenizer.from_file(path)
             model.no_truncation()
             model.no_padding()
-            self.spaced, self.cuts = True, True
             self.encode = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-            # Two neighbouring white-space characters may be one token.
-            self.unsafe = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"
+            with open(path, encoding="utf-8") as f:
+                parts = json.load(f)
+            before = parts["pre_tokenizer"] or {}
+            if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not parts["normalizer"]:
+                self.spaced = self.cuts = True
+                # Two neighbouring white-space characters may be one token.
+                self.unsafe = rf"[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]{{2}}|{_JOINT}"
+                # Bytes of each id: a letter of such a vocabulary is a byte, added tokens are texts.
+                self.widths = np.zeros(model.get_vocab_size(), np.int64)
+                for token, i in model.get_vocab(with_added_tokens=False).items():
+                    self.widths[i] = len(token)
+                for i, token in model.get_added_tokens_decoder().items():
+                    self.widths[i] = len(token.content.encode())
         elif path.endswith(".model"):
             import sentencepiece
 
@@ -52,21 +69,47 @@ class Encoder:
             names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
             # Cuts are safe if white space is kept and only ever starts a piece.
             keeps = len(model.encode(" a  a ")) > len(model.encode("a a")) and model.encode("a") != model.encode(" a")
-            self.spaced, self.cuts = False, keeps and not any("▁" in x.lstrip("▁") for x in names)
+            self.cuts = keeps and not any("▁" in x.lstrip("▁") for x in names)
             self.encode = lambda texts: model.encode(texts, num_threads=1)
             self.unsafe = "^ | $|  |▁"
         else:
             raise ValueError(f"{path}: a .json or .model file is needed")
 
+    def fresh(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, as little-endian unsigned 32-bit numbers."""
+        if not self.spaced:
+            return [np.asarray(ids, "<u4").tobytes() for ids in self.encode(pieces)]
+        # Pieces that begin with a space can be encoded one behind the other; the ids' widths tell them apart again.
+        out: list[bytes | None] = [None] * len(pieces)
+        apart = [i for i, x in enumerate(pieces) if len(x) < 2 or x[0] != " "]
+        joint = [i for i, x in enumerate(pieces) if len(x) > 1 and x[0] == " "]
+        for at in range(0, len(joint), _TOGETHER):
+            own = joint[at : at + _TOGETHER]
+            texts = ["".join(pieces[i] for i in own[k : k + _IN_A_ROW]) for k in range(0, len(own), _IN_A_ROW)]
+            ids = np.fromiter((i for x in self.encode(texts) for i in x), "<u4")
+            reached = np.cumsum(self.widths[ids])
+            ends = np.cumsum(np.fromiter((len(pieces[i].encode()) for i in own), np.int64, len(own)))
+            cuts = np.searchsorted(reached, ends) + 1
+            if len(ids) and cuts[-1] == len(ids) and (reached[cuts - 1] == ends).all():
+                data, begin = ids.tobytes(), 0
+                for i, end in zip(own, (4 * cuts).tolist()):
+                    out[i] = data[begin:end]
+                    begin = end
+            else:
+                apart += own
+        for i, ids in zip(apart, self.encode([pieces[i] for i in apart])):
+            out[i] = np.asarray(ids, "<u4").tobytes()
+        return out
+
     def known(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece as little-endian unsigned 32-bit numbers."""
+        """As :meth:`fresh`, remembering short pieces."""
         memory = self.memory
         new = [x for x in pieces if x not in memory]
-        fresh = {x: np.asarray(ids, "<u4").tobytes() for x, ids in zip(new, self.encode(new))} if new else {}
-        found = [memory[x] if x in memory else fresh[x] for x in pieces]
+        fresh = dict(zip(new, self.fresh(new)))
+        found = [fresh[x] if x in fresh else memory[x] for x in pieces]
         if len(memory) + len(fresh) > REMEMBERED:
             memory.clear()
-        memory.update((x, ids) for x, ids in fresh.items() if len(x) <= REMEMBERED_CHARS)
+        memory.update((x, ids) for x, ids in itertools.islice(fresh.items(), REMEMBERED) if len(x) <= REMEMBERED_CHARS)
         return found
 
     def whole(self, text: str) -> bytes:
@@ -90,29 +133,30 @@ class Encoder:
         unsafe = pc.match_substring_regex(texts, self.unsafe).to_numpy(zero_copy_only=False) if self.cuts else np.ones(n, bool)
         easy = pc.if_else(pa.array(unsafe), "", texts)
         if self.spaced:
-            easy = pc.replace_substring(easy, "\n", " \n")  # a piece that begins with a line feed has no space before it
+            # Further cuts, before line feeds and where letters meet signs; a piece that begins so has no space before it.
+            easy = pc.replace_substring_regex(pc.replace_substring(easy, "\n", " \n"), _SIGNS, f"\\1 {_JOINT}\\2")
         lists = pc.split_pattern(easy, " ")
         flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = flat.dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).copy()
         if self.spaced:
             firsts = index[offsets[:-1]]
             openers = list(dict.fromkeys(firsts.tolist()))
             place = dict(zip(openers, range(len(words), len(words) + len(openers))))
-            pieces = [x if x.startswith("\n") else f" {x}" for x in words] + [words[i] for i in openers]
+            pieces = [x if x[:1] == "\n" else x[1:] if x[:1] == _JOINT else f" {x}" for x in words] + [words[i] for i in openers]
             index[offsets[:-1]] = [place[i] for i in firsts.tolist()]
         else:
             pieces = words
         ids = self.known(pieces)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begins = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(ids) else np.zeros(0, np.int64)
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
         pool = np.frombuffer(b"".join(ids), "<u4")
         counts = sizes[index]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
+        ends = np.cumsum(counts, dtype=np.int32)
         # Each occurrence of a piece takes its run of the pool.
-        spread = np.repeat(begins[index] - (ends - counts), counts) + np.arange(total)
+        spread = np.repeat(begins[index] - ends + counts, counts)
+        spread += np.arange(len(spread), dtype=np.int32)
         stream = pool[spread]
         bounds = np.concatenate(([0], ends))[offsets]
         if unsafe.any():
@@ -126,7 +170,8 @@ class Encoder:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
+    """One per worker process and file. Such a worker gives the memory of finished batches back to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
     return Encoder(path)
 
 
