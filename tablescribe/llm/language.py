@@ -38,10 +38,20 @@ def distinct_words(text: str) -> bytes:
 def train(df: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries of the languages of ``df``, of at most ``rows`` texts each, chosen by the hash of the text.
 
-    The sample is bounded by languages x rows x chars. Rows whose language or text is null or without letters are not used.
+    The sample is bounded by languages x rows x chars. Languages are counted first, and only texts whose hash lies below
+    about twice the wanted share are looked at, each once however many copies there are. Rows whose language or text is
+    null or without letters are not used.
     """
-    usable = df.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.substring(text, 1, chars).alias("text"), F.xxhash64(text).alias("h"))
-    first = usable.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= rows)
+    usable = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * rows / r["n"]))])
+    drawn = usable.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    distinct = drawn.filter(F.col("text").rlike(r"\p{L}")).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+    first = distinct.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= rows)
 
     def words(sample: pd.DataFrame) -> pd.DataFrame:
         counts = Counter(w for t in sample["text"] for w in _WORDS.findall(t.lower()))
@@ -53,9 +63,7 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", rows: int =
             chosen.append(word)
         return pd.DataFrame({"lang": sample["lang"].iloc[:1], "words": [" ".join(reversed(chosen)).encode("utf-8", "surrogatepass")]})
 
-    found = first.select("lang", "text").groupBy("lang").applyInPandas(words, "lang string, words binary").limit(LANGUAGES + 1).collect()
-    if len(found) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    found = first.select("lang", "text").groupBy("lang").applyInPandas(words, "lang string, words binary").collect()
     return {r["lang"]: bytes(r["words"]) for r in sorted(found, key=lambda r: r["lang"])}
 
 
@@ -83,7 +91,7 @@ class Classifier:
     def predict(self, text: str) -> tuple[str, float, bool]:
         """(language, score between 0 and 1, rejected); the score falls to 0.5 as two languages come equal."""
         words = distinct_words(text)
-        if not words or not self.models:
+        if not self.models or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         (best, lang), *others = self.sizes(words)
         if not others:

@@ -132,6 +132,8 @@ def test_language_of_odd_documents(spark):
     found = {r.doc_id: r for r in language.identify(documents(spark), dictionaries).collect()}
     assert all(found[i].lang_pred == "und" and found[i].rejected and found[i].score == 0 for i in (3, 4, 5, 11))
     assert found[1].lang_pred == "en" and not found[1].rejected
+    odd = language.identify(documents(spark, [(1, "½ Ⅷ ² _ 7", "en", "s"), (2, "é", "en", "s")]), dictionaries).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in odd} == {1: True, 2: False}
     assert language.identify(documents(spark, []), dictionaries).count() == 0
     nothing = language.train(documents(spark, []))
     assert nothing == {} and {r.lang_pred for r in language.identify(documents(spark), nothing).collect()} == {"und"}
