@@ -183,16 +183,19 @@ def _tries(df: DataFrame, ident: str, kind: T.DataType, limit: int, digest: bool
         for batch in batches:
             yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
 
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), arrow)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for key, who, rows in merged(entries(batches), limit):
             held.append((len(key), hashlib.sha256(key).hexdigest(), who, rows) if digest else (key, who, rows))
             size += 100 if digest else len(key)
             if size > 8 << 20:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*held))), names=names)
+                yield batch(held)
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), arrow)], names=names)
+            yield batch(held)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -168,6 +168,17 @@ def test_exact_duplicates(spark, trie_bytes):
     assert sorted(r.doc_id for r in stay.collect()) == sorted(i for i, _, _, kept, _ in plain_exact(rows) if kept)
 
 
+@pytest.mark.parametrize("ident", ["CAST(id AS int)", "id", "CAST(NULL AS long)"])
+def test_many_short_texts_in_a_partition(spark, ident):
+    # Over 8 MiB of results at 100 bytes each, so that batches leave in mid-stream.
+    rows = spark.range(0, 90_000, 1, 1).selectExpr(f"{ident} AS doc_id", "CAST(id AS string) AS text")
+    norm = rows.selectExpr("CAST(text AS binary) AS norm", "doc_id AS ident", "1L AS rows")
+    found = exact._tries(norm, "ident", rows.schema["doc_id"].dataType, exact.TRIE_BYTES, digest=True)
+    assert found.selectExpr("count(*)", "sum(n_bytes)", "sum(rows)", "count(ident)").first()[:] == (90_000, 438_890, 90_000, 0 if "NULL" in ident else 90_000)
+    if ident == "id":
+        assert found.filter("ident = 89999").first().text_sha256 == hashlib.sha256(b"89999").hexdigest()
+
+
 def test_tries_spill_by_subtree():
     rng = np.random.default_rng(2)
     entries = [(bytes(rng.choice(list(b"ab"), rng.integers(0, 12))), int(rng.integers(0, 99)), 1) for _ in range(5_000)]
