@@ -13,10 +13,10 @@ from collections import Counter
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import smallest_hashes, text_hash, unused, up_to_hash
 
 SAMPLE_ROWS = 400  # training texts of a language
 SAMPLE_CHARS = 20_000  # characters of such a text
@@ -36,22 +36,17 @@ def distinct_words(text: str) -> bytes:
 
 
 def train(df: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Dictionaries of the languages of ``df``, of at most ``rows`` texts each, chosen by the hash of the text.
+    """Dictionaries of the languages of ``df``, each of the ``rows`` distinct texts with the smallest hashes, or of all if there are fewer.
 
-    The sample is bounded by languages x rows x chars. Languages are counted first, and only texts whose hash lies below
-    about twice the wanted share are looked at, each once however many copies there are. Rows whose language or text is
-    null or without letters are not used.
+    The sample is bounded by languages x rows x chars. Copies of a text count once, however many there are. Rows whose
+    language or text is null or without letters are not used.
     """
-    usable = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not counts:
+    usable = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("text").rlike(r"\p{L}"))
+    hashed = usable.withColumn("h", text_hash("text"))
+    _, last = smallest_hashes(hashed, "lang", LANGUAGES, lambda distinct: {x: min(rows, n) for x, n in distinct.items()})
+    if not last:
         return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * rows / r["n"]))])
-    drawn = usable.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    distinct = drawn.filter(F.col("text").rlike(r"\p{L}")).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
-    first = distinct.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= rows)
+    first = up_to_hash(hashed, "lang", last).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
 
     def words(sample: pd.DataFrame) -> pd.DataFrame:
         counts = Counter(w for t in sample["text"] for w in _WORDS.findall(t.lower()))

@@ -141,6 +141,20 @@ def test_language_of_odd_documents(spark):
         language.train(spark.range(300).select(F.col("id").cast("string").alias("lang"), F.lit("some text").alias("text")))
 
 
+def test_few_texts_of_many_copies_make_dictionaries(spark):
+    copies = spark.range(6_000).selectExpr("'en' AS lang", "concat('word', translate(CAST(id % 5 AS string), '01234', 'abcde')) AS text")
+    odd = spark.range(3_000).selectExpr("'en' AS lang", "IF(id % 2 = 0, NULL, CAST(id AS string)) AS text")
+    alone = spark.createDataFrame([("fr", "mot")], "lang string, text string")
+    found = language.train(copies.union(odd).union(alone))
+    assert {k: set(v.split()) for k, v in found.items()} == {"en": {b"worda", b"wordb", b"wordc", b"wordd", b"worde"}, "fr": {b"mot"}}
+
+
+def test_the_sample_is_filled(spark):
+    many = spark.range(20_000).selectExpr("'en' AS lang", "translate(CAST(id % 10000 AS string), '0123456789', 'abcdefghij') AS text")
+    assert len(language.train(many)["en"].split()) == language.SAMPLE_ROWS
+    assert len(language.train(many, rows=7)["en"].split()) == 7
+
+
 # ---------------------------------------------------------------- toxicity
 
 
