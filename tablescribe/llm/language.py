@@ -10,17 +10,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import smallest_hashes, text_hash, unused, up_to_hash
+from .common import byte_batches, smallest_hashes, text_hash, unused, up_to_hash
 
 SAMPLE_ROWS = 400  # training texts of a language
-SAMPLE_CHARS = 20_000  # characters of such a text
 DICTIONARY_BYTES = 65_536
+COUNTED_WORDS = 200_000  # words a task holds before it passes them on
 LEVEL = 9
 SHORT_BYTES = 512
 STRETCH_BYTES = 1024
@@ -35,31 +37,43 @@ def distinct_words(text: str) -> bytes:
     return " ".join(dict.fromkeys(_WORDS.findall(text.lower()))).encode("utf-8", "surrogatepass")
 
 
-def train(df: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def train(df: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries of the languages of ``df``, each of the ``rows`` distinct texts with the smallest hashes, or of all if there are fewer.
 
-    The sample is bounded by languages x rows x chars. Copies of a text count once, however many there are. Rows whose
-    language or text is null or without letters are not used.
+    The sample is bounded by languages x rows; its texts are used whole, and what reaches the driver is bounded by languages x
+    size. Copies of a text count once, however many there are. Rows whose language or text is null or without letters are not
+    used.
     """
     usable = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("text").rlike(r"\p{L}"))
     hashed = usable.withColumn("h", text_hash("text"))
     _, last = smallest_hashes(hashed, "lang", LANGUAGES, lambda distinct: {x: min(rows, n) for x, n in distinct.items()})
     if not last:
         return {}
-    first = up_to_hash(hashed, "lang", last).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
-
-    def words(sample: pd.DataFrame) -> pd.DataFrame:
-        counts = Counter(w for t in sample["text"] for w in _WORDS.findall(t.lower()))
-        chosen, used = [], 0
-        for word, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-            used += len(word.encode("utf-8", "surrogatepass")) + 1
-            if used > size:
-                break
-            chosen.append(word)
-        return pd.DataFrame({"lang": sample["lang"].iloc[:1], "words": [" ".join(reversed(chosen)).encode("utf-8", "surrogatepass")]})
-
-    found = first.select("lang", "text").groupBy("lang").applyInPandas(words, "lang string, words binary").collect()
-    return {r["lang"]: bytes(r["words"]) for r in sorted(found, key=lambda r: r["lang"])}
+    first = up_to_hash(hashed, "lang", last).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, str]] = Counter()
+        for batch in byte_batches(batches, "text"):
+            for name, whole in zip(batch.column(0), batch.column(1)):
+                counts.update((name.as_py(), m[0]) for m in _WORDS.finditer(whole.as_py().lower()))
+                if len(counts) > COUNTED_WORDS:
+                    yield _counted(counts)
+                    counts.clear()
+        if counts:
+            yield _counted(counts)
+
+    counted = first.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # A word takes two bytes at least, so that no more than size / 2 words have room.
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    common = counted.filter(F.octet_length("word") < size).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size // 2)
+    used = F.sum(F.octet_length("word") + 1).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    found = common.withColumn("used", used).filter(F.col("used") <= size).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word")), asc=False)["word"].alias("words"))
+    return {r["lang"]: " ".join(r["words"]).encode("utf-8", "surrogatepass") for r in sorted(found.collect(), key=lambda r: r["lang"])}
+
+
+def _counted(counts: Counter[tuple[str, str]]) -> pa.RecordBatch:
+    langs, words = zip(*counts)
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
 
 
 class Classifier:

@@ -155,6 +155,14 @@ def test_the_sample_is_filled(spark):
     assert len(language.train(many, rows=7)["en"].split()) == 7
 
 
+def test_words_of_whole_texts_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "COUNTED_WORDS", 3)
+    rows = spark.createDataFrame([("en", "boiler plate " * 4_000 + "Late late ending"), ("en", "boiler other"), ("fr", "à la fin"), ("xx", "²½ x" + "y" * 70_000)], "lang string, text string")
+    found = language.train(rows)
+    assert found == {"en": b"other ending late plate boiler", "fr": "à la fin".encode(), "xx": "²½".encode()}
+    assert language.train(rows, size=13)["en"] == b"plate boiler"
+
+
 # ---------------------------------------------------------------- toxicity
 
 
