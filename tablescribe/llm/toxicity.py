@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import byte_batches, unused
+from .common import byte_batches, smallest_hashes, text_hash, unused, up_to_hash
 
 BEGINNINGS = (4, 5)  # lengths of word beginnings that are terms too
 HASH_BITS = 40
@@ -124,12 +124,15 @@ class Machine:
     def scores(self, n: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.sums(n, rows, columns), -40, 40)))
 
-    def centred(self, n: int, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray) -> Machine:
-        """The same order of texts, with 0.5 where the labels are told apart best (largest F1; the middle of equal places)."""
+    def centred(self, n: int, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> Machine:
+        """The same order of texts, with 0.5 where the labels are told apart best (largest F1; the middle of equal places).
+
+        Each text stands for ``weights`` texts.
+        """
         order = np.argsort(self.sums(n, rows, columns), kind="stable")
-        sums, ones = self.sums(n, rows, columns)[order], labels[order]
-        found = ones[::-1].cumsum()[::-1]  # ones at or above each place
-        f1 = 2 * found / (np.arange(n, 0, -1) + ones.sum())
+        sums, ones, every = self.sums(n, rows, columns)[order], (labels * weights)[order], weights[order]
+        found, above = (x[::-1].cumsum()[::-1] for x in (ones, every))  # ones, and all, at or above each place
+        f1 = 2 * found / (above + ones.sum())
         f1[1:][sums[1:] == sums[:-1]] = -1  # equal sums cannot be told apart
         at = int(np.argmax(f1))
         if at:
@@ -167,11 +170,13 @@ def fit(features: np.ndarray, n: int, rows: np.ndarray, columns: np.ndarray, lab
 def train(df: DataFrame, *, text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Machine:
     """A machine learned from the rows of ``df`` whose label is 0 or 1.
 
-    All of them are counted; the machine is fitted on at most ``sample_rows``, chosen by the hash of the text, and at most
-    ``features`` features. Without rows of both labels the machine gives the same score to every text.
+    All of them are counted; the machine is fitted on at most ``sample_rows`` distinct texts, those of either label with the
+    smallest hashes, and at most ``features`` features. Each label has half of the sample, or what the other leaves; the bias
+    is then set right for the labels' numbers of distinct texts. Copies of a text count once, so that a text with very many of
+    them does not fill the sample. Without rows of both labels the machine gives the same score to every text.
     """
     rows = df.filter(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    rows = materialize(rows, "labelled")  # read three times
+    rows = materialize(rows.withColumn("h", text_hash("text")), "labelled")  # read several times
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = totals.get(1, 0), totals.get(0, 0)
     if not ones or not zeros:
@@ -180,10 +185,8 @@ def train(df: DataFrame, *, text: str = "text", label: str = "toxic", sample_row
     z = F.abs(p - q) / F.sqrt(p * (1 - p) / ones + q * (1 - q) / zeros)
     strong = term_counts(rows, text="text", label="label").filter(F.col("ones") + F.col("zeros") >= LEAST_ROWS).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
     chosen = np.array(sorted(r["term"] for r in strong.orderBy(F.desc("z"), "term").limit(features).collect()), np.int64)
-    share = min(1.0, 1.2 * sample_rows / (ones + zeros))
-    # Copies of a text count once, so that a text with very many of them does not fill the sample.
-    drawn = rows.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = drawn.groupBy("label", "h").agg(F.min("text").alias("text")).select("text", "label")
+    distinct, last = smallest_hashes(rows, "label", 2, lambda n: _shares(n, sample_rows))
+    sample = up_to_hash(rows, "label", last).groupBy("label", "h").agg(F.min("text").alias("text")).select("text", "label")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(chosen)
@@ -193,13 +196,23 @@ def train(df: DataFrame, *, text: str = "text", label: str = "toxic", sample_row
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.searchsorted(chosen, found), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("label"), lists], names=["label", "terms"])
 
-    found = sample.mapInArrow(present, "label int, terms array<int>").limit(sample_rows).toArrow().combine_chunks()
+    found = sample.mapInArrow(present, "label int, terms array<int>").toArrow().combine_chunks()
     n = found.num_rows
     labels = found.column("label").to_numpy().astype(float)
     lists = found.column("terms").combine_chunks()
     at = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
     columns = lists.flatten().to_numpy()
-    return fit(chosen, n, at, columns, labels).centred(n, at, columns, labels)
+    machine = fit(chosen, n, at, columns, labels)
+    drawn = _shares(distinct, sample_rows)
+    machine.bias += float(np.log(distinct[1] / distinct[0]) - np.log(drawn[1] / drawn[0]))
+    weights = np.where(labels == 1, distinct[1] / drawn[1], distinct[0] / drawn[0])
+    return machine.centred(n, at, columns, labels, weights)
+
+
+def _shares(distinct: dict[int, int], rows: int) -> dict[int, int]:
+    """How many of ``rows`` texts are of either label: half of them, and what the other label does not fill."""
+    ones = min(distinct[1], max(rows // 2, rows - distinct[0]))
+    return {1: ones, 0: min(distinct[0], rows - ones)}
 
 
 def scored(column: str, machine: Machine) -> Column:

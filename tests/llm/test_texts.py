@@ -191,6 +191,20 @@ def test_pairs_of_words_are_learned(spark):
     assert np.array_equal(again.features, machine.features)
 
 
+def test_the_sample_has_both_labels_whatever_the_copies(spark, monkeypatch):
+    # 40,000 rows of 420 clean and 20 toxic texts; the sample has room for 60.
+    clean = spark.range(39_900).selectExpr("concat('calm ', translate(CAST(id % 420 AS string), '0123456789', 'abcdefghij')) AS text", "0 AS toxic")
+    toxic = spark.range(100).selectExpr("concat('vile ', translate(CAST(id % 20 AS string), '0123456789', 'abcdefghij')) AS text", "1 AS toxic")
+    seen, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda features, n, rows, columns, labels: seen.append(Counter(labels)) or fit(features, n, rows, columns, labels))
+    machine = toxicity.train(clean.union(toxic), sample_rows=60)
+    assert seen == [{1.0: 20, 0.0: 40}]
+    rows = [(1, "vile zz", "", ""), (2, "calm zz", "", "")]
+    found = {r.doc_id: r.predicted for r in toxicity.score(documents(spark, rows), machine).collect()}
+    assert found == {1: 1, 2: 0}
+    assert toxicity._shares({1: 10**7, 0: 5}, 20) == {1: 15, 0: 5} and toxicity._shares({1: 100, 0: 100}, 20) == {1: 10, 0: 10}
+
+
 def test_without_both_labels_all_scores_are_equal(spark):
     for rows in (labelled(spark).filter("toxic = 0"), labelled(spark).limit(0)):
         scores = {r.score for r in toxicity.score(documents(spark), toxicity.train(rows)).collect()}
