@@ -68,3 +68,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """As :func:`materialize`, dealt into buckets by ``column``: what is joined or grouped by it reads the buckets without a shuffle.
+
+    There are as many buckets as shuffle partitions. Rows are not moved for it, so each task should hold few values of ``column``.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"tablescribe_{uuid.uuid4().hex}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table)
+    atexit.register(_drop, spark, table)
+    return spark.table(table)
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
