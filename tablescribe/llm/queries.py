@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, exact, html, language, packing, simhash, tokens, toxicity, warc
+from . import bpe, chat, contamination, exact, html, language, packing, simhash, tokens, toxicity, warc
 from .common import crc_remainder, small, table
 
 TOKENS_MODEL = "piece_bpe_32k.model"
 PACKING_MODEL = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 LABELS = 1_000_000  # labels are broadcast up to so many, and joined by shuffling the labelled texts beyond
 
 
@@ -65,13 +66,21 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer(PACKING_MODEL))
 
 
+def op11_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    found = bpe.bpe_round_trip(table(spark, sf, "documents"), tokenizer(RANKS), public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_language_id, op4_warc, op5_toxicity, op6_simhash, op7_chat_formatting, op8_exact_dedup, op9_decontamination, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_language_id, op4_warc, op5_toxicity, op6_simhash, op7_chat_formatting, op8_exact_dedup, op9_decontamination, op10_packing, op11_byte_bpe, pipeline)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGEST = " || ".join(
