@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .words import PACKED, PACKED_SCHEMA, Splitter, entries, gather, pack, packed_batch, reassemble, unpack, write_blocks
+from .words import PACKED, Splitter, entries, gather, pack, packed_schema, reassemble, unpack, write_blocks
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -91,7 +91,8 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
         waiting = 0
 
         def flush() -> pa.RecordBatch:
-            return packed_batch(list(pack(*(np.concatenate(x) for x in zip(*held)), "<i4")))
+            blocks, places, sizes, values = (np.concatenate(x) for x in zip(*held))
+            return pack(blocks, places, (sizes, values, "<i4"))
 
         for batch in batches:
             if not batch.num_rows:
@@ -113,11 +114,11 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
         if held:
             yield flush()
 
-    found = entries(blocks).select("word", "block", "place").mapInArrow(encoded, PACKED_SCHEMA)
+    found = entries(blocks).select("word", "block", "place").mapInArrow(encoded, packed_schema(1))
     schema = T.StructType([df.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def rows(texts: pa.Table, results: pa.Table) -> pa.Table:
-        begin, size, values = unpack(results)
+        begin, size, values = unpack(results, 0, "<i4")
         places = [np.frombuffer(x, "<i4") for x in texts.column("places").to_pylist()]
         counts = [int(size[p].sum()) for p in places]
         flat = gather(begin, size, values, np.concatenate(places)) if places else np.zeros(0, "<i4")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, exact, html, language, packing, simhash, tokens, toxicity, warc
+from . import alignment, bpe, chat, contamination, exact, html, language, packing, simhash, tokens, toxicity, trie, warc
 from .common import crc_remainder, small, table
 
 TOKENS_MODEL = "piece_bpe_32k.model"
@@ -74,19 +74,33 @@ def op11_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf, "conversations"))
+
+
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = alignment.align(table(spark, sf, "documents"), tokenizer(PACKING_MODEL), tokenizer(TOKENS_MODEL))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return found.select("doc_id", *alignment.NUMBERS, digest)
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_language_id, op4_warc, op5_toxicity, op6_simhash, op7_chat_formatting, op8_exact_dedup, op9_decontamination, op10_packing, op11_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_language_id, op4_warc, op5_toxicity, op6_simhash, op7_chat_formatting, op8_exact_dedup, op9_decontamination, op10_packing, op11_byte_bpe, op12_prefix_trie, op13_token_alignment, pipeline)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGEST = " || ".join(
     f"substr('{_BASE32}', ((('0x' || substr(sha, {5 * g + 1}, 5))::INTEGER >> {15 - 5 * i}) & 31) + 1, 1)" for g in range(8) for i in range(4)
 )
 
+_BITS = ", ".join(["-1"] * 8)
+_CRC32 = f"""xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, {_BITS}]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+
 ORACLES = {
     "op4_warc": f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
@@ -121,4 +135,16 @@ h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + k
 i AS (SELECT r, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items_sha256 FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM m) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)""",
+    "op12_prefix_trie": f"""
+WITH t AS (SELECT conv_id AS c, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(said ORDER BY i) AS turns FROM t GROUP BY c),
+k AS (SELECT c, turns, {_CRC32} % 9 AS h FROM own),
+r AS (SELECT k.c, list_concat(coalesce(list_slice(b.turns, 1, h), []), list_slice(k.turns, h + 1, len(k.turns))) AS turns FROM k LEFT JOIN own b ON b.c = k.c - k.c % 5),
+m AS (SELECT c, len(turns) AS n, d, list_slice(turns, 1, d) AS path, CASE WHEN d > 0 THEN list_slice(turns, 1, d - 1) END AS up FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT path, any_value(up) AS up, min(c) AS conv_id, d, count(*) AS n_convs, max(n) > d AS inner_node, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends,
+  CASE WHEN d > 0 THEN (count(*) - 1) * octet_length(encode(any_value(path[-1].text))) ELSE 0 END AS saved FROM m GROUP BY path, d),
+a AS (SELECT list_slice(path, 1, e) AS top, e, saved, inner_node, d FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM n)),
+s AS (SELECT top, e, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (NOT inner_node) AS n_leaves, count(*) FILTER (d = e + 1) AS n_children FROM a GROUP BY top, e)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN s ON s.top = n.path AND s.e = n.d LEFT JOIN n p ON p.path = n.up AND p.d = n.d - 1""",
 }

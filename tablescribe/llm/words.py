@@ -27,9 +27,10 @@ from ..session import bucketed
 
 BLOCK_BYTES = 64 << 20  # a block ends at so many bytes of text
 BLOCK_WORDS = 500_000  # or so many distinct words, whichever comes first; a longer text is a block of its own
-REMEMBERED = 300_000  # segments a task remembers the words of
+REMEMBERED = 200_000  # segments a task remembers the words of
 LINE = 10_000  # words in a row of a dictionary
 OUT_BYTES = 4 << 20  # rows leave a task in batches of about so many bytes
+OUT_WORDS = 1 << 18  # rows are put together for so many words at once
 PACKED = 500_000  # results of words packed at once
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -98,6 +99,7 @@ def write_blocks(df: DataFrame, splitter: Callable[[], Splitter], *, key: str, t
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         split = splitter()
         block, size, counts = TaskContext.get().partitionId() << 33, 0, np.zeros(0, np.int64)
         kind = None
@@ -159,23 +161,32 @@ def stretch(data: bytes, kind: str = "<i4") -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
-def pack(blocks: np.ndarray, places: np.ndarray, sizes: np.ndarray, values: np.ndarray, kind: str) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """(block, places, sizes, values) per block, compressed. ``values`` has ``sizes`` items for each entry, one entry after another."""
-    order = np.lexsort((places, blocks))
-    ends = np.cumsum(sizes)
-    begins, lengths = (ends - sizes)[order], sizes[order]
-    moved = values[np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(values))]
-    sorted_blocks, sorted_places, reached = blocks[order], places[order], np.concatenate(([0], np.cumsum(lengths)))
-    cuts = np.flatnonzero(np.diff(sorted_blocks)) + 1
-    for a, b in itertools.pairwise((0, *cuts.tolist(), len(blocks))):
-        if b > a:
-            steps = np.diff(sorted_places[a:b], prepend=0)
-            yield int(sorted_blocks[a]), squeeze(steps), squeeze(lengths[a:b]), squeeze(moved[reached[a] : reached[b]], kind)
-
+def pack(blocks: np.ndarray, places: np.ndarray, *channels: tuple[np.ndarray, np.ndarray, str]) -> pa.RecordBatch:
+    """A row per block with the places of its entries and, for each channel, their values, compressed.
 
-def unpack(rows: pa.Table, kind: str = "<i4") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, size, values): where the values of each place begin, how many they are, and all values."""
-    parts = [(np.cumsum(stretch(r["places"])), stretch(r["sizes"]), stretch(r["values"], kind)) for r in rows.select(["places", "sizes", "values"]).to_pylist()]
+    A channel is (sizes, values, kind): ``values`` has ``sizes`` items for each entry, one entry after another.
+    """
+    order = np.lexsort((places, blocks))
+    blocks, places = blocks[order], places[order]
+    cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+    spans = [(a, b) for a, b in itertools.pairwise(cuts) if b > a]
+    names, columns = ["block", "places"], [pa.array([int(blocks[a]) for a, _ in spans], pa.int64()), pa.array([squeeze(np.diff(places[a:b], prepend=0)) for a, b in spans], pa.binary())]
+    for i, (sizes, values, kind) in enumerate(channels):
+        begins, lengths = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        reached = np.concatenate(([0], np.cumsum(lengths)))
+        moved = values[np.repeat(begins - reached[:-1], lengths) + np.arange(reached[-1])]
+        names += [f"sizes{i}", f"values{i}"]
+        columns += [pa.array([squeeze(lengths[a:b]) for a, b in spans], pa.binary()), pa.array([squeeze(moved[reached[a] : reached[b]], kind) for a, b in spans], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def packed_schema(channels: int) -> str:
+    return ", ".join(["block long, places binary", *(f"sizes{i} binary, values{i} binary" for i in range(channels))])
+
+
+def unpack(rows: pa.Table, channel: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, size, values) of a channel: where the values of each place begin, how many they are, and all values."""
+    parts = [(np.cumsum(stretch(p)), stretch(s), stretch(v, kind)) for p, s, v in zip(*(rows.column(c).to_pylist() for c in ("places", f"sizes{channel}", f"values{channel}")))]
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
     places, sizes, values = (np.concatenate(x) for x in zip(*parts))
@@ -191,12 +202,19 @@ def gather(begin: np.ndarray, size: np.ndarray, values: np.ndarray, places: np.n
     return values[np.repeat(begin[places] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-PACKED_SCHEMA = "block long, places binary, sizes binary, values binary"
+def slices(texts: pa.Table) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """The rows of a block and their places, for about :data:`OUT_WORDS` words at once; a longer row is a slice of its own."""
+    sizes = np.array([len(x) // 4 for x in texts.column("places").to_pylist()], np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // OUT_WORDS)) + 1).tolist(), len(sizes)]
+    for a, b in itertools.pairwise(cuts):
+        if b > a:
+            part = texts.slice(a, b - a)
+            yield part, [np.frombuffer(x, "<i4") for x in part.column("places").to_pylist()]
 
 
-def packed_batch(rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], names=["block", "places", "sizes", "values"])
+def lean() -> None:
+    """Lets this worker give the memory of finished batches back to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
 
 
 def reassemble(blocks: DataFrame, packed: DataFrame, rows: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
