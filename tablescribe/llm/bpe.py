@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .words import PACKED, Splitter, entries, gather, pack, packed_schema, reassemble, unpack, write_blocks
+from .words import PACKED, Splitter, entries, gather, lean, pack, packed_schema, reassemble, slices, unpack, write_blocks
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -118,13 +118,14 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
     schema = T.StructType([df.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def rows(texts: pa.Table, results: pa.Table) -> pa.Table:
+        lean()
         begin, size, values = unpack(results, 0, "<i4")
-        places = [np.frombuffer(x, "<i4") for x in texts.column("places").to_pylist()]
-        counts = [int(size[p].sum()) for p in places]
-        flat = gather(begin, size, values, np.concatenate(places)) if places else np.zeros(0, "<i4")
-        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-        ids = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
-        return pa.Table.from_arrays([texts.column("key"), ids], names=[key, "ids"])
+        out = []
+        for part, places in slices(texts):
+            ends = np.concatenate(([0], np.cumsum([size[p].sum() for p in places])))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gather(begin, size, values, np.concatenate(places)), pa.int32()))
+            out.append(pa.Table.from_arrays([part.column("key"), ids], names=[key, "ids"]))
+        return pa.concat_tables(out) if out else pa.table({key: texts.column("key"), "ids": pa.array([], pa.list_(pa.int32()))})
 
     return reassemble(blocks, found, rows, schema)
 
@@ -140,7 +141,7 @@ def token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, size, np.frombuffer(b"".join(ranks), np.uint8)
 
 
-def decode(df: DataFrame, path: str, *, ids: str = "ids", name: str = "decoded", batch_tokens: int = 4 << 20) -> DataFrame:
+def decode(df: DataFrame, path: str, *, ids: str = "ids", name: str = "decoded", batch_tokens: int = 1 << 18) -> DataFrame:
     """``df`` with the bytes of ``ids`` as column ``name``: a join of all ids of a batch with the token-byte table of ``path``.
 
     The table is as large as the vocabulary, and every task holds it, so no row moves. Null ids give null, no ids empty
@@ -166,6 +167,7 @@ def decode(df: DataFrame, path: str, *, ids: str = "ids", name: str = "decoded",
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             counts = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy()
             # Slices of about equal numbers of tokens; a longer row is a slice of its own.
