@@ -1,7 +1,9 @@
 """Token counts and token ids of whole texts.
 
 Texts travel in Arrow batches of about equal bytes. A text is cut only where no token can span the cut, so the counts and
-ids are those of the uncut text: before a single space that follows a visible character. The pieces of a batch repeat a lot,
+ids are those of the uncut text: before a single space that follows a visible character, and in byte-level models also before
+line feeds and where letters or digits meet signs. Texts that hold a string which the model knows as an added token are cut at
+such spaces only. The pieces of a batch repeat a lot,
 so each distinct piece is encoded once per batch, and short ones are remembered by the worker up to a fixed number.
 """
 
@@ -53,9 +55,10 @@ class Encoder:
                 parts = json.load(f)
             before = parts["pre_tokenizer"] or {}
             if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not parts["normalizer"]:
-                self.spaced = self.cuts = True
-                # Two neighbouring white-space characters may be one token.
-                self.unsafe = rf"[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]{{2}}|{_JOINT}"
+                self.spaced = self.cuts = not any(x.lstrip or x.rstrip or " " in x.content for x in model.get_added_tokens_decoder().values())
+                # Two neighbouring white-space characters may be one token; an added token may be of letters and signs.
+                added = "".join(f"|{re.escape(x.content)}" for x in model.get_added_tokens_decoder().values())
+                self.unsafe = rf"[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]{{2}}|{_JOINT}{added}"
                 # Bytes of each id: a letter of such a vocabulary is a byte, added tokens are texts.
                 self.widths = np.zeros(model.get_vocab_size(), np.int64)
                 for token, i in model.get_vocab(with_added_tokens=False).items():
