@@ -2,9 +2,10 @@
 
 The index holds a posting (row, term, position) for every place of a training text where a term of the benchmark stands; it
 is written once, in the order of the texts. A window of a benchmark item is looked up from its rarest terms: their postings,
-shifted by the terms' offsets in the item, name alignments of item and text, and an alignment is a candidate if it has all of
-a window's rarest terms. Only there are the postings of the other terms met, and runs of as many consecutive words as the
-window has are its exact occurrences; alignments that come close to it are proximity matches.
+shifted by the terms' offsets in the item, name alignments of item and text, and an alignment is a candidate for a phrase if it
+has all of a window's rarest terms, for a near match if it has one of enough of them. Only there are the postings of the other
+terms met, and runs of as many consecutive words as the window has are its exact occurrences; alignments that come close to it
+are proximity matches.
 """
 
 from __future__ import annotations
@@ -51,8 +52,12 @@ def positional_index(df: DataFrame, vocabulary: DataFrame, *, key: str = "doc_id
     return materialize(placed.join(_small(known), "word").select("row", "doc_id", "term", "position"), "postings")
 
 
-def alignments(index: DataFrame, terms: DataFrame, *, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """row, item, shift, places: candidate alignments and the places of the item whose word stands at place + shift in the text."""
+def alignments(index: DataFrame, terms: DataFrame, *, window: int = WINDOW, rarest: int = RAREST, near: int | None = None) -> DataFrame:
+    """row, item, shift, places: candidate alignments and the places of the item whose word stands at place + shift in the text.
+
+    Without ``near`` an alignment must have the ``rarest`` rarest terms of some window. With it, one of its w - near + 1 rarest
+    ones is enough, w being the words of the window: whatever has ``near`` words of a window lacks at most w - near of them.
+    """
     counts = index.filter("term >= 0").groupBy("term").agg(F.count("*").alias("found"))
     placed = materialize(terms.join(counts, "term", "left").fillna(0, ["found"]).select("item", "n", "place", "term", "found"), "terms")
     wide = F.least(F.col("n"), F.lit(window))
@@ -60,15 +65,22 @@ def alignments(index: DataFrame, terms: DataFrame, *, window: int = WINDOW, rare
     first = F.greatest(F.lit(0), F.col("place") - wide + 1)
     spread = placed.select("item", "place", "term", "found", F.explode(F.sequence(first, F.least(F.col("place"), F.col("n") - wide))).alias("start"))
     ranked = spread.groupBy("item", "start").agg(F.sort_array(F.collect_list(F.struct("found", "place", "term"))).alias("by"))
-    windows = ranked.filter(F.col("by")[0]["found"] > 0).select("item", "start", F.slice("by", 1, rarest).alias("by"))
+    if near is None:
+        windows = ranked.filter(F.col("by")[0]["found"] > 0).select("item", "start", F.slice("by", 1, rarest).alias("by"))
+    else:
+        enough = F.slice("by", F.lit(1), F.greatest(F.size("by") - near, F.lit(0)) + 1)
+        windows = ranked.select("item", "start", F.filter(enough, lambda x: x["found"] > 0).alias("by")).filter(F.size("by") > 0)
     windows = materialize(windows.select("item", "start", F.col("by.place").alias("anchors"), F.col("by.term").alias("anchor_terms")), "windows")
     anchors = windows.select("item", F.explode(F.arrays_zip("anchors", "anchor_terms")).alias("a")).select("item", F.col("a.anchors").alias("place"), F.col("a.anchor_terms").alias("term")).distinct()
     met = index.filter("term >= 0").select("row", "term", "position").join(_small(anchors), "term").select("row", "item", (F.col("position") - F.col("place")).alias("shift"), "place")
-    least = windows.groupBy("item").agg(F.min(F.size("anchors")).alias("least"))
-    lists = met.groupBy("row", "item", "shift").agg(F.collect_set("place").alias("have"))
-    asked = windows.groupBy("item").agg(F.collect_set("anchors").alias("asked")).join(least, "item")
-    candidates = lists.join(_small(asked), "item").filter(F.size("have") >= F.col("least"))
-    candidates = candidates.filter(F.exists("asked", lambda a: F.size(F.array_except(a, F.col("have"))) == 0))
+    if near is None:
+        least = windows.groupBy("item").agg(F.min(F.size("anchors")).alias("least"))
+        lists = met.groupBy("row", "item", "shift").agg(F.collect_set("place").alias("have"))
+        asked = windows.groupBy("item").agg(F.collect_set("anchors").alias("asked")).join(least, "item")
+        candidates = lists.join(_small(asked), "item").filter(F.size("have") >= F.col("least"))
+        candidates = candidates.filter(F.exists("asked", lambda a: F.size(F.array_except(a, F.col("have"))) == 0))
+    else:
+        candidates = met.select("row", "item", "shift").distinct()
     candidates = materialize(candidates.select("row", "item", "shift"), "candidates")
     own = index.filter("term >= 0").select("row", "term", "position").join(_small(candidates.select("row").distinct()), "row", "left_semi")
     due = candidates.join(_small(placed.select("item", "place", "term")), "item").select("row", "item", "shift", "place", "term", (F.col("place") + F.col("shift")).alias("position"))
@@ -76,18 +88,20 @@ def alignments(index: DataFrame, terms: DataFrame, *, window: int = WINDOW, rare
     return both.groupBy("row", "item", "shift").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
-def matches(index: DataFrame, terms: DataFrame, *, window: int = WINDOW, rarest: int = RAREST, near: int = 8) -> DataFrame:
+def matches(index: DataFrame, terms: DataFrame, *, window: int = WINDOW, rarest: int = RAREST, near: int | None = 8) -> DataFrame:
     """row, item, shift, kind, starts, most: where items occur.
 
     kind is ``phrase`` with the places where windows begin that occur word for word, or ``proximity`` (no starts) if at
-    least ``near`` words of some window, its rarest ones among them, stand at their places; most is the largest such number.
+    least ``near`` words of some window, whichever they are, stand at their places; most is the largest such number. Without
+    ``near`` only phrases are looked for.
     """
-    found = alignments(index, terms, window=window, rarest=rarest).join(_small(terms.select("item", "n").distinct()), "item")
+    found = alignments(index, terms, window=window, rarest=rarest, near=near).join(_small(terms.select("item", "n").distinct()), "item")
     wide = F.least(F.col("n"), F.lit(window))
     runs = F.filter(F.sequence(F.lit(0), F.size("places") - 1), lambda i: F.try_element_at("places", (i + wide).cast("int")) - F.col("places")[i] == wide - 1)
     most = F.array_max(F.transform("places", lambda p: F.size(F.filter("places", lambda q: (q >= p) & (q < p + wide)))))
     found = found.withColumn("starts", F.transform(runs, lambda i: F.col("places")[i])).withColumn("most", most).withColumn("wide", wide)
-    kind = F.when(F.size("starts") > 0, "phrase").when(F.col("most") >= near, "proximity")
+    kind = F.when(F.size("starts") > 0, "phrase")
+    kind = kind if near is None else kind.when(F.col("most") >= near, "proximity")
     return found.withColumn("kind", kind).filter("kind IS NOT NULL").select("row", "item", "shift", "kind", "starts", "most", "wide")
 
 
@@ -103,7 +117,7 @@ def contamination(df: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     vocabulary = materialize(terms.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary")
     index = positional_index(df, vocabulary, key=key, text=text)
     coded = terms.join(_small(vocabulary), "word")
-    found = materialize(matches(index, coded, window=window).filter("kind = 'phrase'"), "matches")
+    found = materialize(matches(index, coded, window=window, near=None), "matches")
     places = found.select("row", F.explode("starts").alias("start"), "shift", "wide").select("row", F.explode(F.sequence(F.col("start") + F.col("shift"), F.col("start") + F.col("shift") + F.col("wide") - 1)).alias("position"))
     hits = places.distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     names = found.select("row", "item").distinct().join(_small(terms.select("item", "item_id").distinct()), "item").filter("item_id IS NOT NULL").select("row", F.col("item_id").cast("string").alias("id")).distinct()
