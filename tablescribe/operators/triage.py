@@ -14,38 +14,76 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.keys import order_key
 from ..session import materialize
 
 Sampler = Callable[[DataFrame, int], DataFrame]
 
+
 def _check_column(df: DataFrame, column: str, what: str) -> None:
     if column not in df.columns:
         raise KeyError(f"no column {column!r} for {what}; there are {', '.join(df.columns)}")
 
 
+# Keys that may be ranked by one sort; the range with the cut is narrowed until it holds no more.
+RANKED = 100_000
+# Keys drawn for the borders of a histogram, and its borders.
+DRAWN, BORDERS = 4_000, 24
+# Rounds without progress after which a range of equal keys is ranked as it is.
+PATIENCE = 4
+
+
+def _literal(schema: StructType, values) -> Column:
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(schema.fields, values)])
+
+
+def cut_key(df: DataFrame, n: int, *order: Column | str) -> Column | None:
+    """The ``n``-th smallest key of ``df`` in ``order``, as a literal struct; None if there are no more than ``n`` rows.
+
+    Each round counts the rows up to some borders in one aggregation, without a shuffle of rows: the borders lie around the
+    wanted rank in a small random draw of the keys that are still in question. Only the order's columns are read. What is left
+    in the end, at most ``RANKED`` keys, is sorted. The count is exact, so the draw only decides how many rounds it takes.
+    """
+    keys = df.select(F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]).alias("k"))
+    schema = keys.schema["k"].dataType
+    wanted, total, stuck = n, keys.count(), 0
+    if total <= n:
+        return None
+    while total > RANKED and stuck < PATIENCE:
+        drawn = [r["k"] for r in keys.sample(min(1.0, DRAWN / total), seed=stuck).orderBy("k").limit(4 * DRAWN).collect()]
+        middle, step = wanted / total * len(drawn), max(1.0, len(drawn) ** 0.5 / 4)
+        places = {round(middle + step * (i - BORDERS / 2)) for i in range(BORDERS)} | {0, len(drawn) - 1}
+        borders = [drawn[i] for i in sorted(places) if 0 <= i < len(drawn)]
+        if not borders:
+            stuck += 1
+            continue
+        counts = keys.agg(*[F.count_if(F.col("k") <= _literal(schema, x)).alias(f"c{i}") for i, x in enumerate(borders)]).first()
+        before = [(c, x) for c, x in zip(counts, borders) if c < wanted]
+        behind = [(c, x) for c, x in zip(counts, borders) if c >= wanted]
+        low, high = before[-1] if before else (0, None), behind[0] if behind else (total, None)
+        if low[1] is not None:
+            keys = keys.where(F.col("k") > _literal(schema, low[1]))
+        if high[1] is not None:
+            keys = keys.where(F.col("k") <= _literal(schema, high[1]))
+        stuck = stuck + 1 if high[0] - low[0] == total else 0
+        wanted, total = wanted - low[0], high[0] - low[0]
+    return _literal(schema, keys.orderBy("k").limit(wanted).agg(F.max("k").alias("k")).first()["k"])
+
+
 def first_by(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first ``n`` rows in ``order``, in no particular order; the keys must tell all rows apart.
 
-    The rows' keys are dealt into ranges and counted, ranges before the cut are taken whole, and only the range with the
-    cut is ranked, so a sample of any size is spread over as many tasks as the data.
+    A filter on :func:`cut_key`: no row is moved or written, whatever the sample's size.
     """
     n = max(n, 0)
     if n == 0:
         return df.limit(0)
-    names = [f"__o{i}" for i in range(len(order))]
-    keyed = df.withColumns({c: F.col(o) if isinstance(o, str) else o for c, o in zip(names, order)})
-    ranged = materialize(keyed.repartitionByRange(*names).withColumn("__part", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range.
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    cuts = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).where(F.col("__before") < n)
-    placed = ranged.join(cuts, "__part")
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*names))
-    whole = placed.where(F.col("__before") + F.col("__size") <= n)
-    part = placed.where(F.col("__before") + F.col("__size") > n).withColumn("__rank", rank).where(F.col("__before") + F.col("__rank") <= n)
-    return whole.select(*df.columns).unionByName(part.select(*df.columns))
+    cut = cut_key(df, n, *order)
+    if cut is None:
+        return df
+    return df.where(F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]) <= cut)
 
 
 def random_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -98,8 +136,7 @@ def stratified_sample(
     """Up to ``min_per_label`` random rows per label in label order, then random rows of any label up to ``n``.
 
     Rows without a label are never chosen. The second step draws from what is left in a random order of its own, so
-    each label's share follows its number of left-over rows. Both steps are one order of the pool, of which the first
-    ``n`` rows are taken by :func:`first_by`.
+    each label's share follows its number of left-over rows. What is written and ranked are keys and labels.
     """
     _check_column(df, label_column, "label_column")
     n = max(n, 0)
@@ -108,13 +145,21 @@ def stratified_sample(
     least = max(min_per_label, 0)
     pool = df.where(F.col(label_column).isNotNull())
     within = Window.partitionBy(label_column).orderBy(order_key(seed, key), key)
-    # Only the first rows of a label leave a task.
-    base = pool.select(key, label_column, F.row_number().over(within).alias("__rank")).where(F.col("__rank") <= least)
-    ranked = pool.join(base.select(key, "__rank"), key, "left")
-    step = F.when(F.col("__rank").isNull(), 1).otherwise(0)
-    label = F.when(F.col("__rank").isNotNull(), F.col(label_column))
-    draw = F.when(F.col("__rank").isNull(), order_key(f"{seed}:fill", key))
-    return first_by(ranked, n, step, label, F.col("__rank"), draw, key).select(*df.columns)
+    # Only the first keys of a label leave a task; no other column does.
+    ranked = pool.select(F.col(key).alias("__key"), F.col(label_column).alias("__label"), F.row_number().over(within).alias("__rank"))
+    base = first_by(materialize(ranked.where(F.col("__rank") <= least), "stratified"), n, "__label", "__rank")
+    left = n - base.count()
+    chosen = pool.join(base.select("__key"), F.col(key) == F.col("__key"), "left_semi")
+    if not left:
+        return chosen
+    rest = pool.join(base.select("__key"), F.col(key) == F.col("__key"), "left_anti")
+    draw = order_key(f"{seed}:fill", key)
+    cut = cut_key(rest.select(key), left, draw, key)
+    if cut is None:
+        return pool
+    drawn = F.struct(draw.alias("o0"), F.col(key).alias("o1")) <= cut
+    # Rows of the first step that the second would draw too come by the filter alone.
+    return pool.where(drawn).unionByName(chosen.where(~drawn))
 
 
 def cluster_diverse_sample(
@@ -123,16 +168,14 @@ def cluster_diverse_sample(
     """Rounds over the clusters in random order, one random row per cluster and round.
 
     A cluster gives at most ``max(1, max_per_cluster)`` rows; rows without a cluster are never chosen. ``row_number()``
-    below the cap turns into a group limit before the shuffle, so a huge cluster sends only its first rows.
+    below the cap turns into a group limit before the shuffle, so a huge cluster sends only its first keys.
     """
     _check_column(df, cluster_column, "cluster_column")
     within = Window.partitionBy(cluster_column).orderBy(order_key(seed, key), key)
-    rounds = (
-        df.where(F.col(cluster_column).isNotNull())
-        .withColumn("__round", F.row_number().over(within))
-        .where(F.col("__round") <= max(1, max_per_cluster))
-    )
-    return first_by(rounds, n, "__round", order_key(seed, cluster_column), cluster_column).select(*df.columns)
+    ranked = df.where(F.col(cluster_column).isNotNull()).select(F.col(key).alias("__key"), F.col(cluster_column).alias("__cluster"), F.row_number().over(within).alias("__round"))
+    rounds = materialize(ranked.where(F.col("__round") <= max(1, max_per_cluster)), "clusters")
+    chosen = first_by(rounds, n, "__round", order_key(seed, "__cluster"), "__cluster").select("__key")
+    return df.join(chosen, F.col(key) == F.col("__key"), "left_semi")
 
 
 def combine(df: DataFrame, key: str, *samples: DataFrame) -> DataFrame:
