@@ -1,24 +1,38 @@
 """BM25 ranking of description texts and NDCG of the rankings, for all methods and queries in one plan.
 
-The corpus is tokenised once. Only occurrences of query words leave a task; they are hash-partitioned by document, and
-document frequencies, corpus sizes and scores are all computed from that one shuffle. Nothing pairs every query with
-every document: documents without any query word score 0 and can only follow the matching ones, in corpus order.
+The corpus is tokenised once, and the query words of a document are counted in its own row, so what is shuffled and kept is
+one short row per document. For every query a first pass scores only by its rarest words; the best documents found so are
+scored in full, and the k-th of these scores is what any other document must reach: pairs below it end in the task that made
+them, before anything is sorted or shuffled. Words that could not lift a document to it on their own pair no documents.
+Documents without any query word score 0 and can only follow the matching ones, in corpus order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.text import tokenize
+from ..session import bucketed, materialize
 
 # The BM25 parameters.
 K1 = 1.5
 B = 0.75
 # Scores are ranked at this precision, so that equal texts tie whatever the order of summation.
 SCORE_DIGITS = 9
-# Query words are broadcast up to this many (word, query) pairs; larger query sets are joined by shuffling.
+# Query words are looked up, and joined by broadcast, up to this many (word, query) pairs; larger query sets are joined by
+# shuffling words.
 BROADCAST_TERMS = 200_000
+# Documents per wanted rank that the rarest words of a query may bring into the first pass, and that are scored in full.
+RARE_DOCUMENTS, SEEDS = 50, 4
+# Scores are compared with this much room, so that rounding never drops a document.
+ROOM = 1e-6
 
 
 def method_texts(records: DataFrame, methods: dict[str, str], key: str = "dataset_id", order: str = "ord") -> DataFrame:
@@ -55,73 +69,115 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     return document_terms(texts).groupBy("method", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def _sized(table: DataFrame, terms: DataFrame) -> DataFrame:
-    """``table``, whose rows are bounded by those of ``terms``, marked for broadcast if these are few."""
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    return F.broadcast(table) if few else table
-
+def _counted(terms: list[str]):
+    """Per batch of documents and their words: the numbers and counts of the wanted words among them."""
 
-def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``method, dataset_id, ord, dl, term, tf`` for the query words, hash-partitioned by document.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        for batch in batches:
+            lists = batch.column("tokens")
+            rows = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            found = pc.fill_null(pc.index_in(lists.flatten(), known), -1).to_numpy()
+            hit = found >= 0
+            pairs, counts = np.unique(rows[hit].astype(np.int64) * len(terms) + found[hit], return_counts=True)
+            row, term = np.divmod(pairs, max(len(terms), 1))
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            hits = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (term, counts)]
+            kept = [batch.column(c) for c in batch.schema.names if c != "tokens"]
+            yield pa.RecordBatch.from_arrays([*kept, *hits], names=[*(c for c in batch.schema.names if c != "tokens"), "terms", "counts"])
 
-    Each document also has one entry with an empty term, which carries its length for the corpus statistics (a word is
-    never empty).
-    """
-    tokens = tokenize(F.col("text"))
-    sized = texts.select("method", "dataset_id", "ord", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
-    words = sized.select(
-        "method", "dataset_id", "ord", "dl", F.explode(F.array_append(F.col("tokens"), F.lit(""))).alias("term")
-    )
-    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    return (
-        words.join(_sized(wanted, terms), "term", "left_semi")
-        .repartition("method", "dataset_id")
-        .groupBy("method", "dataset_id", "ord", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return run
 
 
-def bm25_scores(entries: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """``method, query_id, dataset_id, ord, score`` for the documents with at least one word of the query.
+def word_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``method, dataset_id, ord, dl, terms, counts``: per document its length and the query words in it, by number, with how often.
 
-    ``entries`` comes from :func:`postings`. Repeated query words count as often as they occur. The word weights are
-    at most one row per method and query word; broadcasting them keeps the postings partitioned by document, so that
-    scoring needs no further shuffle.
+    ``words`` has ``word, term`` with numbers from 0 on. The rows are written in buckets by document. Up to
+    ``BROADCAST_TERMS`` words are looked up in each row as it is read, more are joined and counted by document.
     """
-    # No filter on the term here: it would be pushed below the shuffle, which both uses of the postings share.
-    stats = entries.groupBy("method", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("n_tokens"))
-    is_total = F.col("term") == ""
-    # A method has one row per query word here, and the row of the empty word with the totals.
-    whole = Window.partitionBy("method")
-    n_docs = F.max(F.when(is_total, F.col("df"))).over(whole)
-    avgdl = F.max(F.when(is_total, F.col("n_tokens") / F.col("df"))).over(whole)
-    weights = stats.select("method", "term", "df", n_docs.alias("n_docs"), avgdl.alias("avgdl")).select(
-        "method", "term", "avgdl", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")
-    )
-    tf = F.col("tf")
-    gain = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (F.col("dl") / F.col("avgdl"))))
-    return (
-        entries.join(_sized(weights, terms), ["method", "term"])
-        .withColumn("gain", gain)
-        .join(_sized(terms, terms), "term")
-        .groupBy("method", "dataset_id", "ord", "query_id")
-        .agg(F.round(F.sum(F.col("qtf") * F.col("gain")), SCORE_DIGITS).alias("score"))
-    )
+    tokens = tokenize(F.col("text"))
+    sized = texts.select("method", "dataset_id", "ord", F.size(tokens).alias("dl"), tokens.alias("tokens"))
+    listed = words.orderBy("term").limit(BROADCAST_TERMS + 1).collect()
+    if len(listed) <= BROADCAST_TERMS:
+        schema = StructType([*sized.drop("tokens").schema.fields, *(StructField(c, ArrayType(IntegerType())) for c in ("terms", "counts"))])
+        counted = sized.mapInArrow(_counted([r["word"] for r in listed]), schema)
+    else:
+        rows = sized.withColumn("row", F.monotonically_increasing_id())
+        # Each document also has an entry without a word, so that those without any query word are kept.
+        each = rows.select("row", "method", "dataset_id", "ord", "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("word"))
+        empty = words.sparkSession.createDataFrame([("", -1)], "word string, term int")
+        found = each.join(words.select("word", "term").unionByName(empty), "word").groupBy("row", "method", "dataset_id", "ord", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        grouped = found.groupBy("row", "method", "dataset_id", "ord", "dl").agg(F.collect_list(F.when(F.col("term") >= 0, F.struct("term", "n"))).alias("x"))
+        counted = grouped.select("method", "dataset_id", "ord", "dl", F.col("x.term").alias("terms"), F.col("x.n").alias("counts"))
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(counted.repartition(buckets, "method", "dataset_id"), ["method", "dataset_id"], "counts")
+
+
+class _Index:
+    """Documents by their query words, and the weights of the query words for each method and query."""
+
+    def __init__(self, texts: DataFrame, queries: DataFrame, k1: float, b: float):
+        terms = query_terms(queries)
+        names = materialize(terms.select("term").distinct(), "words")
+        place = Window.orderBy("term")
+        # As many rows as different words in the queries.
+        words = materialize(names.select(F.col("term").alias("word"), (F.row_number().over(place) - 1).alias("term")), "numbered")
+        self.docs = word_counts(texts, words)
+        totals = self.docs.groupBy("method").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+        self.totals = F.broadcast(materialize(totals, "totals"))
+        self.k1, self.b = k1, b
+        found = self.postings(self.docs).groupBy("method", "term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+        idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        weighed = found.join(self.totals, "method").select("method", "term", "df", "most", idf.alias("idf"))
+        asked = terms.withColumnRenamed("term", "word").join(words, "word").select("query_id", "term", "qtf")
+        weight = F.col("qtf") * F.col("idf")
+        self.asked = materialize(weighed.join(asked, "term").select("method", "query_id", "term", "df", weight.alias("weight"), (weight * F.col("most")).alias("bound")), "asked")
+        self.few = self.asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+    def postings(self, docs: DataFrame) -> DataFrame:
+        """A row per document and query word in it; ``part`` is what the word adds to a score for each unit of weight."""
+        each = docs.join(self.totals, "method").select(*(c for c in docs.columns if c not in ("terms", "counts")), "avgdl", F.explode(F.arrays_zip("terms", "counts")).alias("x"))
+        tf = F.col("x.counts")
+        part = (tf * (self.k1 + 1)) / (tf + self.k1 * (1 - self.b + self.b * (F.col("dl") / F.col("avgdl"))))
+        return each.select(*(c for c in docs.columns if c not in ("terms", "counts")), F.col("x.terms").alias("term"), part.alias("part"))
+
+    def scores(self, docs: DataFrame, asked: DataFrame, *more: Column) -> DataFrame:
+        """``method, dataset_id, ord, query_id, score`` over the words of ``asked``; a document's pairs stay in its task."""
+        asked = F.broadcast(asked) if self.few else asked
+        found = self.postings(docs).join(asked, ["method", "term", *(["query_id"] if "query_id" in docs.columns else [])])
+        return found.groupBy("method", "dataset_id", "ord", "query_id").agg(F.round(F.sum(F.col("weight") * F.col("part")), SCORE_DIGITS).alias("score"), *more)
+
+    def thresholds(self, k: int) -> DataFrame:
+        """``method, query_id, least``: a score that the k-th best document of the query has or exceeds."""
+        rarest = Window.partitionBy("method", "query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+        rare = self.asked.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("before") < RARE_DOCUMENTS * k)
+        best = Window.partitionBy("method", "query_id").orderBy(F.desc("score"), "ord")
+        first = self.scores(self.docs, rare.select("method", "query_id", "term", "weight")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SEEDS * k)
+        seeds = materialize(first.select("method", "query_id", "dataset_id"), "seeds")
+        whole = self.scores(self.docs.join(seeds, ["method", "dataset_id"]), self.asked.select("method", "query_id", "term", "weight"))
+        kth = whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+        return materialize(kth.select("method", "query_id", (F.col("score") - ROOM).alias("least")), "thresholds")
+
+    def candidates(self, k: int) -> DataFrame:
+        """All pairs that can be among the ``k`` best of their query, with their scores."""
+        least = self.thresholds(k)
+        bounds = Window.partitionBy("method", "query_id").orderBy("bound", "term")
+        told = self.asked.join(least, ["method", "query_id"], "left")
+        # Words whose bounds together stay below the threshold lift no document to it alone.
+        essential = F.coalesce(F.sum("bound").over(bounds) >= F.col("least"), F.lit(True))
+        asked = told.select("method", "query_id", "term", "weight", essential.alias("essential"), F.coalesce("least", F.lit(0.0)).alias("least"))
+        pairs = self.scores(self.docs, asked, F.bool_or("essential").alias("essential"), F.max("least").alias("least"))
+        return pairs.where(F.col("essential") & (F.col("score") >= F.col("least"))).select("method", "query_id", "dataset_id", "ord", "score")
 
 
 def bm25_top(texts: DataFrame, queries: DataFrame, methods: list[str], k: int, k1: float = K1, b: float = B) -> DataFrame:
     """``method, query_id, rank, dataset_id, score``: the best ``k`` documents of every query and method.
 
-    Ties, including all zero scores, go in corpus order. A match always scores above 0, so the top ``k`` lie within
-    the ``k`` best matches and the first ``k`` documents of the corpus.
+    ``method`` and ``dataset_id`` name a text. Ties, including all zero scores, go in corpus order. A match always scores
+    above 0, so the top ``k`` lie within the ``k`` best matches and the first ``k`` documents of the corpus.
     """
-    terms = query_terms(queries)
     best = Window.partitionBy("method", "query_id").orderBy(F.desc("score"), "ord")
-    matches = (
-        bm25_scores(postings(texts, terms), terms, k1, b)
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-    )
+    matches = _Index(texts, queries, k1, b).candidates(k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     best_of = matches.groupBy("method", "query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "dataset_id", "score"))).alias("matches")
     )

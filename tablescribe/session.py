@@ -42,11 +42,12 @@ def run_dir(spark: SparkSession) -> str:
     path = f"{work_dir(spark)}/tablescribe/{spark.sparkContext.applicationId}"
     if path not in _run_dirs:
         _run_dirs.add(path)
-        atexit.register(_delete, spark, path)
+        atexit.register(delete, spark, path)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if the session still runs and the folder is there."""
     if spark.sparkContext._jsc is None:  # stopped before
         return
     jvm = spark.sparkContext._jvm
@@ -54,6 +55,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, as tasks need it."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh, unused path in the shared folder."""
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -70,16 +77,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
-    """As :func:`materialize`, dealt into buckets by ``column``: what is joined or grouped by it reads the buckets without a shuffle.
+def bucketed(df: DataFrame, columns: str | list[str], name: str) -> DataFrame:
+    """As :func:`materialize`, dealt into buckets by ``columns``: what is joined or grouped by them reads the buckets without a shuffle.
 
-    There are as many buckets as shuffle partitions. Rows are not moved for it, so each task should hold few values of ``column``.
+    There are as many buckets as shuffle partitions. Rows are not moved for it, so each task should hold few values of
+    ``columns``, or rows repartitioned by them into as many partitions.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     table = f"tablescribe_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table)
+    df.write.bucketBy(buckets, [columns] if isinstance(columns, str) else columns).option("path", path).option("compression", "zstd").saveAsTable(table)
     atexit.register(_drop, spark, table)
     return spark.table(table)
 
