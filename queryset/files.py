@@ -9,7 +9,7 @@ from tablescribe.operators import generate, grading, runlog
 from tablescribe.operators import profile as P
 from tablescribe.operators import triage as T
 from tablescribe.plans import evaluate
-from tablescribe.session import new_path
+from tablescribe.session import materialize, new_path
 from tablescribe.sources import collection, records
 
 from .catalogs import _REG, _TOPIC, ids, registry
@@ -71,8 +71,10 @@ def collection_error_rows(spark, sf):
     kind = F.col("c_nationkey") % 5
     long = F.when(kind == 1, F.concat("value", F.lit(",more,fields"))).when(kind == 4, F.concat("value", F.lit(",x" * 97))).otherwise(F.col("value"))
     head = F.when(kind == 4, F.lit("a,b,c" + "".join(f",c{i}" for i in range(97)))).otherwise(F.lit("a,b,c"))
-    rows = c.where(kind != 3).groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", long.alias("value")))).alias("rows"))
-    lines = rows.select("c_nationkey", F.explode(F.concat(F.array(head), F.transform("rows", lambda r: r["value"]))).alias("value"))
+    # The header is a row of its own, first by its place; rows go to the files in order, without being collected.
+    heads = c.select("c_nationkey").distinct().select("c_nationkey", F.lit(-1).cast("long").alias("place"), head.alias("value"))
+    rows = heads.unionByName(c.select("c_nationkey", F.col("c_custkey").alias("place"), long.alias("value"))).where(kind != 3)
+    lines = rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "place").select("c_nationkey", "value")
     lines.write.partitionBy("c_nationkey").text(f"{base}/a")
     lines.where(kind == 2).write.partitionBy("c_nationkey").text(f"{base}/b")
     staged = collection.stage_collection(spark, [f"{base}/a", f"{base}/b"], r"c_nationkey=(\d+)/")
@@ -88,6 +90,61 @@ CASE c_nationkey % 5 WHEN 3 THEN 'no CSV file for ' || c_nationkey WHEN 1 THEN '
 FROM customer GROUP BY c_nationkey"""
 
 
+def _write_gzip(base):
+    """Writes ``value`` lines, in order of nation and place, to a compressed file per nation; some are then damaged."""
+    import gzip
+
+    from pyarrow import fs
+
+    def write(batches):
+        store, folder = fs.FileSystem.from_uri(base)
+        store.create_dir(folder, recursive=True)
+        nation, lines = None, []
+
+        def close():
+            half = len(lines) // 2
+            whole = gzip.compress("".join(lines).encode())
+            if nation % 5 == 1:  # cut short
+                whole = whole[:-20]
+            elif nation % 5 == 2:  # a bit changed
+                whole = whole[: len(whole) // 2] + bytes([whole[len(whole) // 2] ^ 4]) + whole[len(whole) // 2 + 1 :]
+            elif nation % 5 == 3:  # two members, one behind the other
+                whole = gzip.compress("".join(lines[:half]).encode()) + gzip.compress("".join(lines[half:]).encode())
+            plain = nation % 5 == 4
+            with store.open_output_stream(f"{folder}/{nation}.csv" + ("" if plain else ".gz"), compression=None) as f:
+                f.write("".join(lines).encode() if plain else whole)
+
+        for batch in batches:
+            for n, line in zip(batch["c_nationkey"], batch["value"]):
+                if n != nation and nation is not None:
+                    close()
+                    lines = []
+                nation = n
+                lines.append(line + "\n")
+            yield batch[["c_nationkey"]]
+        if nation is not None:
+            close()
+
+    return write
+
+
+def collection_damaged_files(spark, sf):
+    """A compressed CSV file per nation with its customers: some are cut short, some have a bit changed, some are of two members."""
+    base = new_path(spark, "damaged")
+    c = table(spark, sf, "customer").select("c_nationkey", F.col("c_custkey").alias("place"), F.concat_ws(",", "c_custkey", "c_name", "c_acctbal").alias("value"))
+    heads = c.select("c_nationkey").distinct().select("c_nationkey", F.lit(-1).cast("long").alias("place"), F.lit("a,b,c").alias("value"))
+    lines = heads.unionByName(c).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "place").select("c_nationkey", "value")
+    uri = base if ":" in base else f"file:{base}"
+    materialize(lines.mapInPandas(_write_gzip(uri), "c_nationkey long"), "written")
+    staged = collection.stage_collection(spark, base, r"(\d+)\.csv(?:\.gz)?$")
+    return P.minimal_profile(staged).select("dataset_id", "status", "row_count", "column_count", "error")
+
+
+DAMAGED_SQL = """SELECT c_nationkey::VARCHAR AS dataset_id, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN NOT bad THEN n END AS row_count,
+CASE WHEN NOT bad THEN 3 END::INTEGER AS column_count, CASE WHEN bad THEN 'the compressed file is damaged' END AS error
+FROM (SELECT c_nationkey, c_nationkey % 5 IN (1, 2) AS bad, count(*) AS n FROM customer GROUP BY c_nationkey)"""
+
+
 def metadata_join_repeated(spark, sf):
     """A registry in which older entries of the same ids precede the current ones."""
     reg = registry(spark, sf)
@@ -189,6 +246,7 @@ QUERIES = {
     "runtime_log": runtime_log,
     "sample_all_and_none": sample_all,
     "collection_error_rows": collection_error_rows,
+    "collection_damaged_files": collection_damaged_files,
     "metadata_join_repeated": metadata_join_repeated,
     "description_variants_join": description_variants_join,
     "generate_quota": generate_quota,
@@ -207,6 +265,7 @@ trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark""",
     "runtime_log": "SELECT event_id::VARCHAR AS dataset_id, round(value, 2) AS runtime_sec FROM events",
     "sample_all_and_none": "SELECT c_custkey FROM customer",
     "collection_error_rows": COLLECTION_ERRORS_SQL,
+    "collection_damaged_files": DAMAGED_SQL,
     "metadata_join_repeated": METADATA_REPEATED_SQL,
     "description_variants_join": VARIANTS_SQL,
     "generate_quota": """SELECT 'error' AS status, 'RuntimeError: HTTP 429' AS error, 1::BIGINT AS rows UNION ALL SELECT 'skipped_quota', NULL, count(*) - 1 FROM documents""",

@@ -6,7 +6,14 @@ row, so that thousands of small tables are profiled by one plan instead of one j
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import bz2
+import re
+import zlib
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +27,12 @@ NA_TOKENS = [
 
 # The file name without its extension names the dataset.
 FILE_STEM = r"([^/]+?)(?:\.csv)?$"
+DAMAGED = "the compressed file is damaged"
+# Compressed files up to this size are checked by tasks that hold one of them at a time, larger ones by a strict read each.
+CHECKED_BYTES = 256 << 20
+# Files that are named one by one to a reader; more of them are found by reading all.
+LISTED_FILES = 10_000
+_ROWS = "path string, block long, at long, full boolean, fields array<string>"
 _LISTING = "dataset_id string, root_priority int, path string"
 
 
@@ -48,6 +61,75 @@ def _read_rows(spark: SparkSession, paths: list[str], width: int, multi_line: bo
     )
 
 
+def _whole_gzip(data: memoryview) -> bool:
+    """Whether ``data`` is one or more gzip members, each with the checksum and length that its trailer gives."""
+    at = 0
+    while at < len(data):
+        member = zlib.decompressobj(wbits=31)
+        try:
+            while not member.eof:
+                if at == len(data):
+                    return False
+                # The decompressor compares the trailer itself; bytes behind the member come back.
+                step = data[at : at + (1 << 20)]
+                member.decompress(step)
+                at += len(step) - len(member.unused_data)
+        except zlib.error:
+            return False
+    return at > 0
+
+
+def _whole_bzip2(data: memoryview) -> bool:
+    """The same for bzip2 streams."""
+    at = 0
+    while at < len(data):
+        stream = bz2.BZ2Decompressor()
+        try:
+            while not stream.eof:
+                if at == len(data):
+                    return False
+                step = data[at : at + (1 << 20)]
+                stream.decompress(step)
+                at += len(step) - len(stream.unused_data)
+        except (OSError, EOFError):
+            return False
+    return at > 0
+
+
+_CHECKS = {".gz": _whole_gzip, ".bz2": _whole_bzip2}
+
+
+def damaged_files(spark: SparkSession, paths: str | list[str], recursive: bool = True, checked_bytes: int = CHECKED_BYTES) -> DataFrame:
+    """``path`` of the compressed files (gzip, bzip2) that end early or whose content is not what their checksums say.
+
+    Files of several members, one behind the other, are whole if every member is. An empty file is damaged. What is read is
+    only compressed files; those of up to ``checked_bytes`` in one pass, a task holding one at a time, each larger one by a
+    read that fails where the file does.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    files = spark.read.format("binaryFile").options(pathGlobFilter=f"*{{{','.join(_CHECKS)}}}", recursiveFileLookup=recursive).load(paths)
+    large = [r["path"] for r in files.where(F.col("length") > checked_bytes).select("path").collect()]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                whole = _CHECKS[path[path.rindex(".") :]](memoryview(content.as_buffer()))
+                yield pa.RecordBatch.from_arrays([pa.array([] if whole else [path], pa.string())], names=["path"])
+
+    damaged = files.where(F.col("length") <= checked_bytes).select("path", "content").mapInArrow(check, "path string")
+    broken = [(path,) for path in large if not _reads(spark, path)]
+    return damaged.unionByName(spark.createDataFrame(broken, "path string")) if broken else damaged
+
+
+def _reads(spark: SparkSession, path: str) -> bool:
+    """Whether a file can be read to its end."""
+    try:
+        spark.read.option("ignoreCorruptFiles", False).text(path).agg(F.sum(F.length("value"))).collect()
+    except PySparkException:
+        return False
+    return True
+
+
 def _distinct_names(names: Column) -> Column:
     """Column names as a reader gives them: blanks become ``Unnamed: i``, repeats get ``.1``, ``.2``."""
     filled = F.transform(names, lambda x, i: F.coalesce(x, F.concat(F.lit("Unnamed: "), i.cast("string"))))
@@ -72,8 +154,9 @@ def stage_collection(
 
     ``row_idx`` is -1 for the header row, whose ``fields`` are the column names. ``n_fields`` exceeds the header's
     size in a row that has too many fields. ``dataset_pattern`` extracts the dataset id from a file's path, and ``only``
-    (``path``) restricts the files. ``problem`` tells why a file is no table: its id is that of another file too, or its
-    path has no id; such a file is then its own dataset, named by its path if it has no id.
+    (``path``) restricts the files. ``problem`` tells why a file is no table: its id is that of another file too, its path
+    has no id, or it is a damaged compressed file, of which the rows before the damage are all there is; a file without an
+    id is its own dataset, named by its path.
 
     ``multi_line=True`` allows line breaks inside quotes, at the price that one file is read by one task; for very
     long line-delimited files use ``multi_line=False``, which splits them. The parsed rows are written out once, because
@@ -98,12 +181,17 @@ def stage_collection(
     overflow = F.slice("fields", n_header + 1, F.greatest(F.size("fields") - n_header, F.lit(0)))
     last = F.array_max(F.transform(overflow, lambda x, i: F.when(x.isNotNull(), n_header + i + 1)))
     row_idx = F.col("skip") + F.col("at") - F.col("start") - 1
-    ids = F.regexp_extract("path", dataset_pattern, 1)
-    files = blocks.select("path", ids.alias("id")).distinct()
+    damaged = materialize(damaged_files(spark, paths, recursive), "damaged").distinct().withColumn("damaged", F.lit(True))
+    damaged = damaged if only is None else damaged.join(only.select("path"), "path", "left_semi")
+    # Of some damaged files no row is left.
+    files = blocks.select("path").distinct().join(damaged, "path", "full").withColumn("id", F.regexp_extract("path", dataset_pattern, 1))
     files = files.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id")) > 1)
-    problem = F.when(F.col("id") == "", "the path has no dataset id").when(F.col("shared"), "several files have this dataset id")
+    problem = F.when(F.col("id") == "", "the path has no dataset id").when(F.col("shared"), "several files have this dataset id").when(F.col("damaged"), DAMAGED)
     files = files.select("path", F.when(F.col("id") == "", F.col("path")).otherwise(F.col("id")).alias("dataset_id"), problem.alias("problem"))
-    return raw.join(blocks, ["path", "block"]).join(files, "path").select(
+    placed = raw.join(blocks, ["path", "block"])
+    lost = damaged.join(blocks.select("path"), "path", "left_anti")
+    empty = lost.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "path" else F.col("path") for f in placed.schema.fields])
+    return placed.unionByName(empty.select(*placed.columns)).join(files, "path").select(
         "dataset_id",
         "path",
         row_idx.alias("row_idx"),
@@ -114,10 +202,19 @@ def stage_collection(
     )
 
 
+def _listed(only: DataFrame, most: int = LISTED_FILES) -> list[str] | None:
+    """The paths of ``only`` as a reader takes them; None if there are too many to list."""
+    found = [r["path"] for r in only.select("path").distinct().limit(most + 1).collect()]
+    return None if len(found) > most else [re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(p)) for p in found]
+
+
 def _read_wide(spark: SparkSession, paths: list[str], width: int, multi_line: bool, recursive: bool, only: DataFrame | None) -> DataFrame:
-    """Written rows of the files, each file as wide as it needs."""
-    rows = _read_rows(spark, paths, width, multi_line, recursive)
-    raw = materialize(rows if only is None else rows.join(only.select("path"), "path", "left_semi"), "csv-rows")
+    """Written rows of the files, each file as wide as it needs. Of ``only`` some files no others are opened, if they can be listed."""
+    listed = None if only is None else _listed(only)
+    if listed == []:
+        return materialize(spark.createDataFrame([], _ROWS), "csv-rows")
+    rows = _read_rows(spark, paths if listed is None else listed, width, multi_line, recursive and listed is None)
+    raw = materialize(rows if only is None or listed is not None else rows.join(only.select("path"), "path", "left_semi"), "csv-rows")
     wide = raw.where("full").select("path").distinct()
     if wide.isEmpty():
         return raw
