@@ -5,7 +5,8 @@ Both front ends reduce their input to two small shapes and share everything afte
 * *facts*: one row per column, from a single map-side-combined aggregation of the input, written out because several
   later steps read it;
 * *values*: one row per distinct non-null value of a column with its count. Distinct counts, top values and exact
-  quartiles all come from it, so the data is shuffled once however many columns there are.
+  quartiles all come from it, so the data is shuffled once however many columns there are. A long text is there by its
+  SHA-256 and its beginning; the texts themselves are fetched for those that can be among the top values only.
 
 A frequent value is one row of *values*, and quartiles are found in ranges of the sorted distinct values (see
 :func:`exact_quartiles`), so no task needs a whole column.
@@ -25,6 +26,8 @@ KEYS = ["dataset_id", "col_idx"]
 QUARTILES = [0.25, 0.5, 0.75]
 
 _EXACT_LONG = 2**53
+# Texts beyond so many characters are counted by their digest, and so many characters of every text are kept to rank by.
+LONG, HEAD = 64, 32
 
 # The spellings of a boolean in a CSV cell, and the type names a CSV column can get.
 BOOLEAN_TOKENS = ["True", "TRUE", "true", "False", "FALSE", "false"]
@@ -35,15 +38,6 @@ _INTEGER = r"^\s*[+-]?\d+\s*$"
 # ---------------------------------------------------------------- shared steps
 
 
-def _counted(values: DataFrame, wanted: Column) -> DataFrame:
-    """Rows of *values* that meet ``wanted``.
-
-    The test mentions the count, which keeps it above the aggregation: all readers of *values* then share one
-    shuffle of the input instead of each pushing its own filter into a scan of its own.
-    """
-    return values.where(F.when(wanted, F.col("cnt")) > 0)
-
-
 def distinct_summary(values: DataFrame) -> DataFrame:
     """Non-null and distinct counts per column."""
     return values.groupBy(*KEYS).agg(
@@ -52,13 +46,30 @@ def distinct_summary(values: DataFrame) -> DataFrame:
     )
 
 
-def top_values(values: DataFrame, k: int = 10) -> DataFrame:
+def _identity(text: Column) -> list[Column]:
+    """What a text is grouped by: itself where it is short, else its ``digest``; and its ``head``, which ranks it."""
+    long = F.length(text) > LONG
+    return [F.when(~long, text).alias("txt"), F.when(long, F.sha2(text, 256)).alias("digest"), F.substring(text, 1, HEAD).alias("head")]
+
+
+def top_values(values: DataFrame, texts: DataFrame | None = None, k: int = 10) -> DataFrame:
     """The ``k`` most frequent values per column, ties in value order.
 
-    ``row_number() <= k`` becomes a group limit below the shuffle, so at most ``k`` rows per column and task move.
+    Values are ranked by count and beginning, and a ``rank() <= k`` becomes a group limit below the shuffle, so only the
+    first ones of a column and task move. What ties with the last of them is kept; the long texts among these are looked up in
+    ``texts`` (the keys, ``text``), which is scanned only if there are any.
     """
-    order = Window.partitionBy(*KEYS).orderBy(F.desc("cnt"), "txt")
-    ranked = values.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy(*KEYS).orderBy(F.desc("cnt"), "head")
+    first = values.withColumn("rank", F.rank().over(order)).where(F.col("rank") <= k).select(*KEYS, "txt", "digest", "cnt")
+    if texts is not None:
+        first = materialize(first, "top")
+        long = first.where(F.col("digest").isNotNull())
+        if not long.isEmpty():
+            found = texts.where(F.length("text") > LONG).withColumn("digest", F.sha2("text", 256)).join(long.select(*KEYS, "digest"), [*KEYS, "digest"], "left_semi")
+            whole = found.dropDuplicates([*KEYS, "digest"]).select(*KEYS, "digest", "text")
+            first = first.join(whole, [*KEYS, "digest"], "left").withColumn("txt", F.coalesce("txt", "text"))
+    exact = Window.partitionBy(*KEYS).orderBy(F.desc("cnt"), "txt")
+    ranked = first.withColumn("rank", F.row_number().over(exact)).where(F.col("rank") <= k)
     entry = F.struct("rank", F.col("txt").alias("value"), F.col("cnt").alias("count"))
     return (
         ranked.groupBy(*KEYS)
@@ -74,7 +85,7 @@ def exact_quartiles(values: DataFrame, counts: DataFrame) -> DataFrame:
     (table, column, value) and written; the sums of the ranges' counts tell which range holds a wanted rank, and only
     within such ranges are values ranked. A long column has many ranges, short columns share one.
     """
-    numbers = _counted(values, F.col("num").isNotNull()).select(*KEYS, "num", "cnt").join(counts.select(*KEYS), KEYS, "left_semi")
+    numbers = values.where(F.col("num").isNotNull()).select(*KEYS, "num", "cnt").join(counts.select(*KEYS), KEYS, "left_semi")
     same = numbers.groupBy(*KEYS, "num").agg(F.sum("cnt").alias("cnt"))
     ranged = materialize(same.repartitionByRange(*KEYS, "num").withColumn("part", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy(*KEYS, "part").agg(F.sum("cnt").alias("size"))
@@ -96,15 +107,15 @@ def exact_quartiles(values: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def _assemble(facts: DataFrame, values: DataFrame, examples: DataFrame, top_k: int) -> DataFrame:
+def _assemble(facts: DataFrame, values: DataFrame, long_texts: DataFrame | None, examples: DataFrame, top_k: int) -> DataFrame:
     """Join the per-column pieces (each one row per column) into the flat profile."""
     numeric = F.col("coarse_type") == "numeric"
     counts = facts.where(numeric & (F.col("n") > 0)).select(*KEYS, "n")
-    texts = _counted(values, F.col("num").isNull())
+    texts = values.where(F.col("num").isNull())
     parts = [
         distinct_summary(values),
         exact_quartiles(values, counts),
-        top_values(texts, top_k),
+        top_values(texts, long_texts, top_k),
         examples,
     ]
     joined = reduce(lambda left, right: left.join(right, KEYS, "left"), parts, facts)
@@ -175,6 +186,18 @@ def _number_identity(field: T.StructField) -> Column:
     return F.lit(None).cast("string")
 
 
+def _has_texts(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+
+
+def table_texts(df: DataFrame, dataset_id: str) -> DataFrame | None:
+    """The keys and ``text`` of all values of the columns that can hold long texts; None if there is no such column."""
+    entries = [F.struct(F.lit(i).alias("col_idx"), as_text(f).alias("text")) for i, f in enumerate(df.schema.fields) if _has_texts(f)]
+    if not entries:
+        return None
+    return df.select(F.lit(dataset_id).alias("dataset_id"), F.explode(F.array(*entries)).alias("x")).select("dataset_id", "x.col_idx", "x.text")
+
+
 def table_values(df: DataFrame, dataset_id: str) -> DataFrame:
     """Distinct non-null values of every column with their counts, in one shuffle with map-side combine."""
     entries: list[Column] = []
@@ -186,9 +209,10 @@ def table_values(df: DataFrame, dataset_id: str) -> DataFrame:
             _number_identity(field) if is_number else as_text(field),
         ]
     return (
-        df.select(F.stack(F.lit(len(df.columns)), *entries).alias("col_idx", "num", "txt"))
-        .where(F.col("num").isNotNull() | F.col("txt").isNotNull())
-        .groupBy(F.lit(dataset_id).alias("dataset_id"), "col_idx", "num", "txt")
+        df.select(F.stack(F.lit(len(df.columns)), *entries).alias("col_idx", "num", "text"))
+        .where(F.col("num").isNotNull() | F.col("text").isNotNull())
+        .select("col_idx", "num", *_identity(F.col("text")))
+        .groupBy(F.lit(dataset_id).alias("dataset_id"), "col_idx", "num", "txt", "digest", "head")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
@@ -266,7 +290,8 @@ def profile_table(
     """
     facts = materialize(table_facts(df, dataset_id), "facts")
     examples = table_examples(df, dataset_id, order_by, facts, max_examples)
-    return _assemble(facts, table_values(df, dataset_id), examples, top_k)
+    values = materialize(table_values(df, dataset_id), "values")
+    return _assemble(facts, values, table_texts(df, dataset_id), examples, top_k)
 
 
 # ---------------------------------------------------------------- a collection of CSV tables
@@ -325,11 +350,13 @@ def cell_facts(cells: DataFrame) -> DataFrame:
 def cell_values(cells: DataFrame, facts: DataFrame) -> DataFrame:
     """Distinct non-null values per column, equal after typing (``1`` = ``1.0`` = ``01`` in a numeric column).
 
-    Cells are first combined by their text; the distinct texts then meet the column types, of which there is one small row
-    per column.
+    Cells are first combined by their text, long ones that are no number by digest; the distinct texts then meet the column
+    types, of which there is one small row per column.
     """
     number = F.when(F.col("value").rlike(_NUMBER), F.expr("try_cast(trim(value) AS DOUBLE)"))
-    raw = cells.where(F.col("value").isNotNull()).groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("cnt")).withColumn("number", number)
+    long = (F.length("value") > LONG) & ~F.col("value").rlike(_NUMBER)
+    identity = [F.when(~long, F.col("value")).alias("value"), F.when(long, F.sha2("value", 256)).alias("digest"), F.substring("value", 1, HEAD).alias("head")]
+    raw = cells.where(F.col("value").isNotNull()).select(*KEYS, *identity).groupBy(*KEYS, "value", "digest", "head").agg(F.count(F.lit(1)).alias("cnt")).withColumn("number", number)
     whole = F.expr("try_cast(trim(value) AS BIGINT)")
     text = (
         F.when(F.col("coarse_type") == "boolean", F.initcap(F.lower("value")))
@@ -340,7 +367,8 @@ def cell_values(cells: DataFrame, facts: DataFrame) -> DataFrame:
         raw.join(facts.select(*KEYS, "coarse_type", "inferred_dtype"), KEYS)
         .withColumn("num", F.when(F.col("coarse_type") == "numeric", F.col("number")))
         .withColumn("txt", text)
-        .groupBy(*KEYS, "num", "txt")
+        .withColumn("head", F.when(F.col("coarse_type") != "numeric", F.coalesce(F.substring("txt", 1, HEAD), "head")))
+        .groupBy(*KEYS, "num", "txt", "digest", "head")
         .agg(F.sum("cnt").alias("cnt"))
     )
 
@@ -378,7 +406,8 @@ def profile_cells(cells: DataFrame, max_examples: int = 5, top_k: int = 10) -> D
     facts = materialize(cell_facts(cells), "facts")
     # Written once: four readers would otherwise each repeat the join with the column types.
     values = materialize(cell_values(cells, facts), "values")
-    return _assemble(facts, values, cell_examples(cells, facts, max_examples), top_k)
+    texts = cells.where(F.col("value").isNotNull()).select(*KEYS, F.col("value").alias("text"))
+    return _assemble(facts, values, texts, cell_examples(cells, facts, max_examples), top_k)
 
 
 def first_rows(cells: DataFrame, n: int | None) -> DataFrame:
