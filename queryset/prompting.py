@@ -13,14 +13,15 @@ from tablescribe.operators import catalog, generate, grading
 from tablescribe.operators import profile as P
 from tablescribe.operators import semantic as S
 from tablescribe.plans import describe, evaluate, prompts
-from tablescribe.session import new_path
+from tablescribe.session import materialize, new_path
 from tablescribe.sources import collection
+from tablescribe.sources.collection import collection_cells
 from tablescribe.sources.records import last_by_key
 
 from .catalogs import registry
 from .profiles import TYPED
 from .search import benchmark_queries
-from .tables import CELLS_SQL, DATASET_DIR, cells, csv_collection, csv_sources, table
+from .tables import CELLS_SQL, DATASET_DIR, cells, csv_collection, csv_sources, staged, table
 
 
 # Plain listings of the fields stand in for a wording.
@@ -71,7 +72,10 @@ SELECT ds AS dataset_id, col AS col_idx, widest, widest <= 2000 AND row_number()
 
 
 def sample_csv_text(spark, sf):
-    return prompts.sample_csv(cells(spark, sf)).select("dataset_id", F.md5("sample").alias("sample"))
+    # Rows are cut before they become cells.
+    first = staged(spark, sf).where(F.col("row_idx") < prompts.SAMPLE_ROWS)
+    head = materialize(collection_cells(first), "first-cells")
+    return prompts.sample_csv(head).select("dataset_id", F.md5("sample").alias("sample"))
 
 
 SAMPLE_CSV_SQL = f"""WITH {CELLS_SQL},
