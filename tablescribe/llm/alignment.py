@@ -12,6 +12,7 @@ occurrences, give the corpus-wide counts of id pairs, and what a segment adds to
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -49,28 +50,32 @@ def byte_ends(spans: list[tuple[int, int]], widths: list[int]) -> list[int]:
     return ends
 
 
-def groups(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups, links): the ids of both between common ends, and the id pairs of all tokens that end together."""
-    found, links, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        if a_ends[i] < b_ends[j]:
+def aligned(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[int, str, list[int], list[int]]:
+    """(n_groups, groups, a of links, b of links): ids of both between common ends, written down, and all pairs that end together."""
+    found, link_a, link_b, i, j, from_a, from_b, n_a, n_b = [], [], [], 0, 0, 0, 0, len(a), len(b)
+    while i < n_a and j < n_b:
+        end, other = a_ends[i], b_ends[j]
+        if end < other:
             i += 1
-        elif a_ends[i] > b_ends[j]:
+        elif end > other:
             j += 1
         else:
-            end, first_a, first_b = a_ends[i], i, j
-            while i < len(a) and a_ends[i] == end:
+            first_a, first_b, i, j = i, j, i + 1, j + 1
+            # Tokens without bytes end where the one before them does.
+            while i < n_a and a_ends[i] == end:
                 i += 1
-            while j < len(b) and b_ends[j] == end:
+            while j < n_b and b_ends[j] == end:
                 j += 1
-            links += [(x, y) for x in a[first_a:i] for y in b[first_b:j]]
-            found.append((a[from_a:i], b[from_b:j]))
+            if i - first_a == j - first_b == 1:
+                link_a.append(a[first_a])
+                link_b.append(b[first_b])
+            else:
+                pairs = [(x, y) for x in a[first_a:i] for y in b[first_b:j]]
+                link_a += [x for x, _ in pairs]
+                link_b += [y for _, y in pairs]
+            found.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
             from_a, from_b = i, j
-    return found, links
-
-
-def written(found: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found)
+    return len(found), ";".join(found), link_a, link_b
 
 
 class Aligner:
@@ -107,29 +112,32 @@ class Aligner:
 
     def _spans_of_b(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         try:
-            protos = self.b.encode(texts, return_type="proto", num_threads=1)
-        except TypeError:  # versions before that argument
-            protos = self.b.encode(texts, out_type="immutable_proto", num_threads=1)
-        return [([x.id for x in p.pieces], [(x.begin, x.end) for x in p.pieces]) for p in protos]
+            return [(x["ids"], x["offsets"]) for x in self.b.encode(texts, return_type="offset_mapping", return_bytes=True, num_threads=1)]
+        except TypeError:  # versions that have the immutable proto instead
+            return [([x.id for x in p.pieces], [(x.begin, x.end) for x in p.pieces]) for p in self.b.encode(texts, out_type="immutable_proto", num_threads=1)]
 
-    def align(self, texts: list[str]) -> list[tuple[int, int, list[tuple[list[int], list[int]]], list[tuple[int, int]]]]:
-        """(tokens of A, of B, groups, links) per text, each beginning with the space that B puts before it; all empty where the tokens' bytes are not the text's."""
-        out = []
+    def align(self, texts: list[str]) -> list[tuple[int, int, int, str, list[int], list[int]]]:
+        """(tokens of A, of B, then as :func:`aligned`) per text, each beginning with the space that B puts before it.
+
+        All is empty where the tokens' bytes are not the text's.
+        """
+        out, bytes_a, bytes_b = [], self.a_bytes.__getitem__, self.b_bytes.__getitem__
         for text, x, (b, b_spans) in zip(texts, self.a.encode_batch(texts, add_special_tokens=False), self._spans_of_b([t[1:] for t in texts])):
-            a, a_spans = x.ids, x.offsets
-            whole = text.encode()
-            a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+            a, whole = x.ids, text.encode()
+            a_parts, b_parts = list(map(bytes_a, a)), list(map(bytes_b, b))
             if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-                out.append((0, 0, [], []))
+                out.append((0, 0, 0, "", [], []))
                 continue
-            if len(whole) != len(text):
-                reach = [0, *np.cumsum([len(c.encode()) for c in text]).tolist()]
-                a_spans = [(reach[s], reach[e]) for s, e in a_spans]
+            if len(whole) == len(text):
+                # One byte a character: every span is a true cut.
+                a_ends, b_ends = [e for _, e in x.offsets], [e + 1 for _, e in b_spans]
+            else:
+                reach = [0, *itertools.accumulate([len(c.encode()) for c in text])]
                 if self.char_spans:
                     b_spans = [(reach[s + 1] - 1, reach[e + 1] - 1) for s, e in b_spans]
-            b_spans = [(s + 1, e + 1) for s, e in b_spans]
-            found, links = groups(a, b, byte_ends(a_spans, list(map(len, a_parts))), byte_ends(b_spans, list(map(len, b_parts))))
-            out.append((len(a), len(b), found, links))
+                a_ends = byte_ends([(reach[s], reach[e]) for s, e in x.offsets], list(map(len, a_parts)))
+                b_ends = byte_ends([(s + 1, e + 1) for s, e in b_spans], list(map(len, b_parts)))
+            out.append((len(a), len(b), *aligned(a, b, a_ends, b_ends)))
         return out
 
 
@@ -155,7 +163,7 @@ def align(df: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id", text:
     blocks = write_blocks(df, lambda: _segments(a_path, b_path), key=key, text=text, name="segments")
     fields = "id long, n long, numbers array<long>, groups string, a array<int>, b array<int>, blocks array<long>, places array<int>"
 
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 33
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
         names = [f.split()[0] for f in fields.split(", ")]
@@ -164,8 +172,8 @@ def align(df: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id", text:
         def batch_of(held: list[tuple[str, int, list, list]]) -> pa.RecordBatch:
             nonlocal made
             rows = []
-            for (n_a, n_b, found, links), (_, n, own_blocks, own_places) in zip(aligner(a_path, b_path).align([x[0] for x in held]), held):
-                rows.append((made, n, [n_a, n_b, len(found), len(links)], written(found), [x for x, _ in links], [y for _, y in links], own_blocks, own_places))
+            for (n_a, n_b, n_groups, groups, link_a, link_b), (_, n, own_blocks, own_places) in zip(aligner(a_path, b_path).align([x[0] for x in held]), held):
+                rows.append((made, n, [n_a, n_b, n_groups, len(link_a)], groups, link_a, link_b, own_blocks, own_places))
                 made += 1
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -185,7 +193,7 @@ def align(df: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id", text:
         if word is not None:
             yield batch_of([(word, total, at, places)])
 
-    words = materialize(entries(blocks).mapInArrow(aligned, fields), "aligned")
+    words = materialize(entries(blocks).mapInArrow(align_words, fields), "aligned")
     links = words.select("id", "n", F.explode(F.arrays_zip("a", "b")).alias("x")).select("id", "n", "x.a", "x.b")
     pairs = materialize(links.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
     # At most as many rows as B has ids.
