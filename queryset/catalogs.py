@@ -99,9 +99,9 @@ def topics(spark, sf):
 
 
 def metadata_join(spark, sf):
-    """Profiles looked up in the registry, with defaults for those without an entry."""
-    reg = registry(spark, sf).where(F.col("agency") != "src5")
-    joined = C.with_metadata(ids(spark, sf), reg)
+    """Datasets named by customers' numbers looked up in the registry, with defaults for those without an entry; each side lacks some."""
+    profiles = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("dataset_id"))
+    joined = C.with_metadata(profiles, registry(spark, sf))
     return joined.select("dataset_id", F.md5("title").alias("title"), "topic", "agency", F.md5("original").alias("original"))
 
 
@@ -252,9 +252,9 @@ coalesce(nullif(source, 'src1'), 'Unknown') AS agency, 'a,' || source AS columns
         name="CASE WHEN p_size % 5 <> 0 THEN p_name || '  ' || p_brand || '  ' || p_type END",
     )
     + " AS topic FROM part",
-    "metadata_join": f"""WITH {_REG}, kept AS (SELECT * FROM reg WHERE agency <> 'src5')
-SELECT doc_id::VARCHAR AS dataset_id, md5(coalesce(name, '')) AS title, {_TOPIC.format(category='category', name='name')} AS topic, agency, md5(coalesce(description, '')) AS original
-FROM documents d LEFT JOIN kept ON kept.id = d.doc_id::VARCHAR""",
+    "metadata_join": f"""WITH {_REG}
+SELECT c_custkey::VARCHAR AS dataset_id, md5(coalesce(name, '')) AS title, {_TOPIC.format(category='category', name='name')} AS topic, agency, md5(coalesce(description, '')) AS original
+FROM customer LEFT JOIN reg ON reg.id = c_custkey::VARCHAR""",
     "column_lists": "SELECT doc_id::VARCHAR AS id, 'doc_id, ' || source || ', ' || lang AS columns FROM documents",
     "restrict_to_judged": "SELECT doc_id::VARCHAR AS dataset_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "ok_profiles_first": "SELECT doc_id::VARCHAR AS dataset_id, 'ok' AS status, doc_id AS ord FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT 100",

@@ -396,7 +396,7 @@ def flaky_backend():
     return backend
 
 
-def _described(spark, sf, first_backend, cap):
+def _described(spark, sf, first_backend, cap, **more):
     """The last record of every dataset after two runs, the first one with ``cap`` datasets; five ids have no file."""
     root = csv_collection(spark, sf)
     known = reduce(DataFrame.unionByName, [df.select("dataset_id").distinct() for df, _ in csv_sources(spark, sf)])
@@ -412,7 +412,7 @@ def _described(spark, sf, first_backend, cap):
         F.array(F.lit("a")).alias("columns"),
     )
     out = new_path(spark, "descriptions")
-    files = {"dataset_pattern": DATASET_DIR, "recursive": True}
+    files = {"dataset_pattern": DATASET_DIR, "recursive": True, **more}
     first = describe.describe_collection(spark, reg, [root], out, first_backend, TEMPLATES, max_datasets=cap, **files)
     second = describe.describe_collection(spark, reg, [root], out, fixed_backend, TEMPLATES, **files)
     both = first.withColumn("ord", F.lit(0)).unionByName(second.withColumn("ord", F.lit(1)), allowMissingColumns=True)
@@ -429,6 +429,11 @@ def describe_resume_cap(spark, sf):
     return _described(spark, sf, flaky_backend, 4)
 
 
+def describe_batches(spark, sf):
+    """As before in batches of 50 datasets; all files are parsed once, and the second run asks what the first has no reply for."""
+    return _described(spark, sf, flaky_backend, 120, batch_datasets=50)
+
+
 DESCRIBE_SQL = """WITH ids AS (SELECT DISTINCT 'orders-' || (o_orderkey // 100) AS id FROM orders UNION ALL SELECT DISTINCT 'customer-' || (c_custkey // 100) FROM customer
   UNION ALL SELECT DISTINCT 'documents-' || (doc_id // 100) FROM documents)
 SELECT id AS dataset_id, 'ok' AS status, 'Rows of ' || id || ' and more' AS title, CASE WHEN starts_with(id, 'orders') THEN 'sales' ELSE 'Rows of ' || id END AS topic,
@@ -459,6 +464,7 @@ QUERIES = {
     "generate_stub": generate_rows,
     "describe_collection": describe_collection,
     "describe_resume_cap": describe_resume_cap,
+    "describe_batches": describe_batches,
 }
 ORACLES = {
     "sample_columns_choice": SAMPLE_COLUMNS_SQL,
@@ -488,4 +494,5 @@ ELSE substring(text, 1, 2500) || chr(10) || chr(10) || '...[prompt truncated fro
 CASE WHEN lang = 'de' THEN 'ValueError: unsupported language' END AS error FROM documents""",
     "describe_collection": DESCRIBE_SQL,
     "describe_resume_cap": DESCRIBE_SQL,
+    "describe_batches": DESCRIBE_SQL,
 }

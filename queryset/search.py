@@ -121,10 +121,9 @@ def relevance_pivot(spark, sf):
 
 
 def judged_coverage(spark, sf):
-    """Labelled documents that the well-written part of the corpus lacks."""
-    judged = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("dataset_id"))
-    docs = table(spark, sf, "documents").where(F.col("lang") != "fr").select(F.col("doc_id").cast("string").alias("dataset_id"))
-    return R.judged_coverage(judged, docs)
+    """Datasets named by customers' numbers are judged, those named by documents' are the corpus; each side lacks some of the other."""
+    judged = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("dataset_id"))
+    return R.judged_coverage(judged, table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("dataset_id")))
 
 
 _PIVOT_CELLS = ", ".join(f"max(rel) FILTER (query_id = 'query_{i}') AS query_{i}" for i in range(1, JUDGED_QUERIES + 1))
@@ -161,5 +160,5 @@ best AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT query_id, k::INTEGER AS k, round(sum(rel / log2(r + 1)), 6) AS ideal FROM best JOIN ks ON r <= k GROUP BY query_id, k""",
     "relevance_unpivot": f"WITH {_REL_SQL} SELECT query_id, doc_id::VARCHAR AS dataset_id, rel::INTEGER AS rel FROM rel",
     "relevance_pivot": f"WITH {_REL_SQL} SELECT doc_id::VARCHAR AS dataset_id, {_PIVOT_CELLS} FROM (SELECT doc_id, query_id, rel::INTEGER AS rel FROM rel) GROUP BY doc_id",
-    "judged_coverage": "SELECT count(*) AS n_judged, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'fr')) AS n_missing FROM labels",
+    "judged_coverage": "SELECT count(*) AS n_judged, count(*) FILTER (c_custkey NOT IN (SELECT doc_id FROM documents)) AS n_missing FROM customer",
 }

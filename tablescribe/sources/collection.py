@@ -102,8 +102,8 @@ _CHECKS = {".gz": _whole_gzip, ".bz2": _whole_bzip2}
 def damaged_files(spark: SparkSession, paths: str | list[str], recursive: bool = True, checked_bytes: int = CHECKED_BYTES) -> DataFrame:
     """``path`` of the compressed files (gzip, bzip2) that end early or whose content is not what their checksums say.
 
-    Files of several members, one behind the other, are whole if every member is. An empty file is damaged. What is read is
-    only compressed files; those of up to ``checked_bytes`` in one pass, a task holding one at a time, each larger one by a
+    Files of several members, one behind the other, are whole if every member is; files of zero bytes count as missing here as
+    elsewhere. What is read is only compressed files; those of up to ``checked_bytes`` in one pass, a task holding one at a time, each larger one by a
     read that fails where the file does.
     """
     paths = [paths] if isinstance(paths, str) else paths

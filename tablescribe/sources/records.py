@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 REGISTRY_SCHEMA = (
     "id string, name string, description string, category string, agency string, columns array<string>, "
     "local_path string, sample_row_count int, page_views bigint"
@@ -20,17 +22,59 @@ RESULTS_SCHEMA = "method string, metric string, value double"
 
 
 def read_registry(spark: SparkSession, path: str, max_datasets: int | None = None) -> DataFrame:
-    """A registry (one JSON array) with its file order as ``ord``; only the first ``max_datasets`` when given.
+    """A registry (one JSON array of objects) with its order as ``ord``; only the first ``max_datasets`` when given.
 
-    A file that is no JSON array fails the query. The registry is the list of datasets, one file of bounded size.
+    The array may be one file, or a folder of files that make it up in the order of their names. It is read in splits, cut at
+    closing braces; prefix sums of quotes and brackets over the splits tell where an entry ends, so no task needs more than a
+    split and an entry. A text that is no such array is an error.
     """
-    items = spark.read.text(path, wholetext=True)
-    entries = _parsed("value", f"array<struct<{_as_struct(REGISTRY_SCHEMA)}>>", F.lit("the registry is no JSON array: "))
-    parsed = items.select(F.posexplode(entries).alias("ord", "item"))
-    registry = parsed.select("ord", "item.*")
+    pieces = materialize(_pieces(spark, path), "registry")
+    quoted = _running(pieces, "quotes", "before")
+    # What stands outside of strings: the text up to here has an odd number of quotes inside one.
+    inside = F.when(F.col("before") % 2 == 1, '"').otherwise("")
+    bare = F.regexp_replace(F.concat(inside, "plain"), r'"[^"]*("|$)', "")
+    opened = F.length(bare) - F.length(F.translate(bare, "{[", ""))
+    closed = F.length(bare) - F.length(F.translate(bare, "}]", ""))
+    told = quoted.select("path", "block", "at", "text", bare.alias("bare"), (opened - closed).cast("long").alias("step"))
+    deep = _running(told, "step", "depth").withColumn("depth", F.col("depth") + F.col("step"))
+    ends = (F.col("depth") == 1) & F.endswith("bare", F.lit("}"))
+    numbered = materialize(_running(deep.withColumn("ends", F.when(ends, 1).otherwise(0).cast("long")), "ends", "entry"), "entries")
+    parts = F.array_sort(F.collect_list(F.struct("path", "block", "at", "text")))
+    entries = numbered.groupBy("entry").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"), F.max("ends").alias("whole"))
+    first = F.when(F.col("entry") == 0, r"^\s*\[").otherwise(r"^\s*,")
+    total = numbered.agg(F.sum("step").alias("depth"), F.count_if(F.col("depth") < 0).alias("low"), F.count(F.lit(1)).alias("n")).first()
+    empty = entries.where((F.col("whole") == 0) & ~F.when(F.col("entry") == 0, F.col("text").rlike(r"^\s*\[\s*\]\s*$")).otherwise(F.col("text").rlike(r"^\s*\]\s*$")))
+    odd = empty.unionByName(entries.where((F.col("whole") == 1) & ~F.regexp_like("text", first))).select(F.substring("text", 1, 80).alias("text")).first()
+    if odd or not total["n"] or total["depth"] or total["low"]:
+        raise ValueError(f"the registry is no JSON array: {odd['text'] if odd else path}")
+    item = F.from_json(F.regexp_replace("text", first, F.lit("")), f"struct<{_as_struct(REGISTRY_SCHEMA)}>", {"mode": "FAILFAST"})
+    registry = entries.where("whole = 1").select(F.col("entry").cast("int").alias("ord"), item.alias("item")).select("ord", "item.*")
     return registry if max_datasets is None else registry.where(F.col("ord") < max_datasets)
 
 
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The text of files up to each closing brace, with its place, and without escapes as ``plain`` with the number of its quotes."""
+    rows = spark.read.option("lineSep", "}").text(path)
+    placed = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    # The reader takes the brace away; what follows a file's last one had none.
+    placed = materialize(placed, "pieces")
+    last = placed.groupBy("path").agg(F.max(F.struct("block", "at")).alias("last"))
+    ends = placed.join(last, "path").withColumn("is_last", F.struct("block", "at") == F.col("last"))
+    text = ends.select("path", "block", "at", F.when(F.col("is_last"), F.col("value")).otherwise(F.concat("value", F.lit("}"))).alias("text"))
+    plain = text.withColumn("plain", F.regexp_replace("text", r"\\.", ""))
+    return plain.withColumn("quotes", (F.length("plain") - F.length(F.translate("plain", '"', ""))).cast("long"))
+
+
+def _running(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``column`` over all rows before, by path, block and place: sums of blocks first, then within a block."""
+    # One row per block.
+    blocks = df.groupBy("path", "block").agg(F.sum(column).alias("sum"))
+    over = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("path", "block", F.coalesce(F.sum("sum").over(over), F.lit(0)).alias("start"))
+    within = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(starts, ["path", "block"]).withColumn(name, F.col("start") + F.coalesce(F.sum(column).over(within), F.lit(0))).drop("start")
+
+
 def _parsed(column: str, schema: str, message: Column) -> Column:
     """A whole file's JSON; a file that cannot be read as ``schema`` fails the query."""
     value = F.from_json(column, schema, {"mode": "FAILFAST"})
