@@ -184,3 +184,134 @@ def test_relevance_and_results_files(spark, tmp_path):
     back = records.read_results(spark, str(tmp_path / "results"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, results.collect()))
     assert records.read_results(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_quota_stops_all_tasks(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def make():
+        import os
+        import time
+
+        def backend(batch, temperature):
+            with open(log, "a") as f:
+                f.write("call\n")
+            time.sleep(0.05)
+            if os.path.getsize(log) >= 5 * 20:
+                with open(log, "a") as f:
+                    f.write("429!\n")
+                raise RuntimeError("HTTP 429")
+            return ["x"]
+
+        return backend
+
+    df = spark.range(2_000).selectExpr("id", "'p' || id AS prompt")
+    out = G.generate(df, make, ["id"], concurrency=4).groupBy("status").count().collect()
+    lines = log.read_text().splitlines()
+    after = lines[lines.index("429!") :]
+    assert after.count("call") <= 4
+    counts = {r.status: r["count"] for r in out}
+    assert sum(counts.values()) == 2_000 and counts["error"] <= 4 and counts["skipped_quota"] > 1_900
+
+
+def test_pace_is_that_of_the_run(spark, tmp_path):
+    times = tmp_path / "times"
+
+    def make():
+        import time
+
+        def backend(batch, temperature):
+            with open(times, "a") as f:
+                f.write(f"{time.time()}\n")
+            return ["x"]
+
+        return backend
+
+    df = spark.range(24).selectExpr("id", "'p' || id AS prompt")
+    G.generate(df, make, ["id"], concurrency=4, min_interval=0.05).collect()
+    at = sorted(map(float, times.read_text().split()))
+    # Four tasks of about six calls: each one call in 0.2 seconds.
+    assert len(at) == 24 and at[-1] - at[0] >= 0.05 * 24 * 0.6
+
+
+def test_kept_replies_are_not_asked_again(spark, tmp_path):
+    log, keep = tmp_path / "calls", str(tmp_path / "keep")
+    df = spark.range(50).selectExpr("id", "'p' || id AS prompt")
+    first = {r.id: (r.reply, r.status) for r in G.generate(df, backend_factory(lambda p: "boom" if p == "p7" else None, str(log)), ["id"], concurrency=2, keep=keep).collect()}
+    assert calls(log) == 50
+    kept = G.kept_replies(df, keep, ["id"]).collect()
+    assert {r.id for r in kept} == set(range(50)) - {7} and {r.status for r in kept} == {"ok"}
+    # A task that is tried again has the same folder; half a line at a file's end is no reply.
+    (tmp_path / "keep" / "0" / "broken.json").write_text('{"id": 3, "na')
+    second = {r.id: (r.reply, r.status) for r in G.generate(df, backend_factory(log=str(log)), ["id"], concurrency=2, keep=keep).collect()}
+    assert calls(log) == 51
+    assert {i: second[i] for i in range(50) if i != 7} == {i: first[i] for i in range(50) if i != 7} and second[7][1] == "ok"
+
+
+def test_a_collection_is_parsed_once(spark, tmp_path, monkeypatch):
+    from tablescribe.sources import collection
+
+    root = make_files(tmp_path / "csv", **{f"t{i}": f"x,y\n{i},u\n" for i in range(7)}, other="not,chosen\n")
+    reads = []
+    inner = collection._read_rows
+    monkeypatch.setattr(collection, "_read_rows", lambda *a: (reads.append(a[1]), inner(*a))[1])
+    out = describe.describe_collection(spark, make_registry(spark, *[f"t{i}" for i in range(7)]), [root], str(tmp_path / "out"), backend_factory(), TEMPLATES, batch_datasets=2)
+    assert {r.dataset_id: r.status for r in out.collect()} == {f"t{i}": "ok" for i in range(7)}
+    assert len(reads) == 1 and sorted(p.rsplit("/", 1)[1] for p in reads[0]) == [f"t{i}.csv" for i in range(7)]
+
+
+KILLED = """
+import sys, time
+sys.path[:0] = [{repo!r}]
+from tablescribe.plans import describe, prompts
+from tablescribe.session import local_session
+templates = {{kind: kind + "".join(f" {{f}}={{{{{{f}}}}}}" for f in fields) for kind, fields in prompts.FIELDS.items()}}
+spark = local_session(3, **{{"spark.checkpoint.dir": {work!r}}})
+rows = [(f"t{{i}}", f"t{{i}}", "", "", None, ["a"], 10, i) for i in range(12)]
+reg = spark.createDataFrame(rows, "id string, name string, description string, category string, agency string, columns array<string>, page_views bigint, ord int")
+
+def make():
+    def backend(batch, temperature):
+        time.sleep(0.7)
+        with open({log!r}, "a") as f:
+            f.write(batch[0][:12].replace("\\n", " ") + str(hash(batch[0])) + "\\n")
+        return ["reply"]
+    return backend
+
+describe.describe_collection(spark, reg, [{root!r}], {out!r}, make, templates, concurrency=3)
+print("done")
+"""
+
+
+def test_a_killed_run_repeats_one_call_a_task(tmp_path):
+    """The process group of a run is killed in the middle of a step; the next run asks again at most for the calls under way."""
+    import os
+    import signal
+    import subprocess
+    import sys
+    import time
+
+    root = make_files(tmp_path / "csv", **{f"t{i}": f"x,y\n{i},u\n" for i in range(12)})
+    log = tmp_path / "calls"
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = KILLED.format(repo=repo, root=root, out=str(tmp_path / "out"), work=str(tmp_path / "work"), log=str(log))
+    env = {**os.environ, "PYTHONHASHSEED": "0", "PYTHONPATH": repo}
+
+    def start():
+        return subprocess.Popen([sys.executable, "-c", script], env=env, start_new_session=True, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+
+    first = start()
+    until = time.time() + 240
+    while calls(log) < 17 and time.time() < until:  # 12 of the first step, and some of the second
+        time.sleep(0.05)
+    time.sleep(0.1)
+    os.killpg(first.pid, signal.SIGKILL)
+    first.wait()
+    asked = calls(log)
+    assert 17 <= asked < 24
+    second = start()
+    output, _ = second.communicate(timeout=400)
+    assert b"done" in output
+    lines = log.read_text().splitlines()
+    # 36 calls in all: three steps of twelve datasets. A task repeats the call under way, and one that was not written down yet.
+    assert 36 <= len(lines) <= 36 + 2 * 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescribe.operators import profile as P
 from tablescribe.operators.semantic import choose_columns
+from tablescribe.sources import collection
 from tablescribe.sources.collection import FILE_STEM, collection_cells, collection_status, list_csv_files, resolve_csv_paths, stage_collection
 
 
@@ -220,3 +221,72 @@ def test_number_of_jobs_does_not_grow_with_datasets(spark, tmp_path):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(40) <= jobs(4) + 3
+
+
+def test_long_texts_are_counted_by_digest(spark):
+    """Distinct counts and top values of long texts, with ties behind a common beginning."""
+    long = ["same beginning of forty characters, then " + c * 5_000 for c in "dcba"]
+    rows = [(i, t) for i, t in enumerate([*long, long[1], "short", "short", None, long[0][:64], long[0][:65]])]
+    df = spark.createDataFrame(rows, "id int, text string")
+    values = P.table_values(df, "t")
+    sizes = values.select(*[F.max(F.length(c)).alias(c) for c in ("txt", "digest", "head")]).first()
+    assert sizes.txt <= P.LONG and sizes.digest == 64 and sizes.head == P.HEAD
+    text = next(r for r in P.profile_table(df, "t", ["id"], top_k=4).collect() if r.name == "text")
+    assert (text.num_non_null, text.num_unique) == (9, 7)
+    # Two values twice, then the smallest of those that occur once.
+    assert [(v.value, v["count"]) for v in text.stats.top_values] == [(long[1], 2), ("short", 2), *((t, 1) for t in sorted([long[0][:64], long[0][:65], long[0], long[2], long[3]])[:2])]
+    cells = df.select(F.lit("t").alias("dataset_id"), F.col("id").cast("bigint").alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("text").alias("col_name"), F.col("text").alias("value"))
+    profile = P.profile_cells(cells, top_k=4).first()
+    assert profile.num_unique == 7 and profile.stats.top_values == text.stats.top_values
+
+
+def gzipped(text):
+    import gzip
+
+    return gzip.compress(text.encode())
+
+
+def test_damaged_files(spark, tmp_path):
+    rng = __import__("random").Random(1)
+    body = "a,b\n" + "".join(f"{i},{rng.random()}\n" for i in range(5_000))
+    whole = gzipped(body)
+    flipped = bytearray(whole)
+    flipped[len(whole) // 2] ^= 1
+    trailer = bytearray(whole)
+    trailer[-6] ^= 1
+    files = {"whole": whole, "cut": whole[: len(whole) // 2], "cut_trailer": whole[:-1], "flipped": bytes(flipped), "trailer": bytes(trailer), "garbage": whole + b"x", "no_gzip": body.encode()}
+    files["members"] = gzipped(body[:9_000]) + gzipped(body[9_000:])
+    files["cut_member"] = gzipped(body[:9_000]) + gzipped(body[9_000:])[:-9]
+    for name, data in files.items():
+        (tmp_path / f"{name}.csv.gz").write_bytes(data)
+    (tmp_path / "bz.csv.bz2").write_bytes(__import__("bz2").compress(body.encode()))
+    (tmp_path / "bzcut.csv.bz2").write_bytes(__import__("bz2").compress(body.encode())[:-20])
+    (tmp_path / "plain.csv").write_text(body)
+    pattern = r"([^/]+?)\.csv(?:\.gz|\.bz2)?$"
+    good = {"whole", "members", "bz", "plain"}
+    staged = collection.stage_collection(spark, str(tmp_path), pattern)
+    got = {r.dataset_id: (r.status, r.row_count, r.error) for r in P.minimal_profile(staged).collect()}
+    want = {n: ("ok", 5_000, None) if n in good else ("error", None, collection.DAMAGED) for n in [*files, "bz", "bzcut", "plain"]}
+    assert got == want
+    assert {r.dataset_id for r in collection.collection_cells(staged).select("dataset_id").distinct().collect()} == good
+    # Files that are too large to be held are read one by one.
+    damaged = collection.damaged_files(spark, str(tmp_path), checked_bytes=1)
+    names = {r.path.rsplit("/", 1)[1].split(".")[0] for r in damaged.collect()}
+    assert names >= {"cut", "flipped", "trailer", "cut_member"} and not names & good
+
+
+def test_only_wide_files_are_read_again(spark, tmp_path, monkeypatch):
+    (tmp_path / "n a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "w[1].csv").write_text(",".join(f"c{i}" for i in range(100)) + "\n" + ",".join("x" * 100) + "\n")
+    read = []
+    inner = collection._read_rows
+
+    def noted(spark, paths, *more):
+        read.append(paths)
+        return inner(spark, paths, *more)
+
+    monkeypatch.setattr(collection, "_read_rows", noted)
+    staged = collection.stage_collection(spark, str(tmp_path))
+    got = {r.dataset_id: (r.status, r.column_count, r.row_count) for r in P.minimal_profile(staged).collect()}
+    assert sorted(v[1:] for v in got.values()) == [(2, 1), (100, 1)]
+    assert len(read) == 2 and len(read[1]) == 1 and "w" in read[1][0]

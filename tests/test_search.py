@@ -95,3 +95,39 @@ def test_search_quality_of_records(spark):
     assert got["original", 1] == 0.0 and got["original", 2] == pytest.approx(0.5 / math.log2(3))
     metrics = {r.metric for r in evaluate.search_results(out).collect()}
     assert metrics == {"bm25@1", "bm25@2"}
+
+
+def zipf_corpus(spark, n=600, queries=25):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3_000)]
+    weights = [1 / (i + 1) for i in range(3_000)]
+    docs = [(f"d{i}", " ".join(rng.choices(words, weights, k=rng.randint(20, 120)))) for i in range(n)]
+    texts = [" ".join(rng.choices(words, weights, k=20)) for _ in range(queries)]
+    return docs, texts
+
+
+def test_few_pairs_are_ranked(spark):
+    docs, texts = zipf_corpus(spark)
+    index = R._Index(corpus(spark, docs), questions(spark, *texts), R.K1, R.B)
+    pairs = index.candidates(5)
+    assert len(texts) * 5 <= pairs.count() < len(texts) * len(docs) / 20
+    got = R.bm25_top(corpus(spark, docs), questions(spark, *texts), ["m"], 5).collect()
+    for i, q in enumerate(texts, 1):
+        mine = [(r.dataset_id, round(r.score, 6)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == f"query_{i}"]
+        assert mine == [(d, round(s, 6)) for s, _, d in brute_force(q, docs)[:5]]
+
+
+def test_thresholds_are_reached(spark):
+    docs, texts = zipf_corpus(spark, 200, 10)
+    index = R._Index(corpus(spark, docs), questions(spark, *texts), R.K1, R.B)
+    least = {r.query_id: r.least for r in index.thresholds(4).collect()}
+    for i, q in enumerate(texts, 1):
+        kth = brute_force(q, docs)[3][0]
+        assert least.get(f"query_{i}", 0.0) <= kth
+
+
+def test_words_are_counted_in_their_row(spark):
+    texts = corpus(spark, [("a", "X y x"), ("b", ""), ("c", None), ("d", "q q")]).fillna("", ["text"])
+    words = spark.createDataFrame([("x", 0), ("q", 1), ("absent", 2)], "word string, term int")
+    got = {r.dataset_id: (r.dl, dict(zip(r.terms, r.counts))) for r in R.word_counts(texts, words).collect()}
+    assert got == {"a": (3, {0: 2}), "b": (0, {}), "c": (0, {}), "d": (2, {1: 2})}

@@ -122,3 +122,41 @@ def test_combine(pool):
     want = {r.id for r in a.collect()} | {r.id for r in b.collect()}
     got = [r.id for r in T.combine(pool, "id", a, b).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("n", [1, 7, 4_000, 9_990, 9_999, 10_000, 20_000])
+def test_rounds_of_counts_equal_a_sort(spark, monkeypatch, n):
+    monkeypatch.setattr(T, "RANKED", 50)
+    monkeypatch.setattr(T, "DRAWN", 300)
+    df = spark.range(10_000).select("id", (F.col("id") % 3).alias("tier"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("name"))
+    order = ("tier", "name", order_key(3, "id"), "id")
+    want = [r.id for r in df.orderBy(*order).limit(n).collect()]
+    assert sorted(want) == sorted(r.id for r in T.first_by(df, n, *order).collect())
+
+
+def test_equal_keys_end_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(T, "RANKED", 50)
+    same = spark.range(500).select(F.lit(1).alias("k"), "id")
+    assert T.first_by(same, 100, "k").count() == 500  # the keys do not tell rows apart
+    assert T.first_by(same, 100, "k", "id").count() == 100
+
+
+def _folder_bytes(path):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(path) for f in files)
+
+
+def test_what_is_written_does_not_depend_on_the_rows_width(spark):
+    from tablescribe.session import run_dir
+
+    folder = run_dir(spark).removeprefix("file:")
+    df = spark.range(3_000).select("id", (F.col("id") % 7).cast("string").alias("label"), (F.col("id") % 11).alias("cluster_id"), F.lit("x").alias("text"))
+    wide = df.withColumn("payload", F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.md5(F.concat_ws(":", "id", i)))))
+    for name, sample in SAMPLERS.items():
+        before = _folder_bytes(folder)
+        sample(df, 100).count()
+        narrow = _folder_bytes(folder) - before
+        assert sample(wide, 100).count() == 100
+        assert _folder_bytes(folder) - before - narrow <= narrow + 2_000, name
+        assert narrow == 0 or name in ("stratified", "cluster")
