@@ -250,6 +250,44 @@ def test_odd_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+STORY = "".join(f"<p>{'Sentence number %d of a long story. ' % i * 3}</p>" for i in range(3))
+TOLD = " ".join(("Sentence number %d of a long story. " % i * 3).strip() for i in range(3))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # Reader comments and teasers stay out, though they are articles.
+        (f"<body><div>{STORY}</div><div class='comments'><article><p>Nice one, reader! {'So long. ' * 30}</p></article></div></body>", TOLD),
+        (f"<article>{STORY}<div class='comments'><article class='comment'><p>Nice</p></article></div></article><article class='comment'>Bad</article>", TOLD),
+        (f"<body><div>{STORY}</div><aside><article><h2>Teaser</h2></article></aside></body>", TOLD),
+        # Labels are read as words, with denials and what they stand beside.
+        (f"<div class='content has-sidebar'>{STORY}</div>", TOLD),
+        (f"<div class='post no-comments'>{STORY}</div>", TOLD),
+        (f"<article><div class='article-header'><h1>Headline</h1></div><p class='share-price'>Up 3 %</p>{STORY}</article>", f"Headline Up 3 % {TOLD}"),
+        (f"<div class='siteHeader'>Site</div><div id='cookie-bar'>Cookies</div><div role='navigation'>Nav</div><div class='ad-slot-2'>Ad</div>{STORY}<div class='share-buttons'>Share</div>", TOLD),
+        # A teaser beside a story in a div, and stories without an article.
+        (f"<div>{STORY}</div><article><h2>Teaser card</h2></article>", f"{TOLD} Teaser card"),
+        ("<div><div><p>A short page.</p></div></div>", "A short page."),
+        ("<div><div><h1>Short</h1></div></div><div><div><p>" + "long text " * 20 + "</p></div></div><div><div><p>end</p></div></div>", "Short " + ("long text " * 20).strip() + " end"),
+        (f"<article>{STORY}</article><div>{'<a href=x>More news here</a> ' * 40}</div>", TOLD),
+    ],
+)
+def test_hand_made_pages(page, want):
+    assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<script x ", "<br ", "<a '", '<a "', "</div>", "<div class='ad'>", '<a href=">', "<!--", "<![x", "<svg>", "<p>", "<b><p></b>", "<li>", "<"])
+def test_broken_pages_take_time_in_proportion(piece):
+    import time
+
+    html.main_text("<p>warm</p>")
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 15
+
+
 def test_pages_of_the_tables_keep_their_article(spark):
     import re
 
