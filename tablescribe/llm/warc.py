@@ -16,16 +16,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stores import store
 from ..session import materialize, new_path
 from .common import byte_batches, text_of
 
 GAP = 64 << 10  # ranges closer than this are fetched together
 FETCH = 8 << 20  # at most so many bytes at once, longer records apart
+READ_BYTES = 4 << 20  # of archives that a reading task gets
 _DATE = "1970-01-01T00:00:00Z"  # the tables have no time of capture
 
 
@@ -33,10 +34,6 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _uri(ident) -> str:
     return f"<urn:x-page:{'' if ident is None else ident}>"
 
@@ -88,7 +85,7 @@ def write_archives(df: DataFrame, folder: str, *, key: str = "page_id", url: str
 
     Of rows with equal payloads of at least ``least`` bytes, the one with the largest key is a response and the others are
     revisits of it; rows that repeat the largest key are responses as well. Null html is the empty payload, null urls are
-    empty, null keys count as smallest.
+    empty, null keys count as smallest; an empty table gives an empty index and no archive.
     """
     # The owner of each repeated payload is found by digest alone; only who revisits whom is then joined to the pages.
     small = owners(df.select(key, html), key=key, html=html, least=least).filter(F.col("__owner").isNotNull() & ~F.col(key).eqNullSafe(F.col("__owner")))
@@ -104,7 +101,7 @@ def write_archives(df: DataFrame, folder: str, *, key: str = "page_id", url: str
         try:
             for batch in byte_batches(batches, html, 8 << 20):
                 if out is None:
-                    system, local = _opened(path)
+                    system, local = store(path)
                     system.create_dir(local.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(local, compression=None)
                 index = []
@@ -173,7 +170,7 @@ def read_records(index: DataFrame, *, key: str = "page_id") -> DataFrame:
                 last = next((i for i in range(first, len(paths)) if paths[i] != paths[first]), len(paths))
                 if paths[first] != path:
                     path = paths[first]
-                    system, local = _opened(path)
+                    system, local = store(path)
                     source = system.open_input_file(local)
                 for begin, end, own in fetched(ranges[first:last]):
                     data = source.read_at(end - begin, begin)
@@ -183,7 +180,9 @@ def read_records(index: DataFrame, *, key: str = "page_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
                 first = last
 
-    ordered = index.select(key, "path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
+    # Tasks get stretches of archives of about equal bytes.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    ordered = index.select(key, "path", "offset", "length").repartitionByRange(max(1, -(-size // READ_BYTES)), "path", "offset").sortWithinPartitions("path", "offset")
     return ordered.mapInArrow(run, schema).withColumn("refers_to", F.expr(f"try_cast(refers_to AS {kind.simpleString()})"))
 
 
