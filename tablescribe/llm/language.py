@@ -2,8 +2,12 @@
 
 Each language has a raw-content Zstandard dictionary of words of its training texts, the commonest ones last, where matches
 are cheapest. A text is reduced to its distinct words in lower case and compressed with each dictionary; the smallest result
-names the language, and a margin that is too narrow rejects it. Short texts are compressed behind two stretches of the
-dictionary's own words, and count by what they add, because a frame of few bytes is hardly ever compressed.
+names the language. Short texts are compressed behind two stretches of the dictionary's own words, and count by what they add,
+because a frame of few bytes is hardly ever compressed.
+
+A text is rejected if the second-best dictionary does nearly as well, or if the best one hardly does better than none: texts in
+a language that was not learned, and letters without a language. What is too little is learned by size class from the texts
+that were learned from.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import byte_batches, smallest_hashes, text_hash, unused, up_to_hash
 
 SAMPLE_ROWS = 400  # training texts of a language
@@ -26,7 +31,10 @@ COUNTED_WORDS = 200_000  # words a task holds before it passes them on
 LEVEL = 9
 SHORT_BYTES = 512
 STRETCH_BYTES = 1024
-MARGIN = 0.0005
+CLASSES = (64, 256, 1024, 4096)  # bytes of distinct words at which the next size class begins
+LIMIT = 0.05  # margins and gains above this are never rejected
+SHARE = 1 / 3  # nor those above this share of the median of their class
+FRAME_BYTES = 9  # of a compressed frame without content
 LANGUAGES = 200  # more are an error: every text is compressed once per language
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -37,7 +45,17 @@ def distinct_words(text: str) -> bytes:
     return " ".join(dict.fromkeys(_WORDS.findall(text.lower()))).encode("utf-8", "surrogatepass")
 
 
-def train(df: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+class Dictionaries(dict):
+    """Dictionary content by language, and ``limits``: per size class the least margin and the least gain."""
+
+    limits: dict[int, tuple[float, float]]
+
+    def __init__(self, contents: dict[str, bytes], limits: dict[int, tuple[float, float]] | None = None):
+        super().__init__(contents)
+        self.limits = limits or {}
+
+
+def train(df: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> Dictionaries:
     """Dictionaries of the languages of ``df``, each of the ``rows`` distinct texts with the smallest hashes, or of all if there are fewer.
 
     The sample is bounded by languages x rows; its texts are used whole, and what reaches the driver is bounded by languages x
@@ -48,8 +66,8 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", rows: int =
     hashed = usable.withColumn("h", text_hash("text"))
     _, last = smallest_hashes(hashed, "lang", LANGUAGES, lambda distinct: {x: min(rows, n) for x, n in distinct.items()})
     if not last:
-        return {}
-    first = up_to_hash(hashed, "lang", last).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+        return Dictionaries({})
+    first = materialize(up_to_hash(hashed, "lang", last).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text"), "sample")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str]] = Counter()
@@ -68,7 +86,22 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", rows: int =
     common = counted.filter(F.octet_length("word") < size).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size // 2)
     used = F.sum(F.octet_length("word") + 1).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     found = common.withColumn("used", used).filter(F.col("used") <= size).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word")), asc=False)["word"].alias("words"))
-    return {r["lang"]: " ".join(r["words"]).encode("utf-8", "surrogatepass") for r in sorted(found.collect(), key=lambda r: r["lang"])}
+    contents = {r["lang"]: " ".join(r["words"]).encode("utf-8", "surrogatepass") for r in sorted(found.collect(), key=lambda r: r["lang"])}
+    return Dictionaries(contents, _limits(first, contents))
+
+
+def _limits(sample: DataFrame, contents: dict[str, bytes]) -> dict[int, tuple[float, float]]:
+    """The limits of each size class: a share of the median margin and gain of the texts that get their own language."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classifier = Classifier(Dictionaries(contents))
+        for batch in batches:
+            found = [(lang, classifier.measure(distinct_words(text))) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())]
+            rows = [(kind, margin, gain) for lang, (best, margin, gain, kind) in found if best == lang]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 3, (pa.int32(), pa.float64(), pa.float64()))], names=["kind", "margin", "gain"])
+
+    medians = sample.mapInArrow(measured, "kind int, margin double, gain double").groupBy("kind").agg(F.median("margin").alias("margin"), F.median("gain").alias("gain"))
+    return {r["kind"]: (min(LIMIT, SHARE * r["margin"]), min(LIMIT, SHARE * r["gain"])) for r in medians.collect()}
 
 
 def _counted(counts: Counter[tuple[str, str]]) -> pa.RecordBatch:
@@ -79,7 +112,9 @@ def _counted(counts: Counter[tuple[str, str]]) -> pa.RecordBatch:
 class Classifier:
     """Compressors of one worker process."""
 
-    def __init__(self, dictionaries: dict[str, bytes]):
+    def __init__(self, dictionaries: Dictionaries):
+        self.limits = dictionaries.limits
+        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.models = []
         for lang, content in dictionaries.items():
             data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -97,20 +132,25 @@ class Classifier:
             found = [(sum(len(model.compress(s + words)) - n for s, n in stretches), lang) for lang, model, stretches in self.models]
         return sorted(found)
 
+    def measure(self, words: bytes) -> tuple[str, float, float, int]:
+        """(language, margin to the second-best, gain over no dictionary, size class); a single language has all the margin."""
+        (best, lang), *others = self.sizes(words)
+        alone = len(self.plain.compress(words))
+        if len(words) < SHORT_BYTES:
+            alone = 2 * max(1, alone - FRAME_BYTES)
+        margin = (others[0][0] - best) / max(1, others[0][0]) if others else 1.0
+        return lang, margin, 1 - best / max(1, alone), sum(len(words) >= n for n in CLASSES)
+
     def predict(self, text: str) -> tuple[str, float, bool]:
         """(language, score between 0 and 1, rejected); the score falls to 0.5 as two languages come equal."""
-        words = distinct_words(text)
         if not self.models or not any(map(str.isalpha, text)):
             return "und", 0.0, True
-        (best, lang), *others = self.sizes(words)
-        if not others:
-            return lang, 1.0, False
-        second = others[0][0]
-        margin = (second - best) / max(1, second)
-        return lang, min(1.0, 0.5 + 2.5 * margin), margin < MARGIN
+        lang, margin, gain, kind = self.measure(distinct_words(text))
+        least_margin, least_gain = self.limits.get(kind, (LIMIT, LIMIT))
+        return lang, min(1.0, 0.5 + 2.5 * margin), margin < least_margin or gain < least_gain or not margin
 
 
-def predicted(column: str, dictionaries: dict[str, bytes]) -> Column:
+def predicted(column: str, dictionaries: Dictionaries) -> Column:
     """A struct lang_pred, score, rejected of a whole text; null and texts without letters are ``und`` and rejected."""
     holder: list[Classifier] = []
 
@@ -123,8 +163,12 @@ def predicted(column: str, dictionaries: dict[str, bytes]) -> Column:
     return of(F.coalesce(F.col(column), F.lit("")))
 
 
-def identify(df: DataFrame, dictionaries: dict[str, bytes], *, text: str = "text") -> DataFrame:
-    """``df`` with lang_pred, score and rejected, which replace columns of those names. An empty table gives an empty one."""
+def identify(df: DataFrame, dictionaries: Dictionaries, *, text: str = "text") -> DataFrame:
+    """``df`` with lang_pred, score and rejected, which replace columns of those names.
+
+    Null and texts without letters are ``und`` and rejected, and so is every text if nothing was learned. Repeated rows are
+    judged each; an empty table gives an empty one.
+    """
     own = unused(df, "__lang")
     found = df.withColumn(own, predicted(text, dictionaries)).drop("lang_pred", "score", "rejected")
     return found.select(*[F.col(f"`{c}`") for c in found.columns if c != own], f"{own}.*")
