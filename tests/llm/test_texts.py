@@ -125,6 +125,40 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in held)
 
 
+def test_what_was_not_learned_is_rejected(spark):
+    """French left out of training, letters without a language, and the languages that were learned."""
+    from tablescribe.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang").filter("text RLIKE '\\\\p{L}'")
+    dictionaries = language.train(docs.filter("lang <> 'fr' AND doc_id % 2 = 0"))
+    rng = np.random.default_rng(5)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), n)) for n in (80, 200, 1_000, 4_000) for _ in range(25)]
+    rows = docs.filter("doc_id % 2 = 1").unionByName(spark.createDataFrame([(-1 - i, t, "junk") for i, t in enumerate(junk)], docs.schema))
+    found = language.identify(rows, dictionaries).groupBy("lang").agg(F.avg(F.col("rejected").cast("int")).alias("share"), F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right")).collect()
+    share = {r.lang: r.share for r in found}
+    assert share["fr"] >= 0.9 and share["junk"] >= 0.95
+    assert all(share[x] < 0.02 for x in ("en", "de", "es"))
+
+
+def test_sizes_are_the_librarys(spark):
+    """The classifier against plain zstandard: each language's dictionary, one text at a time."""
+    import zstandard
+
+    contents = {"a": b" ".join(b"word%d" % i for i in range(900)), "b": b" ".join(b"mot%d" % i for i in range(900))}
+    classifier = language.Classifier(language.Dictionaries(contents))
+    words = language.distinct_words(" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)} mot" for i in range(300)))
+    assert len(words) > language.SHORT_BYTES
+    sizes = []
+    for lang, content in contents.items():
+        model = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+        sizes.append((len(model.compress(words)), lang))
+    assert classifier.sizes(words) == sorted(sizes)
+    lang, margin, gain, kind = classifier.measure(words)
+    plain = len(zstandard.ZstdCompressor(level=language.LEVEL, write_content_size=False).compress(words))
+    (best, _), (second, _) = sorted(sizes)
+    assert (lang, margin, gain, kind) == (min(sizes)[1], (second - best) / second, 1 - best / plain, 3)
+
+
 def test_language_of_odd_documents(spark):
     rows = [(i, t * 30, l, "s") for i, (t, l) in enumerate((("the river and the stone of water ", "en"), ("la rivière et la pierre de l'eau ", "fr"), (None, "xx"), ("no language ", None)) * 3) if t]
     dictionaries = language.train(documents(spark, rows))
