@@ -1,9 +1,9 @@
 """Toxicity scores of a factorisation machine over hashed terms.
 
-A text is the set of its words and word beginnings, hashed. Over all training rows the terms are counted by label, and those
-whose frequency differs between the labels are the machine's features; it then learns a weight for each and, by factors, for
-each pair of them, so that words count differently together than apart. The machine is fitted on a bounded sample; counts and
-scores cover everything.
+A text is the set of its words and word beginnings, hashed. Over all training rows the terms are counted by label. The
+machine's features are those whose frequency differs between the labels on their own, and those that differ only beside
+another term, as a group's name does beside an insult. It learns a weight for each and, by factors, for each pair of them, so
+that words count differently together than apart. The machine is fitted on a bounded sample; counts and scores cover everything.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ HASH_BITS = 40
 LEAST_ROWS = 3  # rows a feature must occur in
 LEAST_Z = 4.0  # how far, in standard errors, its frequencies must differ
 FEATURES = 50_000  # the strongest ones at most
+COMMON, STRONG = 400, 200  # commonest and strongest terms that are looked at in pairs
+PAIR_Z = 6.0  # how far the frequency of a term beside another one must differ between the labels
+PAIR_ROWS = 20  # sampled rows of either label that must hold the other one
 SAMPLE_ROWS = 20_000  # rows the machine is fitted on
 FACTORS = 4
 EPOCHS = 300
@@ -140,6 +143,28 @@ class Machine:
         return self
 
 
+def paired(n: int, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, looked_at: np.ndarray) -> np.ndarray:
+    """Those of the columns ``looked_at`` that belong to a pair: among the texts with one of them, the other's frequency differs between the labels."""
+    place = np.full(int(max(columns.max(initial=-1), looked_at.max(initial=-1))) + 1, -1)
+    place[looked_at] = np.arange(len(looked_at))
+    own = place[columns] >= 0
+    present = np.zeros((n, len(looked_at)), np.float32)
+    present[rows[own], place[columns[own]]] = 1
+    with_one, with_zero = present[labels == 1], present[labels == 0]
+    ones, zeros = with_one.sum(0)[:, None], with_zero.sum(0)[:, None]
+    p, q = (with_one.T @ with_one + 0.5) / (ones + 1), (with_zero.T @ with_zero + 0.5) / (zeros + 1)
+    enough = (ones >= PAIR_ROWS) & (zeros >= PAIR_ROWS)
+    z = np.abs(p - q) / np.sqrt(np.maximum(p * (1 - p), 1e-9) / np.maximum(ones, 1) + np.maximum(q * (1 - q), 1e-9) / np.maximum(zeros, 1))
+    z[~np.broadcast_to(enough, z.shape)] = 0
+    # A term that differs as much on its own needs no other one beside it.
+    all_ones, all_zeros = max(int((labels == 1).sum()), 1), max(int((labels == 0).sum()), 1)
+    a, b = (with_one.sum(0) + 0.5) / (all_ones + 1), (with_zero.sum(0) + 0.5) / (all_zeros + 1)
+    alone = np.abs(a - b) / np.sqrt(a * (1 - a) / all_ones + b * (1 - b) / all_zeros)
+    np.fill_diagonal(z, 0)
+    found = (z >= PAIR_Z) & (z > alone[None, :])
+    return looked_at[found.any(0) | found.any(1)]
+
+
 def fit(features: np.ndarray, n: int, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, *, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = RATE, penalty: float = PENALTY, seed: int = 7) -> Machine:
     """Full-batch Adam on the logistic loss with squared penalties. ``rows`` and ``columns`` are the features present."""
     rng = np.random.default_rng(seed)
@@ -183,17 +208,19 @@ def train(df: DataFrame, *, text: str = "text", label: str = "toxic", sample_row
         return fit(np.zeros(0, np.int64), ones + zeros, np.zeros(0, np.int64), np.zeros(0, np.int64), np.full(ones + zeros, float(ones > 0)))
     p, q = (F.col("ones") + 0.5) / (ones + 1.0), (F.col("zeros") + 0.5) / (zeros + 1.0)
     z = F.abs(p - q) / F.sqrt(p * (1 - p) / ones + q * (1 - q) / zeros)
-    strong = term_counts(rows, text="text", label="label").filter(F.col("ones") + F.col("zeros") >= LEAST_ROWS).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
-    chosen = np.array(sorted(r["term"] for r in strong.orderBy(F.desc("z"), "term").limit(features).collect()), np.int64)
+    counts = materialize(term_counts(rows, text="text", label="label").filter(F.col("ones") + F.col("zeros") >= LEAST_ROWS).withColumn("z", z), "terms")
+    strong = [r["term"] for r in counts.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(features).collect()]
+    common = [r["term"] for r in counts.orderBy(F.desc(F.col("ones") + F.col("zeros")), "term").limit(COMMON).collect()]
+    known = np.array(sorted({*strong, *common}), np.int64)
     distinct, last = smallest_hashes(rows, "label", 2, lambda n: _shares(n, sample_rows))
     sample = up_to_hash(rows, "label", last).groupBy("label", "h").agg(F.min("text").alias("text")).select("text", "label")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(chosen)
+        terms = Terms(known)
         for batch in byte_batches(batches, "text"):
             at, found = terms.batch(_filled(batch.column("text")))
             cuts = np.searchsorted(at, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.searchsorted(chosen, found), pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.searchsorted(known, found), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("label"), lists], names=["label", "terms"])
 
     found = sample.mapInArrow(present, "label int, terms array<int>").toArrow().combine_chunks()
@@ -202,6 +229,12 @@ def train(df: DataFrame, *, text: str = "text", label: str = "toxic", sample_row
     lists = found.column("terms").combine_chunks()
     at = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
     columns = lists.flatten().to_numpy()
+    looked_at = np.searchsorted(known, np.array(sorted({*strong[:STRONG], *common}), np.int64))
+    beside = paired(n, at, columns, labels, looked_at)
+    used = np.isin(known, np.array(strong, np.int64))
+    used[beside] = True
+    chosen = known[used]
+    at, columns = at[used[columns]], (np.cumsum(used) - 1)[columns[used[columns]]]
     machine = fit(chosen, n, at, columns, labels)
     drawn = _shares(distinct, sample_rows)
     machine.bias += float(np.log(distinct[1] / distinct[0]) - np.log(drawn[1] / drawn[0]))
