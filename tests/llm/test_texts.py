@@ -225,6 +225,40 @@ def test_pairs_of_words_are_learned(spark):
     assert np.array_equal(again.features, machine.features)
 
 
+def test_pairs_that_show_only_together(spark):
+    """The label is whether two words stand together or both are absent; neither differs between the labels on its own."""
+    rng = np.random.default_rng(9)
+    filler = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(4_000):
+        a, b = i % 2, i // 2 % 2
+        words = [*rng.choice(filler, 20), *["alpha"] * a, *["beta"] * b]
+        rng.shuffle(words)
+        rows.append((" ".join(words), int(a == b)))
+    machine = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"))
+    tried = [(1, "w1 w2 alpha beta", "", ""), (2, "alpha w3", "", ""), (3, "w4 beta", "", ""), (4, "w5 w6", "", "")]
+    found = {r.doc_id: r.predicted for r in toxicity.score(documents(spark, tried), machine).collect()}
+    assert found == {1: 1, 2: 0, 3: 0, 4: 1}
+
+
+def test_sums_are_those_of_all_pairs():
+    rng = np.random.default_rng(2)
+    machine = toxicity.Machine(np.arange(12), 0.3, rng.normal(size=12), rng.normal(size=(12, 4)))
+    texts = [sorted(rng.choice(12, rng.integers(0, 8), replace=False).tolist()) for _ in range(30)]
+    rows = np.array([i for i, t in enumerate(texts) for _ in t], np.int64)
+    columns = np.array([c for t in texts for c in t], np.int64)
+    want = [0.3 + sum(machine.weights[c] for c in t) + sum(machine.factors[x] @ machine.factors[y] for i, x in enumerate(t) for y in t[i + 1 :]) for t in texts]
+    assert np.allclose(machine.sums(30, rows, columns), want)
+
+
+def test_repeated_rows_and_null_labels(spark):
+    rows = labelled(spark)
+    more = rows.unionByName(rows).unionByName(rows.withColumn("toxic", F.lit(None).cast("int"))).unionByName(rows.withColumn("toxic", F.lit(7)))
+    machine = toxicity.train(more)
+    tried = [(1, "insult group", "", ""), (1, "insult group", "", ""), (2, "insult", "", "")]
+    assert sorted(r.predicted for r in toxicity.score(documents(spark, tried), machine).collect()) == [0, 1, 1]
+
+
 def test_the_sample_has_both_labels_whatever_the_copies(spark, monkeypatch):
     # 40,000 rows of 420 clean and 20 toxic texts; the sample has room for 60.
     clean = spark.range(39_900).selectExpr("concat('calm ', translate(CAST(id % 420 AS string), '0123456789', 'abcdefghij')) AS text", "0 AS toxic")
