@@ -26,7 +26,7 @@ from .common import byte_batches, text_of
 
 GAP = 64 << 10  # ranges closer than this are fetched together
 FETCH = 8 << 20  # at most so many bytes at once, longer records apart
-READ_BYTES = 4 << 20  # of archives that a reading task gets
+READ_BYTES = 16 << 20  # of archives that a reading task gets
 _DATE = "1970-01-01T00:00:00Z"  # the tables have no time of capture
 
 
