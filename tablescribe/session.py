@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _run_dirs: set[str] = set()
+_scratch: list[list[str]] = []
 
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -31,10 +35,15 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates: ``spark.checkpoint.dir``, or where that is not set a folder of the warehouse.
 
-    Both are reached by the driver and all executors alike.
+    On a cluster a warehouse on the machine's own disk is no shared folder, so there the setting is needed.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and re.match(r"file:|/", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_work"
 
 
 def run_dir(spark: SparkSession) -> str:
@@ -63,7 +72,23 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh, unused path in the shared folder."""
-    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written by :func:`materialize` in this block is deleted at its end; nothing may read it later."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.remove(paths)
+        for path in paths:
+            delete(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
