@@ -268,7 +268,10 @@ def scored(column: str, machine: Machine) -> Column:
 
 
 def score(df: DataFrame, machine: Machine, *, text: str = "text") -> DataFrame:
-    """``df`` with score (0 to 1) and predicted (1 from 0.5 on), which replace columns of those names; empty texts get the bias's score."""
+    """``df`` with score (0 to 1) and predicted (1 from 0.5 on), which replace columns of those names.
+
+    Null and empty texts get the bias's score; repeated rows are scored each; an empty table gives an empty one.
+    """
     own = unused(df, "__score")
     found = df.withColumn(own, scored(text, machine)).drop("score", "predicted")
     return found.withColumnRenamed(own, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
