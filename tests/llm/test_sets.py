@@ -315,6 +315,27 @@ def plain_pipeline(spark, sf, kept_languages):
     return {r[0] for r, c in zip(rows, plain_contamination(rows, items)) if not c[5]}
 
 
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [r for r in DOCS if r[0] != 8]
+    docs, none = documents(spark, rows), documents(spark, [])
+    for name, stage in stages.items():
+        assert stage(spark, none, SF).count() == 0
+        if name != "pack":
+            assert stage(spark, docs, SF).columns == docs.columns
+    ids = lambda name: sorted((r.doc_id for r in stages[name](spark, docs, SF).select("doc_id").collect()), key=repr)
+    assert not set(ids("language_id")) & {3, 4, 5, 11}  # no letters
+    # 1 and 2 differ in white space only, null ids come last, null and empty texts and white space are equal but for the space.
+    assert ids("exact_dedup") == sorted((x[0] for x in plain_exact(rows) if x[3]), key=repr)
+    assert ids("near_dedup") and 2 not in ids("near_dedup")
+    assert ids("decontaminate") == sorted((r[0] for r in rows), key=repr)
+    packed = stages["pack"](spark, docs, SF)
+    assert packed.filter("piece = 0").count() == len(rows) and packed.filter("length > 1024").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
