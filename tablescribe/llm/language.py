@@ -145,8 +145,11 @@ class Classifier:
         """(language, score between 0 and 1, rejected); the score falls to 0.5 as two languages come equal."""
         if not self.models or not any(map(str.isalpha, text)):
             return "und", 0.0, True
-        lang, margin, gain, kind = self.measure(distinct_words(text))
-        least_margin, least_gain = self.limits.get(kind, (LIMIT, LIMIT))
+        words = distinct_words(text)
+        lang, margin, gain, kind = self.measure(words)
+        # A dictionary of one size helps a longer text by a smaller share.
+        shrink = min(1.0, (CLASSES[-1] / max(1, len(words))) ** 0.5)
+        least_margin, least_gain = (shrink * x for x in self.limits.get(kind, (LIMIT, LIMIT)))
         return lang, min(1.0, 0.5 + 2.5 * margin), margin < least_margin or gain < least_gain or not margin
 
 
