@@ -29,6 +29,7 @@ FEATURES = 50_000  # the strongest ones at most
 COMMON, STRONG = 400, 200  # commonest and strongest terms that are looked at in pairs
 PAIR_Z = 6.0  # how far the frequency of a term beside another one must differ between the labels
 PAIR_ROWS = 20  # sampled rows of either label that must hold the other one
+PAIRED = 40  # terms that become features for their pairs, the strongest ones at most: they are common, and each costs time in the driver
 SAMPLE_ROWS = 20_000  # rows the machine is fitted on
 FACTORS = 4
 EPOCHS = 300
@@ -161,8 +162,10 @@ def paired(n: int, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, lo
     a, b = (with_one.sum(0) + 0.5) / (all_ones + 1), (with_zero.sum(0) + 0.5) / (all_zeros + 1)
     alone = np.abs(a - b) / np.sqrt(a * (1 - a) / all_ones + b * (1 - b) / all_zeros)
     np.fill_diagonal(z, 0)
-    found = (z >= PAIR_Z) & (z > alone[None, :])
-    return looked_at[found.any(0) | found.any(1)]
+    z[(z < PAIR_Z) | (z <= 2 * alone[None, :])] = 0
+    strength = np.maximum(z.max(0, initial=0), z.max(1, initial=0))
+    best = np.argsort(-strength, kind="stable")[:PAIRED]
+    return looked_at[best[strength[best] > 0]]
 
 
 def fit(features: np.ndarray, n: int, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, *, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = RATE, penalty: float = PENALTY, seed: int = 7) -> Machine:
