@@ -9,9 +9,12 @@ A sampler is any function ``(DataFrame, n) -> DataFrame``; combine several with
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,6 +36,10 @@ RANKED = 100_000
 DRAWN, BORDERS = 4_000, 24
 # Rounds without progress after which a range of equal keys is ranked as it is.
 PATIENCE = 4
+# Keywords that are looked for one by one; the first bytes by which more of them are found; bytes of text looked at together.
+FEW_KEYWORDS = 24
+FIRST_BYTES = 4
+CHUNK_BYTES = 4 << 20
 
 
 def _literal(schema: StructType, values) -> Column:
@@ -96,11 +103,80 @@ def normalize_keywords(keywords: Iterable[str]) -> list[str]:
     return [k.strip().lower() for k in keywords if k.strip()]
 
 
+def _occurring(wanted: list[str]):
+    """Per text: how many of ``wanted`` occur in it, however many they are, in one pass over the bytes of each batch.
+
+    A keyword is looked up by its first bytes: the places where those of any keyword stand are found at once, and only there
+    are the rest of the keywords compared.
+    """
+    repeats = Counter(k.encode() for k in wanted)
+    sizes = sorted({min(len(k), FIRST_BYTES) for k in repeats})
+    # Per number of first bytes: these, sorted, with the keywords that are no longer, and the longer ones by length.
+    begins = {g: sorted({int.from_bytes(k[:g], "little") for k in repeats if min(len(k), FIRST_BYTES) == g}) for g in sizes}
+    whole = {g: np.array([repeats.get(c.to_bytes(g, "little"), 0) for c in begins[g]]) for g in sizes}
+    longer: dict[int, dict[int, set[bytes]]] = {}
+    for k in repeats:
+        if len(k) > FIRST_BYTES:
+            longer.setdefault(int.from_bytes(k[:FIRST_BYTES], "little"), {}).setdefault(len(k), set()).add(k)
+    tables = {}
+    for g in sizes:
+        begins[g] = np.array(begins[g], np.uint32)
+        tables[g] = np.zeros(1 << 16, bool)
+        tables[g][(begins[g] * np.uint32(2654435761)) >> np.uint32(16)] = True
+
+    def count(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The counts for texts that lie one behind the other in ``data``, each up to its end."""
+        score = np.zeros(len(ends), np.int64)
+        raw = data.tobytes()
+        for g in sizes:
+            if len(data) < g:
+                continue
+            code = np.zeros(len(data) - g + 1, np.uint32)
+            for i in range(g):
+                code |= data[i : len(data) - g + 1 + i].astype(np.uint32) << np.uint32(8 * i)
+            at = np.flatnonzero(tables[g][(code * np.uint32(2654435761)) >> np.uint32(16)])
+            which = np.minimum(np.searchsorted(begins[g], code[at]), len(begins[g]) - 1)
+            row = np.searchsorted(ends, at, "right")
+            real = (begins[g][which] == code[at]) & (at + g <= ends[row])
+            at, which, row = at[real], which[real], row[real]
+            pairs = np.unique(row * len(begins[g]) + which)
+            np.add.at(score, pairs // len(begins[g]), whole[g][pairs % len(begins[g])])
+            if g == FIRST_BYTES and longer:
+                rest = np.isin(begins[g][which], np.array(list(longer), np.uint32))
+                found = set()
+                for i, r, c in zip(at[rest].tolist(), row[rest].tolist(), begins[g][which[rest]].tolist()):
+                    for n, some in longer[c].items():
+                        word = raw[i : i + n]
+                        if word in some and i + n <= ends[r]:
+                            found.add((r, word))
+                for r, word in found:
+                    score[r] += repeats[word]
+        return score
+
+    def run(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        score, first = np.zeros(len(texts), np.int64), 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1)
+            score[first:last] = count(data[offsets[first] : offsets[last]], offsets[first + 1 : last + 1] - offsets[first])
+            first = last
+        return pa.array(score, pa.int32())
+
+    return run
+
+
 def keyword_score(text: Column, keywords: Iterable[str]) -> Column:
-    """How many of the keywords occur in the text, ignoring case; 0 for a missing text. The list may be long."""
+    """How many of the keywords occur in the text, ignoring case; 0 for a missing text. The list may be long.
+
+    Up to ``FEW_KEYWORDS`` are looked for one by one; more of them cost one pass over the text together.
+    """
     wanted = normalize_keywords(keywords)
     if not wanted:
         return F.lit(0)
+    if len(wanted) > FEW_KEYWORDS:
+        return F.arrow_udf(_occurring(wanted), "int")(F.lower(text))
     found = F.transform(F.array(F.lower(text)), lambda t: F.size(F.filter(F.lit(wanted), lambda k: F.contains(t, k))))
     return F.when(text.isNotNull(), found[0]).otherwise(0)
 

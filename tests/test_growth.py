@@ -23,3 +23,22 @@ def test_records_of_damaged_files_widen_no_reader(spark, tmp_path, monkeypatch):
     heads = {r.dataset_id: len(r.header) for r in staged.where(F.col("row_idx") == -1).collect()}
     assert heads == {"garbage": 3, "wide": 100}
     assert staged.where("n_fields > size(header)").select("dataset_id").distinct().collect()[0].dataset_id == "garbage"
+
+
+def test_many_keywords_are_found_in_one_pass(spark, monkeypatch):
+    import random
+
+    from tablescribe.operators import triage as T
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abé ") for _ in range(rng.randint(1, 7))) for _ in range(60)] + ["the", "The", "x", "ab", "abab", "ababab", "naïve", "日本", "no such"]
+    texts = ["".join(rng.choice("abéx 日本") for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "the", "NAÏVE", "日", "ab" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    wanted = T.normalize_keywords(words)
+    assert len(wanted) > T.FEW_KEYWORDS
+    monkeypatch.setattr(T, "CHUNK_BYTES", 200)
+    score = T.keyword_score(F.col("text"), words)
+    got = {r.id: r.score for r in df.select("id", score.alias("score")).collect()}
+    assert got == {i: sum(k in (t or "").lower() for k in wanted) for i, t in enumerate(texts)}
+    # One look at a text, not one for each keyword.
+    assert "filter(" not in str(score)
