@@ -33,6 +33,8 @@ BROADCAST_TERMS = 200_000
 RARE_DOCUMENTS, SEEDS = 50, 4
 # Scores are compared with this much room, so that rounding never drops a document.
 ROOM = 1e-6
+# Documents whose words are counted together.
+BATCH_DOCUMENTS = 1_000
 
 
 def method_texts(records: DataFrame, methods: dict[str, str], key: str = "dataset_id", order: str = "ord") -> DataFrame:
@@ -64,9 +66,44 @@ def document_terms(texts: DataFrame) -> DataFrame:
     return words.groupBy("method", "dataset_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per some documents and their words: in how many each word occurs, and how often."""
+    for batch in (b.slice(at, BATCH_DOCUMENTS) for b in batches for at in range(0, b.num_rows, BATCH_DOCUMENTS)):
+        lists, methods = batch.column("tokens"), batch.column("method").dictionary_encode("encode")
+        rows = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        words = lists.flatten().dictionary_encode()
+        n = max(len(words.dictionary), 1)
+        pairs, counts = np.unique(rows.astype(np.int64) * n + words.indices.to_numpy(), return_counts=True)
+        row, term = np.divmod(pairs, n)
+        found, place = np.unique(methods.indices.to_numpy()[row].astype(np.int64) * n + term, return_inverse=True)
+        df, cf = np.bincount(place, minlength=len(found)), np.bincount(place, counts, len(found))
+        columns = [methods.dictionary.take(pa.array(found // n)), words.dictionary.take(pa.array(found % n)), pa.array(df, pa.int64()), pa.array(cf.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["method", "term", "df", "cf"])
+
+
+def combined_terms(texts: DataFrame) -> DataFrame:
+    """``method, term, df, cf`` of some documents each, for documents that have one row: to be added up."""
+    return texts.select("method", tokenize(F.col("text")).alias("tokens")).mapInArrow(_combined, "method string, term string, df bigint, cf bigint")
+
+
 def document_frequencies(texts: DataFrame) -> DataFrame:
-    """In how many documents of a method each word occurs."""
-    return document_terms(texts).groupBy("method", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """In how many documents of a method each word occurs, and how often in all.
+
+    The words of some documents are counted and combined in the task that reads them; only documents of several rows are
+    counted by a shuffle of theirs.
+    """
+    key = F.struct("method", "dataset_id")
+    several = materialize(texts.groupBy("method", "dataset_id").count().where("count > 1").select("method", "dataset_id"), "several-rows")
+    single, more = texts, None
+    if not several.isEmpty():
+        found = several.select(key.alias("key"))
+        keyed = texts.withColumn("key", key)
+        single = keyed.join(found, keyed["key"].eqNullSafe(found["key"]), "left_anti").drop("key")
+        more = keyed.join(found, keyed["key"].eqNullSafe(found["key"]), "left_semi").drop("key")
+    terms = combined_terms(single)
+    if more is not None:
+        terms = terms.unionByName(document_terms(more).select("method", "term", F.lit(1).cast("bigint").alias("df"), F.col("tf").alias("cf")))
+    return terms.groupBy("method", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def _counted(terms: list[str]):

@@ -42,3 +42,15 @@ def test_many_keywords_are_found_in_one_pass(spark, monkeypatch):
     assert got == {i: sum(k in (t or "").lower() for k in wanted) for i, t in enumerate(texts)}
     # One look at a text, not one for each keyword.
     assert "filter(" not in str(score)
+
+
+def test_document_frequencies_shuffle_a_word_once_a_task(spark):
+    from tablescribe.operators import ranking as R
+
+    rows = [("m", "a", "x y x"), ("m", "a", "x z"), ("m", "b", "x  y"), ("n", "a", "y"), ("m", None, "x x"), ("m", None, "y"), ("n", "c", None), ("n", "d", "")]
+    texts = spark.createDataFrame(rows, "method string, dataset_id string, text string")
+    got = {(r.method, r.term): (r.df, r.cf) for r in R.document_frequencies(texts).collect()}
+    assert got == {("m", "x"): (3, 6), ("m", "y"): (3, 3), ("m", "z"): (1, 1), ("n", "y"): (1, 1)}
+    many = spark.range(3_000).selectExpr("'m' AS method", "CAST(id AS string) AS dataset_id", "'one two three three' AS text").repartition(4)
+    assert R.combined_terms(many).count() == 4 * 3
+    assert {(r.term, r.df, r.cf) for r in R.document_frequencies(many).collect()} == {("one", 3_000, 3_000), ("two", 3_000, 3_000), ("three", 3_000, 6_000)}
