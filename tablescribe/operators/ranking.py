@@ -247,8 +247,12 @@ def dcg(rel: Column, rank: Column) -> Column:
 def ideal_dcg(relevance: DataFrame, corpus: DataFrame, ks: list[int]) -> DataFrame:
     """``query_id, k, ideal``: the best possible DCG from the judgements of documents in the corpus."""
     judged = relevance.join(corpus.select("dataset_id"), "dataset_id", "left_semi")
-    by_rel = Window.partitionBy("query_id").orderBy(F.desc("rel"), "dataset_id")
-    top = judged.withColumn("rank", F.row_number().over(by_rel)).where(F.col("rank") <= max(ks))
+    # Which document has a relevance makes no difference, so there is one row for each different one of a query.
+    alike = judged.groupBy("query_id", "rel").agg(F.count(F.lit(1)).alias("n"))
+    better = Window.partitionBy("query_id").orderBy(F.desc("rel")).rowsBetween(Window.unboundedPreceding, -1)
+    alike = alike.withColumn("before", F.coalesce(F.sum("n").over(better), F.lit(0))).where(F.col("before") < max(ks))
+    ranks = F.explode(F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(max(ks)))))
+    top = alike.select("query_id", "rel", ranks.alias("rank"))
     cut = F.explode(F.array(*[F.lit(k) for k in ks]))
     return (
         top.withColumn("k", cut).where(F.col("rank") <= F.col("k"))

@@ -54,3 +54,21 @@ def test_document_frequencies_shuffle_a_word_once_a_task(spark):
     many = spark.range(3_000).selectExpr("'m' AS method", "CAST(id AS string) AS dataset_id", "'one two three three' AS text").repartition(4)
     assert R.combined_terms(many).count() == 4 * 3
     assert {(r.term, r.df, r.cf) for r in R.document_frequencies(many).collect()} == {("one", 3_000, 3_000), ("two", 3_000, 3_000), ("three", 3_000, 6_000)}
+
+
+def test_ideal_dcg_ranks_counts(spark):
+    import math
+
+    from tablescribe.operators import ranking as R
+
+    rels = [2, 2, 0, None, 1, 1, 1, 0, -1, 2]
+    judged = spark.createDataFrame([("q", f"d{i}", r) for i, r in enumerate(rels)] + [("q", "gone", 2), ("none", "d0", None), ("twice", "d0", 1), ("twice", "d0", 1)], "query_id string, dataset_id string, rel int")
+    docs = spark.createDataFrame([(f"d{i}",) for i in range(10)], "dataset_id string")
+    got = {(r.query_id, r.k): r.ideal for r in R.ideal_dcg(judged, docs, [4, 20]).collect()}
+    order = sorted((r for r in rels if r is not None), reverse=True)
+    want = {k: sum(r / math.log2(i + 2) for i, r in enumerate(order[:k])) for k in (4, 20)}
+    assert all(abs(got["q", k] - want[k]) < 1e-12 for k in want) and got["none", 4] is None
+    assert abs(got["twice", 4] - (1 + 1 / math.log2(3))) < 1e-12
+    # A row for each different relevance is ranked, not one for each judgement.
+    plan = R.ideal_dcg(judged, docs, [4])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate [query_id", plan.index("Window"))
