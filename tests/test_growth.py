@@ -72,3 +72,34 @@ def test_ideal_dcg_ranks_counts(spark):
     # A row for each different relevance is ranked, not one for each judgement.
     plan = R.ideal_dcg(judged, docs, [4])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Aggregate [query_id", plan.index("Window"))
+
+
+def test_few_calls_at_once_are_asked_in_rounds(spark, tmp_path, monkeypatch):
+    from tablescribe.operators import generate as G
+
+    monkeypatch.setattr(G, "TASK_BYTES", 1_000)
+    log = tmp_path / "calls"
+
+    def make():
+        def backend(batch, temperature):
+            with open(log, "a") as f:
+                f.write("call\n")
+            if batch[0].endswith(" 399"):
+                raise RuntimeError("HTTP 429")
+            return [batch[0][-3:]]
+
+        return backend
+
+    df = spark.range(100).selectExpr("id", "IF(id = 7, NULL, repeat('x', 96) || ' ' || (100 + id)) AS prompt")
+    out = G.generate(df.where("id != 7"), make, ["id"], concurrency=2)
+    got = {r.id: (r.reply, r.status) for r in out.collect()}
+    assert got == {i: (str(100 + i), "ok") for i in range(100) if i != 7}
+    assert sorted(r.id for r in out.collect()) == [i for i in range(100) if i != 7] and len(log.read_text().splitlines()) == 99
+    # About 10,100 bytes: six rounds of two tasks, each given less than 1,000.
+    keep = str(tmp_path / "keep")
+    G.generate(df, make, ["id"], concurrency=2, keep=keep)
+    assert len(list((tmp_path / "keep").iterdir())) == 12
+    # The end of the quota in one round ends the later ones too.
+    quota = df.selectExpr("id", "repeat('x', 96) || ' 399' AS prompt")
+    states = [r.status for r in G.generate(quota, make, ["id"], concurrency=2).collect()]
+    assert states.count("error") in (1, 2) and states.count("skipped_quota") == 100 - states.count("error")
