@@ -103,3 +103,24 @@ def test_few_calls_at_once_are_asked_in_rounds(spark, tmp_path, monkeypatch):
     quota = df.selectExpr("id", "repeat('x', 96) || ' 399' AS prompt")
     states = [r.status for r in G.generate(quota, make, ["id"], concurrency=2).collect()]
     assert states.count("error") in (1, 2) and states.count("skipped_quota") == 100 - states.count("error")
+
+
+def test_csv_files_hold_the_tables_values(spark, tmp_path):
+    import datetime
+
+    from queryset import tables
+
+    day = datetime.datetime(2024, 1, 2)
+    texts = ['a "b", c', "x\ny", " out er ", "", None, "#no comment", "é\\", '"']
+    spark.createDataFrame([(i, 7, 1.5, day, "5-LOW", "O") for i in range(250)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string, o_orderstatus string").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(None, "lost", 3), (5, "kept", 7)], "c_custkey long, c_name string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(i, "en", "s", t, 1) for i, t in enumerate(texts)], "doc_id long, lang string, source string, text string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = tables.csv_collection(spark, str(tmp_path))
+    # Written by the tasks, one file a dataset.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part.csv").load(folder).select("path").collect()
+    assert sorted(r.path.split("dataset_id=")[1].split("/")[0] for r in files) == sorted(["orders-0", "orders-1", "orders-2", "customer-0", "documents-0", tables.NO_ID])
+    rows = tables.staged(spark, str(tmp_path)).where("row_idx >= 0")
+    got = {r.row_idx: r.fields[3] for r in rows.where("dataset_id = 'documents-0'").collect()}
+    assert {i: v or None for i, v in got.items()} == {i: t or None for i, t in enumerate(texts)}
+    assert rows.where("dataset_id LIKE 'orders%' AND n_fields = 6").count() == 250
+    assert rows.where(F.col("dataset_id") == tables.NO_ID).collect()[0].fields[:2] == [None, "lost"]
