@@ -105,6 +105,24 @@ def test_few_calls_at_once_are_asked_in_rounds(spark, tmp_path, monkeypatch):
     assert states.count("error") in (1, 2) and states.count("skipped_quota") == 100 - states.count("error")
 
 
+def test_replies_are_read_once_a_run(spark, tmp_path, monkeypatch):
+    from test_generate import TEMPLATES, backend_factory, calls, make_files, make_registry
+
+    from tablescribe.plans import describe
+
+    root = make_files(tmp_path / "csv", **{f"t{i}": f"x,y\n{i},u\n" for i in range(6)})
+    reads, inner, log = [], describe.stored_replies, tmp_path / "calls"
+    monkeypatch.setattr(describe, "stored_replies", lambda *a: (reads.append(a), inner(*a))[1])
+    reg, out = make_registry(spark, *[f"t{i}" for i in range(6)]), str(tmp_path / "out")
+    fail = backend_factory(lambda p: "down" if p.startswith("sfd_nyc") else None, str(log))
+    first = describe.describe_collection(spark, reg, [root], out, fail, TEMPLATES, batch_datasets=2)
+    assert {r.status for r in first.collect()} == {"error"} and calls(log) == 18
+    second = describe.describe_collection(spark, reg, [root], out, backend_factory(log=str(log)), TEMPLATES, batch_datasets=2)
+    assert {r.dataset_id: r.status for r in second.collect()} == {f"t{i}": "ok" for i in range(6)}
+    # Only what failed is asked again, and the replies are looked up once in each run.
+    assert calls(log) == 24 and len(reads) == 2
+
+
 def test_csv_files_hold_the_tables_values(spark, tmp_path):
     import datetime
 
