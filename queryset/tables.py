@@ -58,7 +58,9 @@ def _write_files(uri: str, header: list[str]):
         # Quoted as Spark's writer does it: an empty text, or one with a separator, a quote, a comment sign first, or outer blanks.
         if v is None:
             return ""
-        if v == "" or any(c in v for c in ',"\n\r') or v[0] <= " " or v[0] == "#" or v[-1] <= " ":
+        if v.isalnum():
+            return v
+        if v == "" or "," in v or '"' in v or "\n" in v or "\r" in v or v[0] <= " " or v[0] == "#" or v[-1] <= " ":
             return '"' + v.replace('"', '""') + '"'
         return v
 

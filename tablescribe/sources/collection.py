@@ -10,6 +10,7 @@ import bz2
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -33,32 +34,57 @@ DAMAGED = "the compressed file is damaged"
 CHECKED_BYTES = 256 << 20
 # Files that are named one by one to a reader; more of them are found by reading all.
 LISTED_FILES = 10_000
+# Folders are listed by so many tasks a core; Spark's own number, a task for each of up to 10,000, costs more than the listing.
+LISTING_TASKS = 8
+_LISTING_CONF = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+# The reader's buffer; its own default of 2 MB is filled anew for every file.
+BUFFER_CHARS = 65_536
+# Fields behind those that are read, which also tell that a record has more. With the default width they make more columns than
+# Spark compiles into one method, which would be too long for the JVM's compiler.
+GUARDS = 40
 _ROWS = "path string, block long, at long, full boolean, fields array<string>"
 _LISTING = "dataset_id string, root_priority int, path string"
 
 
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Readers that are made in this block list their folders by a number of tasks that follows the cores."""
+    before = spark.conf.get(_LISTING_CONF)
+    spark.conf.set(_LISTING_CONF, min(int(before), LISTING_TASKS * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LISTING_CONF, before)
+
+
 def _read_rows(spark: SparkSession, paths: list[str], width: int, multi_line: bool, recursive: bool) -> DataFrame:
-    """All records as arrays of ``width`` texts with their place in the file; ``full`` marks those that fill it.
+    """All records as arrays of up to ``width`` texts, ends without a value cut off, with their place in the file.
 
-    A file that cannot be read ends where the damage is.
+    ``full`` marks records that fill the ``width``, or have values in one of the next fields. A file that cannot be read ends where the damage is.
     """
-    names = [f"_c{i}" for i in range(width)]
-    rows = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
-        .option("header", False)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("recursiveFileLookup", recursive)
-        .option("ignoreCorruptFiles", True)
-        .option("maxColumns", max(20_480, width + 1))
-        .csv(paths)
-    )
+    names = [f"_c{i}" for i in range(width + GUARDS)]
+    # The reader looks for each missing field of a record in a list of all, unless it is to skip columns: so there is one that is not read.
+    with _few_listing_tasks(spark):
+        rows = (
+            spark.read.schema(", ".join(f"{n} string" for n in [*names, "_rest"]))
+            .option("header", False)
+            .option("multiLine", multi_line)
+            .option("escape", '"')
+            .option("recursiveFileLookup", recursive)
+            .option("ignoreCorruptFiles", True)
+            .option("maxColumns", max(20_480, width + GUARDS + 1))
+            .option("columnPruning", True)
+            .option("inputBufferSize", BUFFER_CHARS)
+            .csv(paths)
+        )
+    fields = F.array(*names[:width])
+    last = F.array_max(F.transform(fields, lambda x, i: F.when(x.isNotNull(), i + 1)))
     return rows.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
-        F.col(names[-1]).isNotNull().alias("full"),
-        F.array(*names).alias("fields"),
+        F.exists(F.array(*names[width - 1 :]), lambda x: x.isNotNull()).alias("full"),
+        F.slice(fields, 1, F.coalesce(last, F.lit(0))).alias("fields"),
     )
 
 
@@ -108,7 +134,8 @@ def damaged_files(spark: SparkSession, paths: str | list[str], recursive: bool =
     read that fails where the file does.
     """
     paths = [paths] if isinstance(paths, str) else paths
-    files = spark.read.format("binaryFile").options(pathGlobFilter=f"*{{{','.join(_CHECKS)}}}", recursiveFileLookup=recursive).load(paths)
+    with _few_listing_tasks(spark):
+        files = spark.read.format("binaryFile").options(pathGlobFilter=f"*{{{','.join(_CHECKS)}}}", recursiveFileLookup=recursive).load(paths)
     large = [r["path"] for r in files.where(F.col("length") > checked_bytes).select("path").collect()]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +212,8 @@ def stage_collection(
     overflow = F.slice("fields", n_header + 1, F.greatest(F.size("fields") - n_header, F.lit(0)))
     last = F.array_max(F.transform(overflow, lambda x, i: F.when(x.isNotNull(), n_header + i + 1)))
     row_idx = F.col("skip") + F.col("at") - F.col("start") - 1
+    missing = F.array_repeat(F.lit(None).cast("string"), F.greatest(n_header - F.size("fields"), F.lit(0)))
+    cells = F.concat(F.slice("fields", 1, n_header), missing)
     # Of some damaged files no row is left.
     files = blocks.select("path").distinct().join(damaged, "path", "full").withColumn("id", F.regexp_extract("path", dataset_pattern, 1))
     files = files.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id")) > 1)
@@ -198,7 +227,7 @@ def stage_collection(
         "path",
         row_idx.alias("row_idx"),
         "header",
-        F.when(row_idx < 0, F.col("header")).otherwise(F.slice("fields", 1, n_header)).alias("fields"),
+        F.when(row_idx < 0, F.col("header")).otherwise(cells).alias("fields"),
         F.coalesce(last, n_header).alias("n_fields"),
         "problem",
     )
@@ -272,7 +301,8 @@ def list_csv_files(spark: SparkSession, roots: list[str], dataset_pattern: str =
     listing = spark.createDataFrame([], _LISTING)
     for priority, root in enumerate(roots):
         try:
-            files = spark.read.format("binaryFile").options(pathGlobFilter="*.csv", recursiveFileLookup=recursive).load(root)
+            with _few_listing_tasks(spark):
+                files = spark.read.format("binaryFile").options(pathGlobFilter="*.csv", recursiveFileLookup=recursive).load(root)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -142,3 +142,30 @@ def test_csv_files_hold_the_tables_values(spark, tmp_path):
     assert {i: v or None for i, v in got.items()} == {i: t or None for i, t in enumerate(texts)}
     assert rows.where("dataset_id LIKE 'orders%' AND n_fields = 6").count() == 250
     assert rows.where(F.col("dataset_id") == tables.NO_ID).collect()[0].fields[:2] == [None, "lost"]
+
+
+def test_many_small_files_cost_little_each(spark, tmp_path):
+    from tablescribe.operators import profile as P
+    from tablescribe.sources import collection
+
+    for i in range(40):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / f"t{i}.csv").write_text(f"a,b,,c\n{i},,,\n\"x\ny\",\"\"\"q\"\"\"\n1,2,3,4\n")
+    # Only the 65th field of a record has no value: it is wider than its table all the same, whatever is quoted behind.
+    ragged = ["1"] + [""] * 69 + ['"l\n""m"""']
+    (tmp_path / "d0" / "ragged.csv").write_text("a,b\n" + ",".join(ragged) + "\n3,4\n")
+    before = spark.conf.get(collection._LISTING_CONF)
+    seen, inner = [], collection._read_rows
+    with collection._few_listing_tasks(spark):
+        assert int(spark.conf.get(collection._LISTING_CONF)) == collection.LISTING_TASKS * spark.sparkContext.defaultParallelism < int(before)
+    assert spark.conf.get(collection._LISTING_CONF) == before
+    rows = collection._read_rows(spark, [str(tmp_path)], 65, True, True)
+    # What is read are fewer columns than the reader is told of, so that it fills in those that a record lacks.
+    assert "_rest" not in rows._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    assert {len(r.fields) for r in rows.where("path NOT LIKE '%ragged%'").collect()} == {1, 2, 4}
+    assert {r.fields[0] for r in rows.where("full").collect()} == {"1"}
+    staged = collection.stage_collection(spark, str(tmp_path))
+    got = [[*r.fields] for r in staged.where("dataset_id = 't7'").orderBy("row_idx").collect()]
+    assert got == [["a", "b", "Unnamed: 2", "c"], ["7", None, None, None], ["x\ny", '"q"', None, None], ["1", "2", "3", "4"]]
+    status = {r.dataset_id: (r.status, r.row_count, r.error) for r in P.minimal_profile(staged).collect()}
+    assert status["t7"] == ("ok", 3, None) and status["ragged"] == ("error", None, "expected 2 fields, saw 71") and len(status) == 41
