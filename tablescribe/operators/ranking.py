@@ -1,7 +1,7 @@
 """BM25 ranking of description texts and NDCG of the rankings, for all methods and queries in one plan.
 
 The corpus is tokenised once, and the query words of a document are counted in its own row, so what is shuffled and kept is
-one short row per document. For every query a first pass scores only by its rarest words; the best documents found so are
+one short row per document; its scores are summed up in the task that reads that row, for all queries at once. For every query a first pass scores only by its rarest words; the best documents found so are
 scored in full, and the k-th of these scores is what any other document must reach: pairs below it end in the task that made
 them, before anything is sorted or shuffled. Words that could not lift a document to it on their own pair no documents.
 Documents without any query word score 0 and can only follow the matching ones, in corpus order.
@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.text import tokenize
 from ..session import bucketed, materialize
@@ -35,6 +35,8 @@ RARE_DOCUMENTS, SEEDS = 50, 4
 ROOM = 1e-6
 # Documents whose words are counted together.
 BATCH_DOCUMENTS = 1_000
+# Sums of documents and queries, and the products added up to them, that a task holds at a time.
+TASK_CELLS = 2_000_000
 
 
 def method_texts(records: DataFrame, methods: dict[str, str], key: str = "dataset_id", order: str = "ord") -> DataFrame:
@@ -150,6 +152,56 @@ def word_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
     return bucketed(counted.repartition(buckets, "method", "dataset_id"), ["method", "dataset_id"], "counts")
 
 
+def _scored(asked: dict[str, tuple[np.ndarray, ...]], queries: list[str], averages: dict[str, float], k1: float, b: float):
+    """Per batch of documents and their query words: the pairs with a query that can reach what it asks for.
+
+    ``asked`` has for every method, by the numbers of the words: where the queries of a word begin, and for each of them its number,
+    the weight and whether the word is essential; and for each query the score to reach.
+    """
+
+    def pairs(batch: pa.RecordBatch, at: np.ndarray, words: tuple[np.ndarray, ...], average: float) -> tuple[np.ndarray, ...]:
+        begins, query, weight, essential, least = words
+        offsets = batch.column("terms").offsets.to_numpy()
+        sizes = offsets[at + 1] - offsets[at]
+        row = np.repeat(np.arange(len(at)), sizes)
+        place = np.repeat(offsets[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        term = batch.column("terms").values.to_numpy()[place]
+        tf = batch.column("counts").values.to_numpy()[place + (batch.column("counts").offsets[0].as_py() - offsets[0])].astype(np.float64)
+        dl = batch.column("dl").to_numpy()[at][row]
+        part = (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (dl / average)))
+        each = begins[term + 1] - begins[term]
+        upto = np.concatenate([[0], np.cumsum(np.bincount(row, each, len(at)).astype(np.int64) + len(queries))])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        found, first = [], 0
+        while first < len(at):
+            # As many documents as fit, one at least.
+            last = max(int(np.searchsorted(upto, upto[first] + TASK_CELLS, "right")) - 1, first + 1)
+            some = slice(ends[first], ends[last])
+            n = each[some]
+            entry = np.repeat(begins[term[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            key = np.repeat(row[some] - first, n) * len(queries) + query[entry]
+            score = np.bincount(key, weight[entry] * np.repeat(part[some], n), (last - first) * len(queries)).astype(np.float64)
+            told = np.zeros(len(score), bool)
+            told[key[essential[entry]]] = True
+            hit = np.flatnonzero(told & (score.reshape(-1, len(queries)) >= least - ROOM).ravel())
+            found.append((at[first + hit // len(queries)], hit % len(queries), score[hit]))
+            first = last
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(queries, pa.string())
+        for batch in batches:
+            methods = batch.column("method").dictionary_encode()
+            for i, method in enumerate(methods.dictionary.to_pylist()):
+                at = np.flatnonzero(methods.indices.to_numpy(zero_copy_only=False) == i)
+                if method in asked and len(at):
+                    row, query, score = pairs(batch, at, asked[method], averages[method])
+                    rows = batch.select(["method", "dataset_id", "ord"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, names.take(pa.array(query)), pa.array(score, pa.float64())], names=[*rows.schema.names, "query_id", "score"])
+
+    return run
+
+
 class _Index:
     """Documents by their query words, and the weights of the query words for each method and query."""
 
@@ -159,6 +211,7 @@ class _Index:
         place = Window.orderBy("term")
         # As many rows as different words in the queries.
         words = materialize(names.select(F.col("term").alias("word"), (F.row_number().over(place) - 1).alias("term")), "numbered")
+        self.n_terms = words.count()
         self.docs = word_counts(texts, words)
         totals = self.docs.groupBy("method").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
         self.totals = F.broadcast(materialize(totals, "totals"))
@@ -170,6 +223,14 @@ class _Index:
         weight = F.col("qtf") * F.col("idf")
         self.asked = materialize(weighed.join(asked, "term").select("method", "query_id", "term", "df", weight.alias("weight"), (weight * F.col("most")).alias("bound")), "asked")
         self.few = self.asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        # A document of several rows scores their sum, and its rows may lie in several tasks.
+        key = F.struct("method", "dataset_id", "ord")
+        several = materialize(self.docs.groupBy("method", "dataset_id", "ord").count().where("count > 1").select(key.alias("key")), "several-rows")
+        self.single, self.more = self.docs, None
+        if not several.isEmpty():
+            keyed = self.docs.withColumn("key", key)
+            self.single = keyed.join(several, keyed["key"].eqNullSafe(several["key"]), "left_anti").drop("key")
+            self.more = keyed.join(several, keyed["key"].eqNullSafe(several["key"]), "left_semi").drop("key")
 
     def postings(self, docs: DataFrame) -> DataFrame:
         """A row per document and query word in it; ``part`` is what the word adds to a score for each unit of weight."""
@@ -184,12 +245,44 @@ class _Index:
         found = self.postings(docs).join(asked, ["method", "term", *(["query_id"] if "query_id" in docs.columns else [])])
         return found.groupBy("method", "dataset_id", "ord", "query_id").agg(F.round(F.sum(F.col("weight") * F.col("part")), SCORE_DIGITS).alias("score"), *more)
 
+    def reaching(self, asked: DataFrame) -> DataFrame:
+        """``method, dataset_id, ord, query_id, score`` of the pairs that share an ``essential`` word of ``asked`` and score ``least`` or more.
+
+        Up to ``BROADCAST_TERMS`` words of queries are summed up in the task that reads the documents; more, and documents of several rows, by
+        a row for each word.
+        """
+        listed = asked.orderBy("method", "term", "query_id").collect() if self.few else []
+        if not listed:
+            return self._reaching_rows(self.docs, asked)
+        queries = sorted({r["query_id"] for r in listed}, key=lambda q: (q is not None, q))
+        number = {q: i for i, q in enumerate(queries)}
+        by_method = {}
+        for r in listed:
+            by_method.setdefault(r["method"], []).append(r)
+        tables = {}
+        for method, rows in by_method.items():
+            begins = np.searchsorted([r["term"] for r in rows], np.arange(self.n_terms + 1))
+            least = np.zeros(len(queries))
+            for r in rows:
+                least[number[r["query_id"]]] = r["least"]
+            tables[method] = (begins, np.array([number[r["query_id"]] for r in rows]), np.array([r["weight"] for r in rows], float), np.array([r["essential"] for r in rows], bool), least)
+        averages = {r["method"]: r["avgdl"] for r in self.totals.collect()}
+        fields = [f for f in self.docs.schema.fields if f.name in ("method", "dataset_id", "ord")]
+        schema = StructType([*fields, StructField("query_id", asked.schema["query_id"].dataType), StructField("score", DoubleType())])
+        found = self.single.mapInArrow(_scored(tables, queries, averages, self.k1, self.b), schema).withColumn("score", F.round("score", SCORE_DIGITS))
+        return found if self.more is None else found.unionByName(self._reaching_rows(self.more, asked))
+
+    def _reaching_rows(self, docs: DataFrame, asked: DataFrame) -> DataFrame:
+        pairs = self.scores(docs, asked, F.bool_or("essential").alias("essential"), F.max("least").alias("least"))
+        return pairs.where(F.col("essential") & (F.col("score") >= F.col("least"))).select("method", "dataset_id", "ord", "query_id", "score")
+
     def thresholds(self, k: int) -> DataFrame:
         """``method, query_id, least``: a score that the k-th best document of the query has or exceeds."""
         rarest = Window.partitionBy("method", "query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
         rare = self.asked.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("before") < RARE_DOCUMENTS * k)
         best = Window.partitionBy("method", "query_id").orderBy(F.desc("score"), "ord")
-        first = self.scores(self.docs, rare.select("method", "query_id", "term", "weight")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SEEDS * k)
+        wanted = rare.select("method", "query_id", "term", "weight", F.lit(True).alias("essential"), F.lit(0.0).alias("least"))
+        first = self.reaching(wanted).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SEEDS * k)
         seeds = materialize(first.select("method", "query_id", "dataset_id"), "seeds")
         whole = self.scores(self.docs.join(seeds, ["method", "dataset_id"]), self.asked.select("method", "query_id", "term", "weight"))
         kth = whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
@@ -203,8 +296,7 @@ class _Index:
         # Words whose bounds together stay below the threshold lift no document to it alone.
         essential = F.coalesce(F.sum("bound").over(bounds) >= F.col("least"), F.lit(True))
         asked = told.select("method", "query_id", "term", "weight", essential.alias("essential"), F.coalesce("least", F.lit(0.0)).alias("least"))
-        pairs = self.scores(self.docs, asked, F.bool_or("essential").alias("essential"), F.max("least").alias("least"))
-        return pairs.where(F.col("essential") & (F.col("score") >= F.col("least"))).select("method", "query_id", "dataset_id", "ord", "score")
+        return self.reaching(asked).select("method", "query_id", "dataset_id", "ord", "score")
 
 
 def bm25_top(texts: DataFrame, queries: DataFrame, methods: list[str], k: int, k1: float = K1, b: float = B) -> DataFrame:

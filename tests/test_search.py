@@ -131,3 +131,22 @@ def test_words_are_counted_in_their_row(spark):
     words = spark.createDataFrame([("x", 0), ("q", 1), ("absent", 2)], "word string, term int")
     got = {r.dataset_id: (r.dl, dict(zip(r.terms, r.counts))) for r in R.word_counts(texts, words).collect()}
     assert got == {"a": (3, {0: 2}), "b": (0, {}), "c": (0, {}), "d": (2, {1: 2})}
+
+
+def test_pairs_are_summed_in_their_task(spark, monkeypatch):
+    docs, texts = zipf_corpus(spark, 300, 12)
+    # Some documents come twice, some of them with another text, and some have no id.
+    twice = docs + docs[:7] + [("d9", "w1 w2 w2"), (None, "w0 w1"), (None, "w3")]
+    rows = [("m", d, i % 300, t) for i, (d, t) in enumerate(twice)] + [("n", d, i, t) for i, (d, t) in enumerate(docs[:50])] + [("n", "empty", 50, "")]
+    corpus = spark.createDataFrame(rows, "method string, dataset_id string, ord int, text string").repartition(5)
+    asked = questions(spark, *texts, "absent", "")
+    keys = ["method", "query_id", "rank"]
+    monkeypatch.setattr(R, "TASK_CELLS", 40)
+    got = R.bm25_top(corpus, asked, ["m", "n"], 6).orderBy(*keys).collect()
+    index = R._Index(corpus, asked, R.K1, R.B)
+    pairs = index.candidates(6)
+    # Single documents are scored where they are read: no row for each word and query.
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and index.more.count() == 7 * 2 and index.single.count() == len(rows) - 7 * 2
+    monkeypatch.setattr(R._Index, "reaching", lambda self, asked: self._reaching_rows(self.docs, asked))
+    assert got == R.bm25_top(corpus, asked, ["m", "n"], 6).orderBy(*keys).collect() and len(got) == 2 * 14 * 6
