@@ -370,10 +370,12 @@ def mean_ndcg(
     texts: DataFrame, queries: DataFrame, relevance: DataFrame, methods: list[str], ks: tuple[int, ...] = (10, 20)
 ) -> DataFrame:
     """``method, k, ndcg``: the mean over all queries, for every method and cut-off in one plan."""
-    ranking = bm25_top(texts, queries, methods, max(ks))
+    ranking = materialize(bm25_top(texts, queries, methods, max(ks)), "ranking")
     corpus = texts.select("dataset_id").distinct()
     ideal = ideal_dcg(relevance, corpus, list(ks))
-    per_query = ndcg_per_query(ranking, relevance, ideal, list(ks))
+    # Of the judgements, of which there may be one for each query and document, those of ranked documents are joined.
+    judged = relevance.join(ranking.select("query_id", "dataset_id").distinct(), ["query_id", "dataset_id"], "left_semi")
+    per_query = ndcg_per_query(ranking, judged, ideal, list(ks))
     return per_query.groupBy("method", "k").agg(F.avg("ndcg").alias("ndcg"))
 
 
