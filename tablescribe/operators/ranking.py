@@ -305,14 +305,19 @@ def bm25_top(texts: DataFrame, queries: DataFrame, methods: list[str], k: int, k
     ``method`` and ``dataset_id`` name a text. Ties, including all zero scores, go in corpus order. A match always scores
     above 0, so the top ``k`` lie within the ``k`` best matches and the first ``k`` documents of the corpus.
     """
+    return _top(_Index(texts, queries, k1, b), queries, methods, k)
+
+
+def _top(index: _Index, queries: DataFrame, methods: list[str], k: int) -> DataFrame:
     best = Window.partitionBy("method", "query_id").orderBy(F.desc("score"), "ord")
-    matches = _Index(texts, queries, k1, b).candidates(k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    matches = index.candidates(k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     best_of = matches.groupBy("method", "query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "dataset_id", "score"))).alias("matches")
     )
     in_order = Window.partitionBy("method").orderBy("ord")
+    # The written documents, for the texts would be made once more.
     head = (
-        texts.select("method", "dataset_id", "ord")
+        index.docs.select("method", "dataset_id", "ord")
         .withColumn("pos", F.row_number().over(in_order))
         .where(F.col("pos") <= k)
         .groupBy("method")
@@ -370,8 +375,9 @@ def mean_ndcg(
     texts: DataFrame, queries: DataFrame, relevance: DataFrame, methods: list[str], ks: tuple[int, ...] = (10, 20)
 ) -> DataFrame:
     """``method, k, ndcg``: the mean over all queries, for every method and cut-off in one plan."""
-    ranking = materialize(bm25_top(texts, queries, methods, max(ks)), "ranking")
-    corpus = texts.select("dataset_id").distinct()
+    index = _Index(texts, queries, K1, B)
+    ranking = materialize(_top(index, queries, methods, max(ks)), "ranking")
+    corpus = index.docs.select("dataset_id").distinct()
     ideal = ideal_dcg(relevance, corpus, list(ks))
     # Of the judgements, of which there may be one for each query and document, those of ranked documents are joined.
     judged = relevance.join(ranking.select("query_id", "dataset_id").distinct(), ["query_id", "dataset_id"], "left_semi")

@@ -150,3 +150,19 @@ def test_pairs_are_summed_in_their_task(spark, monkeypatch):
     assert "MapInArrow" in plan and index.more.count() == 7 * 2 and index.single.count() == len(rows) - 7 * 2
     monkeypatch.setattr(R._Index, "reaching", lambda self, asked: self._reaching_rows(self.docs, asked))
     assert got == R.bm25_top(corpus, asked, ["m", "n"], 6).orderBy(*keys).collect() and len(got) == 2 * 14 * 6
+
+
+def test_texts_are_made_once(spark):
+    docs, texts = zipf_corpus(spark, 40, 3)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    corpus_of = corpus(spark, docs)
+    counted = corpus_of.mapInArrow(count, corpus_of.schema)
+    judged = spark.createDataFrame([("query_1", "d1", 2), ("query_2", "d2", 1), ("query_2", "d3", 0)], "query_id string, dataset_id string, rel int")
+    got = R.mean_ndcg(counted, questions(spark, *texts), judged, ["m"], (5,)).collect()
+    assert len(got) == 1 and made.value == 40
