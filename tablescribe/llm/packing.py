@@ -23,6 +23,8 @@ from ..session import materialize
 from .common import byte_batches
 from .tokens import encoder, filled
 
+BROADCAST_ROWS = 200_000  # at most so many shifts, one per task and length, are broadcast; more are joined by shuffling the pieces
+
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     """Copies of lengths whose sum is the largest at most ``room``: subset sums as the bits of one number."""
@@ -103,11 +105,12 @@ def pack(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", c
 
     Null and empty texts are one piece of length 1 (the end id). Rows with equal or null keys are packed as documents of
     their own. Other columns are dropped; an empty table gives an empty one. The driver holds the histogram of at most
-    ``capacity`` lengths and the plan made of it.
+    ``capacity`` lengths and the plan made of it, and up to ``BROADCAST_ROWS`` shifts of ranks.
     """
     pieces = materialize(token_pieces(df, path, key=key, text=text, capacity=capacity, end_id=end_id, keep_ids=keep_ids), "pieces")
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    found = counts.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("tasks")).collect()
+    histogram = {r["length"]: r["n"] for r in found}
     # For each length, ranks from ``froms[i]`` on go to sequences from ``bases[i]`` on, ``copies[i]`` to each, from ``places[i]`` on.
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     ranks = dict.fromkeys(histogram, 0)
@@ -134,5 +137,7 @@ def pack(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", c
 
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    # Beside broadcast shifts the pieces stay in the partitions they are read in.
+    shifts = F.broadcast(shifts) if sum(r["tasks"] for r in found) <= BROADCAST_ROWS else shifts
     ranked = pieces.join(shifts, ["task", "length"]).withColumn("at", placed("length", F.col("rank") + F.col("shift")))
     return ranked.select(key, "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", *(["ids"] if keep_ids else []))

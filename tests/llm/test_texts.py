@@ -112,6 +112,25 @@ def test_packing_places_every_token_once(spark, model, capacity):
     assert packing.pack(documents(spark, []), model[1]).count() == 0
 
 
+def test_packing_moves_no_pieces_for_few_shifts(spark, model, monkeypatch):
+    """Not even where Spark would not broadcast by itself; many shifts are joined by a shuffle, with the same places."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "31"}
+    before = {k: spark.conf.get(k) for k in settings}
+    docs = documents(spark, [(i, "stone " * (i % 50), "en", "a") for i in range(2_000)]).repartition(4, "doc_id")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        few = packing.pack(docs, model[1])
+        assert few.rdd.getNumPartitions() <= 8  # as many as the pieces are read in
+        monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+        many = packing.pack(docs, model[1])
+        assert many.rdd.getNumPartitions() == 31
+        assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 2_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # ---------------------------------------------------------------- languages
 
 
