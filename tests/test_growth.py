@@ -169,3 +169,28 @@ def test_many_small_files_cost_little_each(spark, tmp_path):
     assert got == [["a", "b", "Unnamed: 2", "c"], ["7", None, None, None], ["x\ny", '"q"', None, None], ["1", "2", "3", "4"]]
     status = {r.dataset_id: (r.status, r.row_count, r.error) for r in P.minimal_profile(staged).collect()}
     assert status["t7"] == ("ok", 3, None) and status["ragged"] == ("error", None, "expected 2 fields, saw 71") and len(status) == 41
+
+
+def test_plain_files_are_parsed_by_tasks(spark, tmp_path, monkeypatch):
+    from tablescribe.sources import collection
+
+    texts = ["a,b\n1,2\n", 'a,,a\n"x\ny","q""z",\n\n,,\n', "a\n\"\"\n \n", "h\n", "a,b\n1,2,3\n", 'é,"  s  "\n#c, d ']
+    odd = ['a,b\n1,x"y\n', "a,b\r\n1,2\r\n", 'a,b\n"1,2\n']
+    for i, text in enumerate(texts + odd):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / f"t{i}.csv").write_text(text, newline="")
+    (tmp_path / "_hidden.csv").write_text("a\n1\n")
+    (tmp_path / "empty.csv").write_text("")
+    seen, inner = [], collection._spark_rows
+    monkeypatch.setattr(collection, "_spark_rows", lambda *a: (seen.append(sorted(p.rsplit("/", 1)[1] for p in a[1])), inner(*a))[1])
+    got = collection._read_rows(spark, [str(tmp_path)], 65, True, True).collect()
+    # Spark's reader opens only what it takes Spark's reader to understand.
+    assert seen == [["t6.csv", "t7.csv", "t8.csv"]]
+    want = inner(spark, [str(tmp_path)], 65, True, True).collect()
+
+    def by_file(rows):
+        return {p: [(r.full, r.fields) for r in sorted(rows, key=lambda r: r.at) if r.path == p] for p in {r.path for r in rows}}
+
+    assert by_file(got) == by_file(want) and len(by_file(got)) == 9
+    listed = collection.list_files(spark, [str(tmp_path)]).collect()
+    assert len(listed) == 9 and all(r.path.startswith("file:/") and r.length for r in listed)
