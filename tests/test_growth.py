@@ -194,3 +194,20 @@ def test_plain_files_are_parsed_by_tasks(spark, tmp_path, monkeypatch):
     assert by_file(got) == by_file(want) and len(by_file(got)) == 9
     listed = collection.list_files(spark, [str(tmp_path)]).collect()
     assert len(listed) == 9 and all(r.path.startswith("file:/") and r.length for r in listed)
+
+
+def test_datasets_are_profiled_once_a_run(spark, tmp_path, monkeypatch):
+    from test_generate import TEMPLATES, backend_factory, make_files, make_registry
+
+    from tablescribe.plans import describe
+
+    root = make_files(tmp_path / "csv", bad="a\n1,2\n", **{f"t{i}": f"x,y\n{i},u\n" for i in range(5)})
+    profiled, inner = [], describe.profile_cells
+    monkeypatch.setattr(describe, "profile_cells", lambda *a: (profiled.append(1), inner(*a))[1])
+    reg, out = make_registry(spark, "bad", *[f"t{i}" for i in range(5)]), str(tmp_path / "out")
+    first = describe.describe_collection(spark, reg, [root], out, backend_factory(), TEMPLATES, batch_datasets=2)
+    assert {r.dataset_id: r.status for r in first.collect()} == {"bad": "error", **{f"t{i}": "ok" for i in range(5)}}
+    assert len(profiled) == 1
+    # Nothing but a file that cannot be read is left.
+    second = describe.describe_collection(spark, reg, [root], out, backend_factory(), TEMPLATES, batch_datasets=2)
+    assert {r.dataset_id: (r.status, r.error) for r in second.collect()} == {"bad": ("error", "expected 1 fields, saw 2")}
